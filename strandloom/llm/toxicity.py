@@ -114,13 +114,13 @@ def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     return rows.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("t").alias("t"), F.max("y").alias("y"))
 
 
-def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, gap: float = 0.05, max_units: int = 50_000) -> ToxicModel:
+def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, least: float = 2.5, gap: float = 0.2, max_units: int = 50_000) -> ToxicModel:
     """Fit on at most `max_train` labelled rows (chosen by a hash of the id).
 
     Unit counts are texts that hold the unit; `prior` is the Dirichlet mass in
     texts, spread as in both classes together; a unit scores its log-odds less
-    `errors` standard errors and is kept if that is positive, the `max_units`
-    best at most, which bounds the broadcast table.
+    `errors` standard errors and is kept above `least`, so that texts without
+    toxic words drift down; the `max_units` best at most, which bounds the broadcast table.
     """
     train = _sample(docs, labels, max_train)
 
@@ -150,7 +150,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
             share = prior * (y1 + y0) / (n1 + n0)
             delta = math.log((y1 + share) / max(n1 + prior - y1 - share, 0.5)) - math.log((y0 + share) / max(n0 + prior - y0 - share, 0.5))
             low = delta - errors * math.sqrt(1 / (y1 + share) + 1 / (y0 + share))
-            if low > 0:
+            if low > least:
                 scored.append((low, r["u"]))
     model.table = {u: s for s, u in sorted(scored, reverse=True)[:max_units]}
     return _calibrate(model, train)
@@ -164,10 +164,11 @@ def _calibrate(model: ToxicModel, train: DataFrame) -> ToxicModel:
         found = [shared.value.segments(t) for t in texts]
         return pd.DataFrame({"n": [float(n) for n, _ in found], "best": [max((s for _, _, s in seg), default=0.0) for _, seg in found]}, columns=["n", "best"])
 
-    null = train.where("y = 0").select(best("t").alias("b")).agg(F.avg("b.n").alias("n"), F.avg("b.best").alias("m"), F.coalesce(F.stddev_pop("b.best"), F.lit(0.0)).alias("s")).first()
+    null = train.where("y = 0").select(best("t").alias("b")).agg(F.avg("b.n").alias("n"), F.percentile_approx("b.best", [0.5, 0.99], 1000).alias("q")).first()
     model.mean_n = null["n"] or 1.0
-    model.beta = max(0.35, (null["s"] or 0.0) * math.sqrt(6) / math.pi)
-    model.mu = (null["m"] or 0.0) - 0.5772156649 * model.beta
+    middle, high = null["q"] or (0.0, 0.0)  # the Gumbel quantiles at 0.5 and 0.99, which a few mislabelled texts don't move
+    model.beta = max(0.35, (high - middle) / (math.log(-math.log(0.5)) - math.log(-math.log(0.99))))
+    model.mu = middle + math.log(-math.log(0.5)) * model.beta
     fitted = train.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
