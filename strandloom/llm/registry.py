@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from strandloom.llm.language_id import op6_language_id
 from strandloom.llm.license_scan import op10_license_scan
+from strandloom.llm.source_mix import op1_source_mix
 from strandloom.llm.token_counts import op3_token_counts
 from strandloom.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
