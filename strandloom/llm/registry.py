@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from strandloom.llm.language_id import op6_language_id
 from strandloom.llm.license_scan import op10_license_scan
+from strandloom.llm.multi_index import op9_multi_index
 from strandloom.llm.source_mix import op1_source_mix
+from strandloom.llm.spot_signatures import op4_spot_signatures
 from strandloom.llm.token_counts import op3_token_counts
 from strandloom.llm.toxicity import op2_toxicity
 
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_spot_signatures": op4_spot_signatures,
     "op6_language_id": op6_language_id,
+    "op9_multi_index": op9_multi_index,
     "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {}
