@@ -5,6 +5,9 @@ from __future__ import annotations
 from strandloom.llm.language_id import op6_language_id
 from strandloom.llm.license_scan import op10_license_scan
 from strandloom.llm.multi_index import op9_multi_index
+from strandloom.llm.order_minhash import op7_order_minhash
+from strandloom.llm.packing import op5_best_fit_packing
+from strandloom.llm.quality import op8_quality
 from strandloom.llm.source_mix import op1_source_mix
 from strandloom.llm.spot_signatures import op4_spot_signatures
 from strandloom.llm.token_counts import op3_token_counts
@@ -15,7 +18,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_spot_signatures": op4_spot_signatures,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_quality": op8_quality,
     "op9_multi_index": op9_multi_index,
     "op10_license_scan": op10_license_scan,
 }
