@@ -129,10 +129,10 @@ def linearise(segments: DataFrame, links: DataFrame, max_rounds: int = 40) -> Da
     for _ in range(max_rounds):
         ahead = walk.join(jump.withColumnRenamed("node", "seg_id"), "seg_id").select("start_id", (F.col("step") + length).alias("step"), F.col("to").alias("seg_id"))
         grown = settled(walk.unionByName(ahead))
-        if length > total:
-            raise ValueError("a cycle can be reached from a source")
         if grown.count() == walk.count():
             return grown
+        if length > total:
+            raise ValueError("a cycle can be reached from a source")
         walk = grown
         jump = settled(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.to").alias("to")))
         length *= 2
