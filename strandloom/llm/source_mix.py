@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import WORD_PATTERN, settled, table, text_of
 
-#: Bisection steps; each halves the range of divisors, 1100 would reach any double, 80 do for 1e-12 of it.
+#: Bisection steps over the divisors. They end in the last bits of a double; the divisor is then
+#: raised by 1e-12 of it, so that rounding decides no tie and the order of quotients does.
 STEPS = 80
 
 
@@ -34,7 +35,7 @@ def sainte_lague(values: str, seats: str) -> Column:
     start = low.format(v=values)
     hi = (
         f"aggregate(sequence(1, {STEPS}), {start}, (p, i) -> CASE WHEN {high} <= {seats} "
-        f"THEN named_struct('lo', p.lo, 'hi', (p.lo + p.hi) / 2D) ELSE named_struct('lo', (p.lo + p.hi) / 2D, 'hi', p.hi) END).hi"
+        f"THEN named_struct('lo', p.lo, 'hi', (p.lo + p.hi) / 2D) ELSE named_struct('lo', (p.lo + p.hi) / 2D, 'hi', p.hi) END).hi * (1D + 1e-12D)"
     )
     sure = f"transform({values}, v -> floor(v / d + 0.5D))"
     # the elements ordered by their next quotient; as many as blocks are open get one more
