@@ -165,7 +165,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train_language(docs))
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Documents whose language is recognised with at least min_score, with all their columns.
 
     Learns from the documents of the stage; one without a letter (`und`) goes.
