@@ -355,3 +355,88 @@ def missing_links(spark, d):
     links = link_table(spark, d).select("from_id", "to_id")
     known = links.join(_t(spark, d, "labels").select(F.col("doc_id").alias("from_id")), "from_id", "left_semi").select("from_id", "to_id")
     return N.missing_rows(links, known).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {DS}, p AS (SELECT DISTINCT substr(seq, 1, 3) AS prefix FROM ds WHERE length(seq) >= 3) "
+    "SELECT prefix, (21 + 16 * (strpos('ACGT', substr(prefix, 1, 1)) - 1) + 4 * (strpos('ACGT', substr(prefix, 2, 1)) - 1) + strpos('ACGT', substr(prefix, 3, 1)) - 1)::BIGINT AS number FROM p"
+)
+def prefix_numbers(spark, d):
+    p = sequences(spark, d).where("length(seq) >= 3").select(F.substring("seq", 1, 3).alias("prefix")).distinct()
+    return p.select("prefix", S.prefix_number(F.col("prefix")).alias("number"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n FROM documents")
+def lower_letters(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.lower_count(F.col("text")).cast("long").alias("n"))
+
+
+@query(
+    f"WITH {DS}, n AS (SELECT seg_id, pos - 1 AS off, substr(seq, pos, 5) AS prefix FROM (SELECT *, unnest(generate_series(1, length(seq) - 5)) AS pos FROM ds WHERE length(seq) > 5)) "
+    "SELECT prefix, min(seg_id)::BIGINT AS seg_id, (arg_min(off, seg_id * 4294967296 + off))::BIGINT AS off, count(*)::BIGINT AS n FROM n GROUP BY 1"
+)
+def class_representatives(spark, d):
+    e = G.sequence_edges(sequences(spark, d))
+    c = I.node_classes(e, 5).where("boundary IS NOT NULL").groupBy("representative").agg(F.count("*").alias("n"))
+    named = c.join(I.linear_prefixes(e, 5).select(F.col("node").alias("representative"), "prefix"), "representative")
+    return named.select("prefix", S.node_segment(F.col("representative")).alias("seg_id"), S.node_offset(F.col("representative")).alias("off"), "n")
+
+
+@query(f"WITH {DS} SELECT sum(length(seq))::BIGINT AS n_nodes, sum(length(seq) - 1)::BIGINT AS n_edges FROM ds WHERE length(seq) > 1")
+def graph_size(spark, d):
+    return G.graph_size(G.sequence_edges(sequences(spark, d)))
+
+
+@query(f"WITH {DS}, {LINKS} SELECT concat_ws(chr(9), 'S', seg_id::VARCHAR, seq) AS value FROM ds UNION ALL SELECT concat_ws(chr(9), 'L', from_id::VARCHAR, '+', to_id::VARCHAR, '+', '0M') FROM links")
+def gfa_text(spark, d):
+    from strandloom.sources.graph_files import gfa_lines
+
+    return gfa_lines(sequences(spark, d), link_table(spark, d))
+
+
+@query(f"WITH {DS} SELECT seg_id, left(seq, 50) AS seq FROM ds")
+def reference_head(spark, d):
+    from strandloom.sources.graph_files import head_of
+
+    return head_of(sequences(spark, d), 50).select("seg_id", "seq")
+
+
+@query(f"WITH {DS} SELECT seg_id, length(seq)::BIGINT AS n_edges FROM ds WHERE seq <> ''")
+def whole_linear_graph(spark, d):
+    from strandloom.sources.graph_files import linear_with_tail
+
+    seg, links = linear_with_tail(sequences(spark, d).where("seq <> ''"))
+    return G.character_graph(seg, links).groupBy(S.node_segment(F.col("src")).alias("seg_id")).agg(F.count("*").alias("n_edges"))
+
+
+@query("SELECT item_id AS id, 'benchmark' AS run FROM benchmark UNION ALL SELECT doc_id, 'documents' FROM documents")
+def union_runs(spark, d):
+    a = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("run"))
+    return N.all_runs(a, _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("run")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / (l_quantity / 1000.0::DOUBLE) AS s_per_kbp, CASE WHEN l_extendedprice > 0 THEN (l_quantity / 1000.0::DOUBLE) / l_extendedprice END AS kbp_per_s FROM lineitem")
+def throughput(spark, d):
+    li = _t(spark, d, "lineitem")
+    return N.with_throughput(li, F.col("l_quantity"), F.col("l_extendedprice"), F.lit(0.0)).select("l_orderkey", "l_linenumber", "s_per_kbp", "kbp_per_s")
+
+
+@query(
+    "WITH r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'dijkstra' WHEN 'N' THEN 'astar-seeds' ELSE 'other' END AS algo FROM lineitem) "
+    "SELECT algo, CASE algo WHEN 'dijkstra' THEN 'Dijkstra' WHEN 'astar-seeds' THEN 'seeds' ELSE algo END AS algo_name, CASE algo WHEN 'astar-seeds' THEN 0 WHEN 'dijkstra' THEN 2 ELSE 3 END AS algo_rank, count(*)::BIGINT AS n FROM r GROUP BY 1"
+)
+def display_names(spark, d):
+    algo = F.when(F.col("l_returnflag") == "A", "dijkstra").when(F.col("l_returnflag") == "N", "astar-seeds").otherwise("other")
+    return N.ranked_algorithms(_t(spark, d, "lineitem").select(algo.alias("algo"))).groupBy("algo", "algo_name", "algo_rank").agg(F.count("*").alias("n"))
+
+
+@query("SELECT floor(ln(avg(n_chars)) / ln(4))::INTEGER AS depth FROM documents")
+def depth_marker(spark, d):
+    return N.depth_marker(_t(spark, d, "documents"), "n_chars")
+
+
+@query(f"WITH {DS}, {RS}, q AS (SELECT read_id, seq FROM rs UNION ALL SELECT read_id, {REVCOMP.format('seq')} FROM rs) SELECT DISTINCT read_id FROM q WHERE seq <> '' AND EXISTS (SELECT 1 FROM ds WHERE contains(ds.seq, q.seq))")
+def exact_reads(spark, d):
+    """Reads of cost 0: those whose letters, on either strand, stand in a document."""
+    found = A.align(sequences(spark, d), None, read_table(spark, d), k=1, seed_len=K, drop_tail=False)
+    return found.where("cost = 0").select("read_id")
