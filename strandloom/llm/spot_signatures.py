@@ -24,6 +24,9 @@ ANCHORS = (
     "al como con del el ella en es esa ese los las lo más no para por se su un una y"
 ).split()
 
+#: Content words without an anchor after which every one starts a chain.
+GAP = 4
+
 
 def _anchored(text: Column, anchors: list[str]) -> Column:
     """Words of a text in order, each run of anchors glued with ':' before the content word that follows it."""
@@ -35,16 +38,21 @@ def _anchored(text: Column, anchors: list[str]) -> Column:
 def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
     """Sorted distinct 64-bit signatures of a text: anchor run, content word, next content word.
 
-    A text without anchors takes the chain at every word instead; one without
-    words has no signature.
+    A content word with no anchor before it nor before the GAP - 1 content words
+    ahead of it starts a chain too, so lists and texts in other languages are
+    covered; the rule is local, and an edit changes no signature far from it. A
+    text without words has no signature.
     """
-    words = _anchored(text, anchors)
-    last = lambda w: F.substring_index(w, ":", -1)  # noqa: E731  the content word of an item
-    chained = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.when(F.contains(a, F.lit(":")), F.xxhash64(a, last(b))))
-    plain = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, last(b)))
-    # each step binds its input once: an array of one, transformed
-    spots = F.transform(F.array(words), lambda ws: F.struct(ws.alias("w"), F.filter(chained(ws), lambda s: s.isNotNull()).alias("s")))
-    return F.transform(spots, lambda p: F.array_sort(F.array_distinct(F.when(F.size(p["s"]) > 0, p["s"]).otherwise(plain(p["w"])))))[0]
+
+    def chain(w: Column, i: Column, ws: Column) -> Column:
+        near = F.slice(ws, F.greatest(i - (GAP - 2), F.lit(1)), F.least(i + 1, F.lit(GAP)))
+        starts = F.contains(w, F.lit(":")) | ~F.exists(near, lambda x: F.contains(x, F.lit(":")))
+        following = F.substring_index(F.get(ws, i + 1), ":", -1)
+        return F.when(starts, F.xxhash64(w, following))
+
+    # an array of one, transformed, binds the words once
+    bound = F.transform(F.array(_anchored(text, anchors)), lambda ws: F.transform(ws, lambda w, i: chain(w, i, ws)))[0]
+    return F.array_sort(F.array_distinct(F.filter(bound, lambda s: s.isNotNull())))
 
 
 def fingerprint(sigs: Column) -> Column:

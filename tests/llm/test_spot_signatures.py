@@ -27,7 +27,7 @@ def spots(text):
         items.append((tuple(run), ""))
     out = set()
     for i, (a, w) in enumerate(items):
-        if a or not any(x[0] for x in items):
+        if a or not any(x[0] for x in items[max(0, i - M.GAP + 1) : i]):
             out.add((a, w, items[i + 1][1] if i + 1 < len(items) else None))
     return out
 
