@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import table, text_of
 
+#: Rarest words of a template that propose placements, and the share of its weight that a placement needs.
+RARE, SHARE = 3, 0.7
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases every scan reports, wherever they stand.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -91,7 +93,7 @@ class LicenceIndex:
         if labels:
             score = 1.0
         elif found:
-            score = max(found.values())
+            score = round(max(found.values()), 6)
         both = sorted(labels | set(found))
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(both), score
 
@@ -114,7 +116,7 @@ def licence_idf(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, fl
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) + 0.01 for w in vocabulary}
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int = 3, share: float = 0.7) -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int = RARE, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     `rare` highest-IDF words of each template propose its placements; a

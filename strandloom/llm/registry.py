@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandloom.llm.language_id import op6_language_id
 from strandloom.llm.license_scan import op10_license_scan
+from strandloom.llm.license_sql import licence_sql
 from strandloom.llm.multi_index import op9_multi_index
 from strandloom.llm.order_minhash import op7_order_minhash
 from strandloom.llm.packing import op5_best_fit_packing
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_multi_index": op9_multi_index,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_license_scan": licence_sql()}

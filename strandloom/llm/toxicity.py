@@ -15,10 +15,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import held_out, table, text_of
+from strandloom.llm.common import held_out, settled, table, text_of
 
 TOKENS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as units beside the word itself.
@@ -136,23 +136,22 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
         yield pd.DataFrame({"u": [""], "c0": [n[0]], "c1": [n[1]]})
 
     counts = train.select("t", "y").mapInPandas(partial, "u string, c0 long, c1 long").groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    rows = counts.where("c1 >= 2 OR u = ''").orderBy((F.col("u") == "").desc(), F.col("c1").desc(), "c0", "u").limit(4 * max_units + 1).collect()
-    head = next((r for r in rows if r["u"] == ""), None)
+    counts = settled(counts.where("c1 >= 2 OR u = ''"))
+    head = counts.where("u = ''").first()
     n0, n1 = (head["c0"], head["c1"]) if head else (0, 0)
     base = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.01
     model = ToxicModel({}, gap, min(max(base, 1e-4), 1 - 1e-4))
     if not n1 or not n0:
         return model
-    scored = []
-    for r in rows:
-        if r["u"]:
-            y1, y0 = r["c1"], r["c0"]
-            share = prior * (y1 + y0) / (n1 + n0)
-            delta = math.log((y1 + share) / max(n1 + prior - y1 - share, 0.5)) - math.log((y0 + share) / max(n0 + prior - y0 - share, 0.5))
-            low = delta - errors * math.sqrt(1 / (y1 + share) + 1 / (y0 + share))
-            if low > least:
-                scored.append((low, r["u"]))
-    model.table = {u: s for s, u in sorted(scored, reverse=True)[:max_units]}
+    share = F.lit(prior) * (F.col("c1") + F.col("c0")) / F.lit(float(n1 + n0))
+
+    def log_odds(c: str, n: int) -> Column:
+        held = F.col(c) + share
+        return F.log(held / F.greatest(F.lit(float(n)) + prior - held, F.lit(0.5)))
+
+    low = log_odds("c1", n1) - log_odds("c0", n0) - errors * F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))
+    best = counts.where("u <> ''").select("u", low.alias("low")).where(F.col("low") > least).orderBy(F.col("low").desc(), "u").limit(max_units)
+    model.table = {r["u"]: r["low"] for r in best.collect()}
     return _calibrate(model, train)
 
 
