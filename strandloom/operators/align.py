@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import SEGMENT_BITS, error_step, spell_path
 from strandloom.operators.components import components
 from strandloom.operators.graph import character_graph, doubled
-from strandloom.operators.kernels import SEPARATOR, Graph, chain_costs, chain_path, encode, encode_read, reversed_complement
+from strandloom.operators.kernels import SEPARATOR, Graph, batch_costs, chain_costs, chain_path, encode, encode_read, reversed_complement, straight_path
 from strandloom.operators.lineage import settled
 from strandloom.operators.seeds import seed_matches, seeds
 
@@ -99,12 +99,22 @@ def seeded_ends(cut: DataFrame, reads: DataFrame, seed_len: int, costs: Costs, l
 
     def verify(batches):
         for pdf in batches:
-            out = []
-            for rid, read, strand, seg, at, window in zip(pdf["read_id"], pdf["read"], pdf["strand"], pdf["seg_id"], pdf["at"], pdf["window"], strict=True):
-                seq = window if strand == "+" else reversed_complement(window)
-                low, ends = _ends(chain_costs(encode(seq), encode_read(read), price))
-                out += [(rid, low, strand, seg, at + int(e) if strand == "+" else at + len(window) - int(e)) for e in ends]
-            yield pd.DataFrame(out, columns=["read_id", "cost", "strand", "seg_id", "end_at"])
+            n, at = pdf["read"].str.len().to_numpy(), pdf["at"].to_numpy()
+            ids, segs, signs = pdf["read_id"].to_numpy(), pdf["seg_id"].to_numpy(), (pdf["strand"] == "+").to_numpy()
+            seqs = [w if p else reversed_complement(w) for w, p in zip(pdf["window"], signs, strict=True)]
+            for length in np.unique(n):
+                same = np.flatnonzero(n == length)
+                for lo in range(0, len(same), 512):
+                    part = same[lo : lo + 512]
+                    width = np.array([len(seqs[i]) for i in part])
+                    codes = np.full((len(part), width.max()), SEPARATOR, dtype=np.uint8)
+                    for r, i in enumerate(part):
+                        codes[r, : width[r]] = encode(seqs[i])
+                    now = batch_costs(codes, np.stack([encode_read(pdf["read"].iat[i]) for i in part]), price)
+                    low = now.min(axis=1)
+                    r, end = np.nonzero(now == low[:, None])
+                    i = part[r]
+                    yield pd.DataFrame({"read_id": ids[i], "cost": low[r].astype(np.int32), "strand": np.where(signs[i], "+", "-"), "seg_id": segs[i], "end_at": np.where(signs[i], at[i] + end, at[i] + width[r] - end)})
 
     return sliced.mapInPandas(verify, ENDS)
 
@@ -181,7 +191,8 @@ def _chain_paths(best: DataFrame, segments: DataFrame, reads: DataFrame, costs:
             out = []
             for rid, read, cost, strand, seg, end, lo, window in zip(*(pdf[c] for c in ("read_id", "read", "cost", "strand", "seg_id", "end_at", "lo", "window")), strict=True):
                 seq = window if strand == "+" else reversed_complement(window)
-                start, steps = chain_path(encode(seq), read, price, len(seq))
+                codes = encode(seq)
+                start, steps = straight_path(codes, read, price, len(seq), cost) or chain_path(codes, read, price, len(seq))
                 left = lo + start if strand == "+" else end
                 node = (int(seg) << SEGMENT_BITS) + int(end)
                 out.append((rid, cost, strand, seg, left, node if strand == "+" else ~node, [{"label": a, "etype": b} for a, b in steps]))

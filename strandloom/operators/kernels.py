@@ -64,6 +64,44 @@ def chain_costs(codes: np.ndarray, read: np.ndarray, costs: tuple[int, int, int,
     return now
 
 
+def batch_costs(codes: np.ndarray, reads: np.ndarray, costs: tuple[int, int, int, int]) -> np.ndarray:
+    """As chain_costs for many pairs at once: codes (pairs, width), padded by SEPARATOR on the right, and reads (pairs, length)."""
+    match, subst, ins, dele = costs
+    kind, far = _kind(reads[0], costs)
+    pad = np.where(codes == SEPARATOR, far // 2, 0).astype(kind)
+    padded = bool(pad.any())
+    now = np.zeros((len(codes), codes.shape[1] + 1), dtype=kind)
+    for i in range(reads.shape[1]):
+        along = now[:, :-1] + np.where(codes == reads[:, i : i + 1], kind(match), kind(subst))
+        if padded:
+            along = np.minimum(along, kind(far // 2)) + pad
+        now = now + kind(ins)
+        np.minimum(now[:, 1:], along, out=now[:, 1:])
+        while True:
+            skip = now[:, :-1] + kind(dele)
+            if padded:
+                skip = np.minimum(skip, kind(far // 2)) + pad
+            if not (skip < now[:, 1:]).any():
+                break
+            np.minimum(now[:, 1:], skip, out=now[:, 1:])
+    if padded:
+        # a node behind a separator belongs to the padding
+        now[:, 1:][codes == SEPARATOR] = far
+    return now
+
+
+def straight_path(codes: np.ndarray, read: str, costs: tuple[int, int, int, int], end: int, cost: int) -> tuple[int, list[tuple[str, str]]] | None:
+    """The path without gaps to node `end`, if it has that cost: chain_path would return the same."""
+    start = end - len(read)
+    if start < 0:
+        return None
+    equal = codes[start:end] == encode_read(read)
+    n = int(equal.sum())
+    if n * costs[0] + (len(read) - n) * costs[1] != cost:
+        return None
+    return start, [(c, "ORIG" if e else "SUBST") for c, e in zip(read, equal.tolist(), strict=True)]
+
+
 def chain_path(codes: np.ndarray, read: str, costs: tuple[int, int, int, int], end: int) -> tuple[int, list[tuple[str, str]]]:
     """Start node and steps (label, type) of an optimal alignment that ends at node `end`; matches and substitutions are preferred, then insertions."""
     match, subst, ins, dele = costs

@@ -89,3 +89,25 @@ def test_bad_parameters():
         Costs(2, 1, 5, 5)
     with pytest.raises(ValueError):
         Costs(0, -1, 5, 5)
+
+
+def test_batched_kernel_equals_the_single_one():
+    import numpy as np
+
+    from strandloom.operators.kernels import SEPARATOR, batch_costs, chain_costs, chain_path, encode, encode_read, straight_path
+
+    draw = random.Random(7)
+    for costs in ((0, 1, 5, 5), (0, 1, 1, 1), (1, 2, 3, 2), (0, 3, 1, 0)):
+        refs = ["".join(draw.choice("ACGT") for _ in range(draw.randint(0, 30))) for _ in range(40)]
+        reads = ["".join(draw.choice("ACGTN") for _ in range(9)) for _ in refs]
+        codes = np.full((40, 30), SEPARATOR, dtype=np.uint8)
+        for r, s in enumerate(refs):
+            codes[r, : len(s)] = encode(s)
+        now = batch_costs(codes, np.stack([encode_read(x) for x in reads]), costs)
+        for r, s in enumerate(refs):
+            want = chain_costs(encode(s), encode_read(reads[r]), costs)
+            assert now[r, : len(s) + 1].tolist() == want.tolist()
+            assert (now[r, len(s) + 1 :] > want.min()).all()
+            end = int(want.argmin())
+            quick = straight_path(encode(s)[:end], reads[r], costs, end, int(want[end]))
+            assert quick is None or quick == chain_path(encode(s)[:end], reads[r], costs, end)
