@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import components, settled, table, text_of
+from strandloom.llm.common import components, fresh, settled, table, text_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of a k-mer.
@@ -204,7 +204,7 @@ def _node(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """Per document: doc_id, class_id, kept, n_copies.
+    """Per document: doc_id, class_id, kept, n_copies, text_id (60 bits of the text's SHA-256).
 
     class_id is the smallest doc_id of the documents that links reach; kept is
     true for that one. Links join equal texts, and texts whose sets of
@@ -250,10 +250,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
     links = settled(texts.groupBy("group", "i", "j").applyInPandas(verify, "a long, b long"))
     reach = components(links)
-    rooted = sketched.select("doc_id", "node").join(reach, "node", "left").select("doc_id", F.coalesce("component", "node").alias("root"))
+    rooted = sketched.select("doc_id", "node").join(reach, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     out = rooted.join(lows, "root")
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "n_copies")
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "n_copies", F.col("node").alias("text_id"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +261,12 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the smallest id, with all its columns; one row if that id repeats."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates, that of the smallest id, with all its columns.
+
+    Rows are matched by id and text, so another text under a kept id keeps its
+    own decision; of rows equal in both one stays.
+    """
+    own_id, own_text, node = fresh("id"), fresh("text"), fresh("node")  # names that docs can't hold
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_id").alias(own_text)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(node) == F.col(own_text))
+    return docs.withColumn(node, _node(text_of())).join(kept, same, "left_semi").dropDuplicates(["doc_id", node]).drop(node)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD_PATTERN, settled, table, text_of
+from strandloom.llm.common import WORD_PATTERN, fresh, settled, table, text_of
 
 #: Bisection steps over the divisors. They end in the last bits of a double; the divisor is then
 #: raised by 1e-12 of it, so that rounding decides no tie and the order of quotients does.
@@ -138,8 +138,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The decisions (one per id, source and text) go back to the documents by id
     and text hash, so rows without an id keep their own decision too.
     """
-    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("h").alias("m_h")).agg(F.round(F.avg("copies")).cast("int").alias("m_copies")).where("m_copies > 0")
-    keyed = docs.withColumn("m_text_h", F.xxhash64(text_of(), F.lit(20)))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")) & (F.col("m_text_h") == F.col("m_h"))
-    taken = keyed.join(mixed, same).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
+    key = {c: fresh(c) for c in ("id", "source", "hash", "copies", "copy", "own")}  # names that docs can't hold
+    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias(key["id"]), F.col("source").alias(key["source"]), F.col("h").alias(key["hash"])).agg(F.round(F.avg("copies")).cast("int").alias(key["copies"])).where(F.col(key["copies"]) > 0)
+    keyed = docs.withColumn(key["own"], F.xxhash64(text_of(), F.lit(20)))
+    same = F.col("doc_id").eqNullSafe(F.col(key["id"])) & F.col("source").cast("string").eqNullSafe(F.col(key["source"])) & (F.col(key["own"]) == F.col(key["hash"]))
+    taken = keyed.join(mixed, same).withColumn(key["copy"], F.explode(F.sequence(F.lit(1), F.col(key["copies"]))))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
