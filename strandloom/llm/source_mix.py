@@ -16,6 +16,8 @@ from strandloom.llm.common import WORD_PATTERN, fresh, settled, table, text_of
 #: Bisection steps over the divisors. They end in the last bits of a double; the divisor is then
 #: raised by 1e-12 of it, so that rounding decides no tie and the order of quotients does.
 STEPS = 80
+#: Tokens of a block, words of a shard, and the seed of all draws.
+BLOCK, SHARD_WORDS, SEED = 16, 1 << 18, 20
 
 
 def _seats(values: str, divisor: str) -> str:
@@ -45,6 +47,11 @@ def sainte_lague(values: str, seats: str) -> Column:
     return F.expr(f"CASE WHEN {seats} <= 0 OR coalesce(array_max({values}), 0D) <= 0 THEN transform({values}, v -> 0L) ELSE {solved} END")
 
 
+def draw(*parts: Column) -> Column:
+    """60 random-like bits of the parts, by MD5 so that SQL elsewhere draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0) -> DataFrame:
     """(source, source_size, weight, target) from (source, size): shares of all sizes by weight, none above max_repeats of its source.
 
@@ -69,7 +76,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, block: int = 16, shard_words: int = 1 << 18, seed: int = 20) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies, source, shard.
 
     taken is the words the mix takes of the document, repeats counted: whole
@@ -85,7 +92,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     no rows; other columns are ignored.
     """
     n_words = F.regexp_count(text_of(), F.lit(WORD_PATTERN)).cast("long")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words.alias("size"), F.xxhash64(text_of(), F.lit(seed)).alias("h"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words.alias("size"), draw(text_of()).alias("h"))
     sized = settled(sized)  # ids and sizes, so the texts are read once
     target = source_targets(sized.select("source", "size"), weights, float(max_repeats))
     # blocks of the sources: one row gathers the sources, which are few beside the documents
@@ -97,7 +104,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     quota = quota.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_words)))).cast("long"))
     # documents meet the quota of their source, a row each; the side with the sources is small enough for Spark to send out or is joined as is
     rows = sized.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "inner")
-    rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "h", "source_size", "target", F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.col("n_shards")).alias("shard"))
+    rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "h", "source_size", "target", F.pmod(draw(F.col("doc_id"), F.col("h"), F.lit(seed)), F.col("n_shards")).alias("shard"))
     lengths = rows.groupBy("source", "shard").agg(F.sum("size").alias("length"))
     per_source = lengths.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "length"))).alias("l"))
     per_source = per_source.alias("l").join(quota.alias("q"), F.col("l.source").eqNullSafe(F.col("q.source"))).select(F.col("l.source").alias("source"), "l", F.col("blocks").cast("double").alias("n"))
@@ -105,13 +112,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     shards = shards.withColumn("b", sainte_lague("v", "n")).select("source", F.explode(F.arrays_zip("l", "b")).alias("x"))
     shards = shards.select(F.col("source").alias("s_source"), F.col("x.l.shard").alias("s_shard"), F.col("x.l.length").alias("length"), F.least(F.col("x.b") * block, F.lit(max_repeats) * F.col("x.l.length")).alias("words"))
     at = rows.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "shard").orderBy(draw(F.col("doc_id"), F.lit(seed + 1)), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     passes = F.when(F.col("length") > 0, F.expr("words div length")).otherwise(F.lit(0))
     at = at.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("length"))
     # of the n blocks of the shard, those at which floor((k + phase) * chosen / n) steps are taken: even, and shifted by the seed
     at = at.withColumn("n", F.ceil(F.col("length") / block)).withColumn("chosen", F.least(F.col("n"), F.round(F.col("rest") / block).cast("long")))
-    at = at.withColumn("phase", F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.greatest(F.col("n"), F.lit(1))))
+    at = at.withColumn("phase", F.pmod(draw(F.col("source"), F.col("shard"), F.lit(seed + 2)), F.greatest(F.col("n"), F.lit(1))))
 
     def picked(k: str) -> str:
         return f"(floor((({k}) + phase) * chosen / greatest(n, 1)) - floor(phase * chosen / greatest(n, 1)))"
@@ -140,7 +147,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     key = {c: fresh(c) for c in ("id", "source", "hash", "copies", "copy", "own")}  # names that docs can't hold
     mixed = mix_sources(docs).groupBy(F.col("doc_id").alias(key["id"]), F.col("source").alias(key["source"]), F.col("h").alias(key["hash"])).agg(F.round(F.avg("copies")).cast("int").alias(key["copies"])).where(F.col(key["copies"]) > 0)
-    keyed = docs.withColumn(key["own"], F.xxhash64(text_of(), F.lit(20)))
+    keyed = docs.withColumn(key["own"], draw(text_of()))
     same = F.col("doc_id").eqNullSafe(F.col(key["id"])) & F.col("source").cast("string").eqNullSafe(F.col(key["source"])) & (F.col(key["own"]) == F.col(key["hash"]))
     taken = keyed.join(mixed, same).withColumn(key["copy"], F.explode(F.sequence(F.lit(1), F.col(key["copies"]))))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
