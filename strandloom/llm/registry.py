@@ -12,6 +12,7 @@ from strandloom.llm.quality import op8_quality
 from strandloom.llm.source_mix import op1_source_mix
 from strandloom.llm.source_mix_sql import source_mix_sql
 from strandloom.llm.spot_signatures import op4_spot_signatures
+from strandloom.llm.spot_signatures_sql import spot_signatures_sql
 from strandloom.llm.token_counts import op3_token_counts
 from strandloom.llm.toxicity import op2_toxicity
 
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_multi_index": op9_multi_index,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {"op1_source_mix": source_mix_sql(), "op10_license_scan": licence_sql()}
+SQL: dict[str, str] = {"op1_source_mix": source_mix_sql(), "op4_spot_signatures": spot_signatures_sql(), "op10_license_scan": licence_sql()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD_PATTERN, fresh, settled, table, text_of
+from strandloom.llm.common import WORD_PATTERN, draw, fresh, settled, table, text_of
 
 #: Bisection steps over the divisors. They end in the last bits of a double; the divisor is then
 #: raised by 1e-12 of it, so that rounding decides no tie and the order of quotients does.
@@ -47,11 +47,6 @@ def sainte_lague(values: str, seats: str) -> Column:
     return F.expr(f"CASE WHEN {seats} <= 0 OR coalesce(array_max({values}), 0D) <= 0 THEN transform({values}, v -> 0L) ELSE {solved} END")
 
 
-def draw(*parts: Column) -> Column:
-    """60 random-like bits of the parts, by MD5 so that SQL elsewhere draws the same."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0) -> DataFrame:
     """(source, source_size, weight, target) from (source, size): shares of all sizes by weight, none above max_repeats of its source.
 

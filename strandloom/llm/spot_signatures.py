@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import table, text_of
+from strandloom.llm.common import draw, table, text_of
 
 #: The anchors, frequent function words of several languages.
 ANCHORS = (
@@ -26,6 +26,8 @@ ANCHORS = (
 
 #: Content words without an anchor after which every one starts a chain.
 GAP = 4
+#: Likeness that the length partitions serve.
+THRESHOLD = 0.8
 
 
 def _anchored(text: Column, anchors: list[str]) -> Column:
@@ -36,7 +38,7 @@ def _anchored(text: Column, anchors: list[str]) -> Column:
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
-    """Sorted distinct 64-bit signatures of a text: anchor run, content word, next content word.
+    """Sorted distinct 60-bit signatures of a text: anchor run, content word, next content word.
 
     A content word with no anchor before it nor before the GAP - 1 content words
     ahead of it starts a chain too, so lists and texts in other languages are
@@ -48,7 +50,7 @@ def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
         near = F.slice(ws, F.greatest(i - (GAP - 2), F.lit(1)), F.least(i + 1, F.lit(GAP)))
         starts = F.contains(w, F.lit(":")) | ~F.exists(near, lambda x: F.contains(x, F.lit(":")))
         following = F.substring_index(F.get(ws, i + 1), ":", -1)
-        return F.when(starts, F.xxhash64(w, following))
+        return F.when(starts, draw(w, following))
 
     # an array of one, transformed, binds the words once
     bound = F.transform(F.array(_anchored(text, anchors)), lambda ws: F.transform(ws, lambda w, i: chain(w, i, ws)))[0]
@@ -56,8 +58,9 @@ def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
 
 
 def fingerprint(sigs: Column) -> Column:
-    """Digest of a signature set: its size and 128 bits of its sorted members."""
-    return F.concat(F.lpad(F.lower(F.hex(F.size(sigs))), 8, "0"), F.lit("-"), F.lpad(F.lower(F.hex(F.xxhash64(sigs))), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(F.lit("spot"), sigs))), 16, "0"))
+    """Digest of a signature set: its size and the MD5 of its sorted members."""
+    joined = F.array_join(sigs.cast("array<string>"), ",")
+    return F.concat(F.lpad(F.lower(F.hex(F.size(sigs))), 8, "0"), F.lit("-"), F.md5(joined.cast("binary")))
 
 
 def length_partition(sigs: Column, threshold: float) -> Column:
@@ -113,7 +116,7 @@ def with_next(docs: DataFrame, rows_per_slice: int = 4096) -> DataFrame:
     return placed.withColumn("goes", F.explode(goes)).select("doc_id", "text", F.col("goes.slice").alias("slice"), F.col("goes.lent").alias("lent"))
 
 
-def fingerprints(docs: DataFrame, *, anchors: list[str] = ANCHORS, threshold: float = 0.8) -> DataFrame:
+def fingerprints(docs: DataFrame, *, anchors: list[str] = ANCHORS, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_part.
 
     The edited text replaces the last floor(n_chars / 2) code points by the
