@@ -21,6 +21,8 @@ from strandloom.llm.common import components, settled, table
 
 #: Rows of a block of a cell; two blocks meet in one task.
 BLOCK = 1024
+#: Least cosine of a link.
+THRESHOLD = 0.9
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -140,7 +142,7 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return edges
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, codewords: int | None = None, sample_rows: int = 8192, recall: float = 0.9995, seed: int = 9) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, codewords: int | None = None, sample_rows: int = 8192, recall: float = 0.9995, seed: int = 9) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept, n_copies.
 
     Links join vectors with cosine >= threshold. The codebooks are fitted on at

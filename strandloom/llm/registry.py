@@ -6,6 +6,7 @@ from strandloom.llm.language_id import op6_language_id
 from strandloom.llm.license_scan import op10_license_scan
 from strandloom.llm.license_sql import licence_sql
 from strandloom.llm.multi_index import op9_multi_index
+from strandloom.llm.multi_index_sql import near_vectors_sql
 from strandloom.llm.order_minhash import op7_order_minhash
 from strandloom.llm.packing import op5_best_fit_packing
 from strandloom.llm.quality import op8_quality
@@ -28,4 +29,4 @@ QUERIES = {
     "op9_multi_index": op9_multi_index,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {"op1_source_mix": source_mix_sql(), "op4_spot_signatures": spot_signatures_sql(), "op10_license_scan": licence_sql()}
+SQL: dict[str, str] = {"op1_source_mix": source_mix_sql(), "op4_spot_signatures": spot_signatures_sql(), "op9_multi_index": near_vectors_sql(), "op10_license_scan": licence_sql()}
