@@ -56,12 +56,12 @@ class Costs:
         return min(self.ins - self.match, self.dele)
 
 
-def pieces(segments: DataFrame, overlap: int, size: int = PIECE) -> DataFrame:
-    """(seg_id, piece, at, seq): segments cut into pieces of `size` letters that run on for `overlap` letters."""
+def pieces(segments: DataFrame, overlap: int) -> DataFrame:
+    """(seg_id, piece, at, seq): segments cut into pieces of PIECE letters that run on for `overlap` letters; every node, the last included, has its piece."""
     n = F.length("seq")
-    cut = segments.select("seg_id", F.col("seq").alias("whole"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int"))).alias("piece"))
-    at = F.col("piece") * size
-    return cut.select("seg_id", "piece", at.cast("long").alias("at"), F.substring("whole", at + 1, F.lit(size + overlap)).alias("seq"))
+    cut = segments.select("seg_id", F.col("seq").alias("whole"), F.explode(F.sequence(F.lit(0), F.floor(n / PIECE).cast("int"))).alias("piece"))
+    at = F.col("piece") * PIECE
+    return cut.select("seg_id", "piece", at.cast("long").alias("at"), F.substring("whole", at + 1, F.lit(PIECE + overlap)).alias("seq"))
 
 
 def _ends(now: np.ndarray, limit: int | None = None) -> tuple[int, np.ndarray]:
@@ -82,18 +82,19 @@ def seeded_ends(cut: DataFrame, reads: DataFrame, seed_len: int, costs: Costs, l
     wanted = seeds(reads, seed_len)
     # the reverse strand is matched by reverse-complementing the seeds, which are few, not the reference
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("word")), F.struct(F.lit("-").alias("strand"), F.reverse(F.translate("kmer", "ACGT", "TGCA")).alias("word")))).alias("s")
-    wanted = wanted.join(reads.select("read_id", F.length("seq").alias("len")), "read_id").select("read_id", "len", "start", both).select("read_id", "len", "start", "s.strand", F.col("s.word").alias("kmer"))
+    length = F.col("start") + (F.col("seed") + 1) * seed_len
+    wanted = wanted.select("read_id", length.alias("len"), "start", both).select("read_id", "len", "start", "s.strand", F.col("s.word").alias("kmer"))
     met = wanted.join(forward, "kmer")
     # where the read would begin on the forward strand, were there no indels
     first = F.when(F.col("strand") == "+", F.col("off") - F.col("start")).otherwise(F.col("off") - (F.col("len") - F.col("start") - seed_len))
     first = F.col("piece").cast("long") * PIECE + first
     begin = F.greatest(F.lit(0), F.col("first") - drift)
-    windows = met.select("read_id", "strand", "seg_id", first.alias("first")).distinct()
-    # a window is cut from the piece that holds its first letter; pieces run on for long enough
-    windows = windows.withColumn("piece", F.floor(begin / PIECE).cast("int"))
-    placed = windows.join(cut, ["seg_id", "piece"]).join(reads.select("read_id", F.col("seq").alias("read")), "read_id")
-    wide = F.length("read") + 2 * drift + F.least(F.lit(0), F.col("first") - drift)
-    sliced = placed.select("read_id", "read", "strand", "seg_id", begin.alias("at"), F.substring("seq", (begin - F.col("at")).cast("int") + 1, wide.cast("int")).alias("window"))
+    windows = met.select("read_id", "len", "strand", "seg_id", first.alias("first")).distinct()
+    # a window is cut from the piece that holds its first letter; pieces run on for long enough, and only windows travel on
+    wide = F.col("len") + 2 * drift + F.least(F.lit(0), F.col("first") - drift)
+    placed = windows.withColumn("piece", F.floor(begin / PIECE).cast("int")).join(cut, ["seg_id", "piece"])
+    sliced = placed.select("read_id", "strand", "seg_id", begin.alias("at"), F.substring("seq", (begin - F.col("at")).cast("int") + 1, wide.cast("int")).alias("window"))
+    sliced = sliced.join(reads.select("read_id", F.col("seq").alias("read")), "read_id")
 
     price = costs.all()
 
@@ -160,10 +161,17 @@ def best_ends(ends: DataFrame) -> DataFrame:
     return ends.join(low, ["read_id", "cost"]).select("read_id", "cost", "strand", "seg_id", "end_at").distinct()
 
 
-def linear_ends(segments: DataFrame, reads: DataFrame, costs: Costs, seed_len: int | None, longest: int) -> DataFrame:
-    """Best ends of reads on unlinked segments (seg_id, seq)."""
-    room = 3 * longest + longest * max(costs.subst, costs.match) + 1 if costs.dele <= 0 or costs.gap <= 0 else longest + max(longest * costs.subst // costs.dele, 2 * (longest * max(costs.delta, 0) // costs.gap)) + 2
-    cut = settled(pieces(segments, room))
+def reference_pieces(segments: DataFrame, costs: Costs, longest: int) -> DataFrame:
+    """Pieces of unlinked segments that run on for any alignment of a read of so many letters."""
+    if costs.dele <= 0 or costs.gap <= 0:
+        room = 3 * longest + longest * max(costs.subst, costs.match) + 1
+    else:
+        room = longest + max(longest * max(costs.subst, costs.ins) // costs.dele, 2 * (longest * max(costs.delta, 0) // costs.gap)) + 2
+    return settled(pieces(segments, room))
+
+
+def linear_ends(cut: DataFrame, reads: DataFrame, costs: Costs, seed_len: int | None, longest: int) -> DataFrame:
+    """Best ends of reads on the pieces of unlinked segments."""
     if not seed_len or costs.delta <= 0 or costs.gap <= 0:
         return full_ends(cut, reads, costs)
     found = settled(seeded_ends(cut, reads, seed_len, costs, longest))
@@ -175,16 +183,16 @@ def linear_ends(segments: DataFrame, reads: DataFrame, costs: Costs, seed_len: i
     return certified if open_reads.isEmpty() else certified.unionByName(full_ends(cut, open_reads, costs))
 
 
-def _chain_paths(best: DataFrame, segments: DataFrame, reads: DataFrame, costs: Costs) -> DataFrame:
-    """(read_id, cost, strand, seg_id, offset, end_node, path) of ends on unlinked segments, offset the leftmost letter's."""
+def _chain_paths(best: DataFrame, cut: DataFrame, reads: DataFrame, costs: Costs) -> DataFrame:
+    """(read_id, cost, strand, seg_id, offset, end_node, path) of ends on unlinked segments cut into pieces, offset the leftmost letter's."""
     price = costs.all()
-    n = F.length("read")
-    room = (n + F.floor(F.col("cost") / F.lit(float(max(1, costs.dele))))).cast("int")
     plus = F.col("strand") == "+"
-    near = best.join(segments.select("seg_id", F.col("seq").alias("whole")), "seg_id").join(reads.select("read_id", F.col("seq").alias("read")), "read_id")
-    lo = F.when(plus, F.greatest(F.lit(0), F.col("end_at") - room)).otherwise(F.col("end_at")).cast("int")
-    wide = F.when(plus, F.col("end_at").cast("int") - lo).otherwise(room)
-    near = near.select("read_id", "read", "cost", "strand", "seg_id", "end_at", lo.cast("long").alias("lo"), F.substring("whole", lo + 1, wide).alias("window"))
+    near = best.join(reads.select("read_id", F.col("seq").alias("read")), "read_id")
+    room = (F.length("read") + F.floor(F.col("cost") / F.lit(float(max(1, costs.dele))))).cast("int")
+    lo = F.when(plus, F.greatest(F.lit(0), F.col("end_at") - room)).otherwise(F.col("end_at")).cast("long")
+    wide = F.when(plus, F.col("end_at") - F.col("lo")).otherwise(room).cast("int")
+    near = near.withColumn("lo", lo).withColumn("piece", F.floor(F.col("lo") / PIECE).cast("int")).join(cut.withColumnRenamed("seq", "whole"), ["seg_id", "piece"])
+    near = near.select("read_id", "read", "cost", "strand", "seg_id", "end_at", "lo", F.substring("whole", (F.col("lo") - F.col("at")).cast("int") + 1, wide).alias("window"))
 
     def trace(batches):
         for pdf in batches:
@@ -257,9 +265,10 @@ def align(segments: DataFrame, links: DataFrame | None, reads: DataFrame, *, cos
     alone = alone.where("seq <> ''")
     found = None
     if longest and not alone.isEmpty():
-        ends = settled(best_ends(linear_ends(alone, asked, costs, seed_len, longest)))
+        cut = reference_pieces(alone, costs, longest)
+        ends = settled(best_ends(linear_ends(cut, asked, costs, seed_len, longest)))
         found = _counted(ends.withColumn("key", F.struct("strand", "seg_id", "end_at")), k)
-        paths = _chain_paths(found.where("picked").select("read_id", "cost", "strand", "seg_id", "end_at", "ends"), alone, asked, costs)
+        paths = _chain_paths(found.where("picked").select("read_id", "cost", "strand", "seg_id", "end_at", "ends"), cut, asked, costs)
         found = paths.join(found.select("read_id", "ends").distinct(), "read_id").withColumn("kind", F.lit("chain"))
     if longest and linked is not None:
         edges = settled(doubled(character_graph(linked, links, drop_tail)))
