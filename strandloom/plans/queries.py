@@ -193,9 +193,12 @@ def seed_h(spark, d):
     return D.root_bounds(reads, D.seed_matches(D.seeds(reads, K), I.kmers(sequences(spark, d), K)), K)
 
 
-@query()
+@query(
+    f"WITH {DS}, {RS}, starts AS (SELECT left(seq, 5) AS ahead, min(seg_id)::BIGINT * 4294967296 AS node FROM ds WHERE length(seq) > 5 GROUP BY 1), wanted AS (SELECT DISTINCT left(seq, 5) AS prefix FROM rs WHERE length(seq) >= 5) "
+    "SELECT node, prefix, least(5, len(list_filter([1, 2, 3, 4, 5], lambda i: ahead[i] <> prefix[i])))::INTEGER AS cost FROM starts, wanted"
+)
 def prefix_h(spark, d):
-    """Capped costs of the reads' first letters from the nodes that stand for each class of segment starts."""
+    """Capped costs of the reads' first letters from the nodes that stand for each class of segment starts; gaps cost the cap, so SQL needs only count differences."""
     e = G.sequence_edges(sequences(spark, d))
     starts = I.linear_prefixes(e, 5).where(S.node_offset(F.col("node")) == 0).groupBy(F.col("prefix").alias("ahead")).agg(F.min("node").alias("node"))
     ahead = read_table(spark, d).where("length(seq) >= 5").select(F.substring("seq", 1, 5).alias("prefix")).distinct()
@@ -339,10 +342,10 @@ def every_nth(spark, d):
     return W.every_nth(_t(spark, d, "events").select("event_id"), "event_id", [], 100).select("event_id", "position")
 
 
-@query()
+@query("WITH e AS (SELECT event_id, value, pow(1 - 2.0::DOUBLE / 401, -(row_number() OVER (ORDER BY event_id))) AS w FROM events) SELECT event_id, round(sum(value * w) OVER o / sum(w) OVER o, 4) AS ewm FROM e WINDOW o AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def ewm(spark, d):
     out = W.exponential_mean(_t(spark, d, "events").select("event_id", "value"), "event_id", [], F.col("value"), 400)
-    return out.select("event_id", F.round("ewm", 6).alias("ewm"))
+    return out.select("event_id", F.round("ewm", 4).alias("ewm"))
 
 
 @query("SELECT l_quantity, round(max(share), 9) AS share FROM (SELECT l_quantity, cume_dist() OVER (ORDER BY l_quantity) AS share FROM lineitem) GROUP BY 1")
