@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import SEGMENT_BITS, error_step, spell_path
 from strandloom.operators.components import components
 from strandloom.operators.graph import character_graph, doubled
+from strandloom.operators.index import words
 from strandloom.operators.kernels import SEPARATOR, Graph, batch_costs, chain_costs, chain_path, encode, encode_read, reversed_complement, straight_path
 from strandloom.operators.lineage import settled
 from strandloom.operators.seeds import seed_matches, seeds
@@ -76,9 +77,7 @@ def seeded_ends(cut: DataFrame, reads: DataFrame, seed_len: int, costs: Costs, l
     a certified read can drift.
     """
     drift = max(0, ((longest // seed_len) * costs.delta - 1) // costs.gap)
-    n = F.length("seq")
-    starts = F.explode(F.when(n >= seed_len, F.sequence(F.lit(0), F.least(n - seed_len, F.lit(PIECE - 1)))).otherwise(F.array().cast("array<int>"))).alias("pos")
-    forward = cut.select("seg_id", "piece", "at", "seq", starts).select("seg_id", "piece", F.col("pos").alias("off"), F.substring("seq", F.col("pos") + 1, F.lit(seed_len)).alias("kmer"))
+    forward = words(cut, seed_len, ["seg_id", "piece"]).where(F.col("pos") < PIECE).select("seg_id", "piece", F.col("pos").alias("off"), F.col("word").alias("kmer"))
     wanted = seeds(reads, seed_len)
     # the reverse strand is matched by reverse-complementing the seeds, which are few, not the reference
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("word")), F.struct(F.lit("-").alias("strand"), F.reverse(F.translate("kmer", "ACGT", "TGCA")).alias("word")))).alias("s")

@@ -11,10 +11,9 @@ from strandloom.operators.lineage import settled
 
 def sequence_edges(segments: DataFrame) -> DataFrame:
     """Inner edges of every segment: letter j leads from node j to node j + 1; ambiguity codes give parallel edges."""
-    n = F.length("seq")
-    at = F.explode(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))).alias("j")
-    letters = segments.select("seg_id", "seq", at)
-    letters = letters.select(node_id(F.col("seg_id"), F.col("j") - 1).alias("src"), node_id(F.col("seg_id"), F.col("j")).alias("dst"), F.explode(expand_base(F.substring("seq", F.col("j"), F.lit(1)))).alias("label"))
+    # split walks a string once; a substring a letter would walk it from the start each time
+    letters = segments.where(F.length("seq") > 1).select("seg_id", F.posexplode(F.split(F.expr("left(seq, length(seq) - 1)"), "")).alias("j", "letter")).where("letter <> ''")
+    letters = letters.select(node_id(F.col("seg_id"), F.col("j")).alias("src"), node_id(F.col("seg_id"), F.col("j") + 1).alias("dst"), F.explode(expand_base(F.col("letter"))).alias("label"))
     return letters.withColumn("etype", F.lit("ORIG"))
 
 

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import reverse_complement
 
 
+#: Letters of a stretch in which words are cut, so that no cut walks a long string.
+STRETCH = 64
+
+
+def stretches(seq: str, overlap: int) -> Column:
+    """Array of (at, run): the sequence in runs of STRETCH letters that go on for `overlap` more."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(STRETCH))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(STRETCH + overlap)).alias("run")))
+
+
+def words(sequences: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """(keep.., pos, word): every k-letter run of sequences (seq, ..)."""
+    runs = sequences.where(F.length("seq") >= k).select(*keep, F.explode(stretches("seq", k - 1)).alias("s")).where(F.length("s.run") >= k)
+    at = F.explode(F.sequence(F.lit(0), F.least(F.length("s.run") - k, F.lit(STRETCH - 1)))).alias("i")
+    return runs.select(*keep, "s.at", "s.run", at).select(*keep, (F.col("at") + F.col("i")).alias("pos"), F.substring("run", F.col("i") + 1, F.lit(k)).alias("word"))
+
+
 def kmers(sequences: DataFrame, k: int) -> DataFrame:
     """(seg_id, pos, strand, kmer): every k-letter run of linear sequences (seg_id, seq), on both strands; pos is that of its first letter on the forward strand."""
-    n = F.length("seq")
-    at = F.explode(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))).alias("pos")
-    forward = sequences.select("seg_id", "seq", at).select("seg_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("fwd"))
+    forward = words(sequences, k, ["seg_id"]).withColumnRenamed("word", "fwd")
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("kmer")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("fwd")).alias("kmer")))).alias("s")
     return forward.select("seg_id", "pos", both).select("seg_id", "pos", "s.strand", "s.kmer")
 
@@ -49,7 +64,8 @@ def trie_of_sequences(sequences: DataFrame, depth: int) -> DataFrame:
     """(prefix, depth, n_walks) as trie, for linear sequences without joins: each position gives its prefixes, cut where the sequence ends."""
     n = F.length("seq")
     strands = sequences.select(F.explode(F.array("seq", reverse_complement(F.col("seq")))).alias("seq")).where(n > 0)
-    starts = strands.select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("seq", i, F.lit(depth - 1)))).alias("run"))
+    runs = strands.select(F.explode(stretches("seq", depth - 2)).alias("s")).select("s.run", F.explode(F.sequence(F.lit(1), F.least(F.length("s.run"), F.lit(STRETCH)))).alias("i"))
+    starts = runs.select(F.substring("run", F.col("i"), F.lit(depth - 1)).alias("run"))
     runs = starts.groupBy("run").agg(F.count("*").alias("m"))
     prefixes = runs.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring("run", F.lit(1), i))).alias("prefix"))
     return prefixes.groupBy("prefix").agg(F.sum("m").alias("n_walks")).withColumn("depth", F.length("prefix"))
