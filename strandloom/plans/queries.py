@@ -19,6 +19,7 @@ from strandloom.operators import graph as G
 from strandloom.operators import index as I
 from strandloom.operators import seeds as D
 from strandloom.operators import windows as W
+from strandloom.operators.lineage import settled
 from strandloom.operators.prefixes import prefix_costs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +206,40 @@ def prefix_h(spark, d):
     return prefix_costs(e, starts.crossJoin(ahead).select("node", "prefix")).select("node", "prefix", "cost")
 
 
+def next_letters(spark: SparkSession, d: str) -> DataFrame:
+    """(node, ahead): every node of the documents on both strands with its next 5 letters, fewer where its strand ends."""
+    n = F.length("seq") - 1
+    seg = sequences(spark, d).where("length(seq) > 1").withColumn("path", F.expr("left(seq, length(seq) - 1)"))
+    forward = seg.select("seg_id", n.alias("n"), F.lit(True).alias("fwd"), "path")
+    strands = forward.unionByName(seg.select("seg_id", n.alias("n"), F.lit(False).alias("fwd"), S.reverse_complement(F.col("path")).alias("path")))
+    runs = strands.select("seg_id", "n", "fwd", F.explode(I.stretches("path", 4)).alias("s")).select("seg_id", "n", "fwd", "s.at", "s.run")
+    inner = runs.select("*", F.explode(F.sequence(F.lit(0), F.least(F.length("run"), F.lit(I.STRETCH)) - 1)).alias("i"))
+    inner = inner.select("seg_id", "n", "fwd", (F.col("at") + F.col("i")).alias("pos"), F.substring("run", F.col("i") + 1, F.lit(5)).alias("ahead"))
+    every = inner.unionByName(strands.select("seg_id", "n", "fwd", F.col("n").alias("pos"), F.lit("").alias("ahead")))
+    node = F.when(F.col("fwd"), S.node_id(F.col("seg_id"), F.col("pos"))).otherwise(S.mirror(S.node_id(F.col("seg_id"), F.col("n") - F.col("pos"))))
+    return every.select(node.alias("node"), "ahead")
+
+
+@query(
+    f"WITH {DS}, {RS}, spots AS (SELECT seg_id, seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE length(seq) > 1), "
+    f"n AS (SELECT seg_id::BIGINT * 4294967296 + o AS node, substr(seq, o + 1, least(5, length(seq) - 1 - o)) AS ahead FROM spots UNION ALL SELECT -1 - (seg_id::BIGINT * 4294967296 + o), {REVCOMP.format('substr(seq, greatest(o - 5, 0) + 1, least(o, 5))')} FROM spots), "
+    "classes AS (SELECT ahead, min(node)::BIGINT AS node, count(*)::BIGINT AS n_nodes FROM n GROUP BY 1), wanted AS (SELECT DISTINCT substr(seq, i, 5) AS prefix FROM (SELECT seq, unnest(generate_series(1, length(seq))) AS i FROM rs WHERE seq <> '')) "
+    "SELECT node, n_nodes, prefix, CASE WHEN length(ahead) < length(prefix) THEN 5 ELSE len(list_filter([1, 2, 3, 4, 5], lambda i: i <= length(prefix) AND ahead[i] <> prefix[i])) END::INTEGER AS cost FROM classes, wanted"
+)
+def prefix_h_all(spark, d):
+    """Capped costs of the next letters at every read position, from the nodes that stand for the classes of all nodes of both strands.
+
+    Nodes whose strand ends within 5 letters are classed by the letters left;
+    n_nodes are the nodes of a class. Gaps cost the cap, so SQL counts differences.
+    """
+    classes = settled(next_letters(spark, d).groupBy("ahead").agg(F.min("node").alias("node"), F.count("*").alias("n_nodes")))
+    near = sequences(spark, d).join(F.broadcast(classes.select(S.node_segment(F.col("node")).alias("seg_id")).distinct()), "seg_id", "left_semi")
+    runs = read_table(spark, d).where("seq <> ''").select(F.explode(I.stretches("seq", 4)).alias("s")).select("s.run")
+    asked = runs.select("run", F.explode(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(I.STRETCH)))).alias("i")).select(F.substring("run", F.col("i"), F.lit(5)).alias("prefix")).distinct()
+    costs = prefix_costs(G.doubled(G.sequence_edges(near)), classes.select("node").crossJoin(asked))
+    return costs.join(classes.select("node", "n_nodes"), "node").select("node", "n_nodes", "prefix", "cost")
+
+
 @query()
 def align_reads(spark, d):
     """Every read against every document, both strands: up to three optimal ends."""
@@ -231,6 +266,23 @@ def edit_expand(spark, d):
     return moves.select("seg_id", "move", "label", S.node_offset(F.col("to")).alias("to_offset"), S.edge_cost(F.col("move")).alias("cost"))
 
 
+@query(
+    f"WITH {DS}, spots AS (SELECT seg_id, seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE length(seq) > 1), e AS (SELECT seg_id, o, substr(seq, o + 1, 1) AS base FROM spots WHERE o < length(seq) - 1), "
+    "both_ AS (SELECT seg_id, '+' AS strand, base, o + 1 AS dst FROM e UNION ALL SELECT seg_id, '-', translate(base, 'ACGT', 'TGCA'), o FROM e), letters(letter) AS (VALUES ('A'), ('C'), ('G'), ('T')), "
+    "m AS (SELECT seg_id, strand, CASE WHEN base = letter THEN 'ORIG' ELSE 'SUBST' END AS move, letter AS label, dst AS o FROM both_, letters UNION ALL SELECT seg_id, strand, 'DEL', 'e', dst FROM both_, letters "
+    "UNION ALL SELECT seg_id, strand, 'INS', letter, o FROM spots, letters, (VALUES ('+'), ('-')) s(strand)) "
+    "SELECT seg_id, strand, move, label, CASE move WHEN 'ORIG' THEN 0 WHEN 'SUBST' THEN 1 ELSE 5 END AS cost, count(*)::BIGINT AS n, sum(o)::BIGINT AS to_offsets FROM m GROUP BY 1, 2, 3, 4"
+)
+def edit_expand_all(spark, d):
+    """The moves of every node of both strands at each letter a read can have next, counted by document, strand and move."""
+    edges = G.doubled(G.sequence_edges(sequences(spark, d)))
+    states = G.nodes(edges).select("node", F.explode(F.array(*map(F.lit, "ACGT"))).alias("letter"))
+    moves = G.edit_edges(states, edges)
+    strand = F.when(S.on_reverse(F.col("to")), "-").otherwise("+")
+    per = moves.groupBy(S.node_segment(F.col("to")).alias("seg_id"), strand.alias("strand"), "move", "label").agg(F.count("*").alias("n"), F.sum(S.node_offset(F.col("to"))).alias("to_offsets"))
+    return per.select("seg_id", "strand", "move", "label", S.edge_cost(F.col("move")).alias("cost"), "n", "to_offsets")
+
+
 @query(
     "WITH q AS (SELECT p_brand, p_name, unnest(string_split(p_name, '')) AS c FROM part WHERE p_name <> ''), e AS (SELECT p_brand, sum(pow(10.0, -(ascii(c) - 33) / 10.0)) AS err FROM q GROUP BY 1), "
     "s AS (SELECT p_brand, sum(length(p_name) - 1)::BIGINT AS size_sum, count(*)::BIGINT AS n_reads FROM part GROUP BY 1) SELECT p_brand, n_reads, size_sum, round(err / size_sum, 6) AS phred_error FROM s JOIN e USING (p_brand)"
