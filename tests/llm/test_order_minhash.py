@@ -95,6 +95,24 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["class_id"]) for r in M.near_duplicates(docs).collect()) == want
 
 
+def test_edit_similarity_alone_decides(spark):
+    """Copies with spread edits, similar in words though their shingles have Jaccard far under 0.8, are linked; texts under 0.8 are not."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"w{draw.random()}" for _ in range(draw.choice([10, 30, 60, 142, 500]))]
+        for copy, share in enumerate((0, 0.05, 0.15, 0.3)):
+            edited = list(words)
+            for at in draw.sample(range(len(words)), int(share * len(words))):
+                edited[at] = f"new{draw.random()}"
+            rows.append((10 * i + copy, " ".join(edited), "c", "n"))
+    rows += [(1000, "a b c d e", "c", "n"), (1001, "a b x d e", "c", "n")]
+    classes = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert classes[1001] == 1000
+    for i in range(40):
+        assert [classes[10 * i + c] for c in range(4)] == [10 * i] * 3 + [10 * i + 3]
+
+
 def test_stage_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "c", "n"), (2, "a b c d e f g", "c", "n"), (2, "a b c d e f g", "c", "n"), (3, "other words entirely in here now", "c", "n"), (2, "the id of a copy with words of its own", "c", "n")], DOCS)
     kept = M.dedup_stage(spark, docs, "")
