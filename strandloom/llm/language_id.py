@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import held_out, table, text_of
@@ -102,18 +102,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, *, epochs: int,
     return w
 
 
-def train_language(docs: DataFrame, *, rows_per_lang: int = 300, max_langs: int = 64, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
-    """Fit on about `rows_per_lang` rows of each of the `max_langs` most frequent languages.
+def train_language(docs: DataFrame, *, rows_per_lang: int = 300, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
+    """Fit on about `rows_per_lang` rows of every language, however many there are.
 
     Rows outside the held-out fold with a non-null lang and a letter, taken by a
-    hash of doc_id under a threshold set from the language's count (so at most
-    some 2 x rows_per_lang x max_langs in expectation, and the limit below). A
-    fifth of them fit the temperature.
+    hash of doc_id under a threshold set from the language's count, the first
+    2 x rows_per_lang of a language by that hash at most. Every fifth row of a
+    language fits the temperature.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id", text_of().alias("t")).where(F.col("lang").isNotNull() & ~held_out() & F.col("t").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(rows_per_lang)) / F.col("n"))  # at most max_langs rows
+    sample = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(rows_per_lang)) / F.col("n"))  # a row a language
+    first = Window.partitionBy("lang").orderBy("u", "t")
+    sample = sample.select("lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("u"), "t").withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * rows_per_lang)
     held, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + held)) + 1.0
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -123,15 +125,19 @@ def train_language(docs: DataFrame, *, rows_per_lang: int = 300, max_langs: int
             out = [vector(t, shared.value) for t in pdf["t"]]
             yield pd.DataFrame({"lang": pdf["lang"], "u": pdf["u"], "at": [a.astype(np.uint16).tobytes() for a, _ in out], "v": [v.astype(np.float32).tobytes() for _, v in out]})
 
-    taken = sample.select("lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("u"), "t").mapInPandas(featured, "lang string, u long, at binary, v binary").limit(2 * rows_per_lang * max_langs).collect()
+    taken = sample.select("lang", "u", "t").mapInPandas(featured, "lang string, u long, at binary, v binary").collect()
     taken.sort(key=lambda r: (r["u"], r["lang"], bytes(r["at"])))
     langs = sorted({r["lang"] for r in taken})
     if not langs:
         return LanguageModel([], idf, np.zeros((DIMS, 0)), 1.0)
     index = {x: i for i, x in enumerate(langs)}
     data = [(np.frombuffer(r["at"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["v"], dtype=np.float32).astype(np.float64), index[r["lang"]]) for r in taken]
-    fit, check = [d for i, d in enumerate(data) if i % 5], data[::5]
-    weights = ftrl(fit or data, len(langs), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=seed)
+    met, fit, check = [0] * len(langs), [], []
+    for d in data:  # the first four rows of a language are fitted, so that each has weights
+        met[d[2]] += 1
+        (fit if met[d[2]] % 5 else check).append(d)
+    check = check or fit
+    weights = ftrl(fit, len(langs), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=seed)
     logits = np.array([v @ weights[at] for at, v, _ in check])
     y = np.array([d[2] for d in check])
 

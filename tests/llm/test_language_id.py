@@ -37,6 +37,18 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     assert not left & {9001, 9002, 9003} and len(left) > 440
 
 
+def test_every_language_is_learned(spark):
+    draw = random.Random(5)
+    rows = []
+    for lang in range(70):
+        syllables = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(3)]
+        rows += [(100 * lang + i, " ".join(draw.choice(syllables) for _ in range(20)), f"l{lang:02}", "s", "x") for i in range(8 if lang > 60 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, lang_pred string")
+    model = train_language(docs, rows_per_lang=20)
+    assert set(model.langs) == {r[2] for r in rows}
+    assert sum(model.predict(r[1])[0] == r[2] for r in rows) / len(rows) > 0.95
+
+
 def test_nothing_to_learn(spark):
     docs = corpus(spark, 20)
     model = train_language(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("false"))
