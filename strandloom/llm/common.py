@@ -1,13 +1,17 @@
-"""Pieces shared by the corpus operators: reading, fold rule, checkpoints, components."""
+"""Pieces shared by the corpus operators: reading, fold rule, draws; checkpoints and components are the core's."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators.components import components as components
+from strandloom.operators.lineage import deleted as deleted
+from strandloom.operators.lineage import ensure_checkpoint_dir as ensure_checkpoint_dir
+from strandloom.operators.lineage import settled as settled
+
 #: Bytes of a word in the default word rule: anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -32,57 +36,6 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only where it is unset (tests), a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(prefix: str) -> str:
     """A column name that no input can hold by accident."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
-
-
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of undirected edges (a, b): rows (node, component).
-
-    component is the smallest node of the component; only nodes that have an
-    edge to another node appear. Alternates large-star and small-star rounds
-    (Kiveris et al., 2014), each a map-side combined min and one join back, so
-    a hub is no more than a skewed join side that adaptive execution splits.
-    Every round is checkpointed. Nulls and self loops are dropped.
-    """
-    links = settled(
-        edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-        .where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    digest = None
-    for _ in range(max_rounds):
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        links = settled(small)
-        now = links.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if digest == (now["n"], now["h"]):
-            break
-        digest = (now["n"], now["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

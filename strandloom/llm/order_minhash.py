@@ -246,56 +246,65 @@ def links_of(texts: list[str], sides: list[int], threshold: float) -> list[tuple
     return edges
 
 
-def _node(text: Column) -> Column:
-    """60 bits of the text's SHA-256: equal texts are one node."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+def digest_of(text: Column) -> Column:
+    """The SHA-256 of a text, all of it: equal digests are equal texts."""
+    return F.unhex(F.sha2(text, 256))
+
+
+#: Parts into which the rows of one class are dealt when its totals go back to them.
+SALTS = 16
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """Per document: doc_id, class_id, kept, n_copies, text_id (60 bits of the text's SHA-256).
+    """Per document: doc_id, class_id, kept, n_copies, text_id (the text's SHA-256 in hex).
 
     class_id is the smallest doc_id of the documents that links reach; kept is
-    true for that one. Links join equal texts, and texts whose words differ by
-    at most 1 - threshold of the longer in edits; candidates share one of
-    SKETCHES sketches, which in expectation misses a pair with edits at random in a fifth of
-    its words about once in 10,000.
-
-    Equal texts are one node, so copies cost a row each and no comparison. A
-    group of candidates larger than a block is compared block against block, in
-    tasks that send a spanning forest. Null texts read as empty; texts without
-    words are alike only if equal; a null id keeps its row, in the class of its
-    text; repeated rows share their class; an empty table gives no rows; other
-    columns are ignored.
+    true for that one (of several texts under that id for one text only, and
+    for one text of a class without ids). Links join equal texts, and texts
+    whose words differ by at most 1 - threshold of the longer in edits;
+    candidates share one of SKETCHES sketches, which in expectation misses a
+    pair with edits at random in a fifth of its words about once in 10,000.
+
+    Equal texts are one node, numbered after they are gathered by their full
+    digest, so copies cost a row each and no comparison. A group of candidates
+    larger than a block is compared block against block, in tasks that send a
+    spanning forest. Null texts read as empty; texts without words are alike
+    only if equal; a null id keeps its row, in the class of its text; repeated
+    rows share their class; an empty table gives no rows; other columns are
+    ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    hashed = rows.select("doc_id", "text", digest_of(F.col("text")).alias("digest"))
 
     def sketch(batches):
         for pdf in batches:
             found = [word_ids(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": pdf["node"], "n": [len(x) for x in found], "keys": [text_sketches(x) for x in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "n": [len(x) for x in found], "keys": [text_sketches(x) for x in found]})
 
-    sketched = settled(rows.select("doc_id", "text", _node(F.col("text")).alias("node")).mapInPandas(sketch, "doc_id long, node long, n long, keys array<long>"))
-    classes = settled(sketched.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    sketched = settled(hashed.mapInPandas(sketch, "doc_id long, digest binary, n long, keys array<long>"))
+    classes = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))  # the numbers hold once they are written
     buckets = classes.select("node", "n", F.explode("keys").alias("key"))
-    common = buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     # lengths too far apart need too many edits, so a sketch joins only neighbours in length
     by_length = Window.partitionBy("key").orderBy("n", "node")
-    chain = buckets.join(common, "key").select("node", "n", F.lag("node").over(by_length).alias("before"), F.lag("n").over(by_length).alias("shorter"))
+    chain = buckets.select("node", "n", F.lag("node").over(by_length).alias("before"), F.lag("n").over(by_length).alias("shorter"))
     chain = chain.where(F.col("n") - F.col("shorter") <= F.floor(F.col("n") * (1 - threshold) + 1e-9))
     groups = components(chain.select(F.col("node").alias("a"), F.col("before").alias("b")))
-    members = classes.select("node", "rep", "n").join(groups.select("node", F.col("component").alias("group")), "node")
+    members = classes.select("node", "digest", "rep", "n").join(groups.select("node", F.col("component").alias("group")), "node")
     load = members.groupBy("group").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("long")
     # texts within the threshold lie in the same or the next band of lengths: a large group is dealt into cells of two bands
     band = F.floor(F.log(F.col("n").cast("double")) / max(1.01 * math.log(1 / threshold), 0.01)).cast("long")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))
-    members = settled(members.join(load.select("group", blocks.alias("blocks")), "group").select("node", "rep", "n", F.col("group").alias("whole"), F.explode(cells).alias("cell")))
+    members = settled(members.join(load.select("group", blocks.alias("blocks")), "group").select("node", "digest", "rep", "n", F.col("group").alias("whole"), F.explode(cells).alias("cell")))
     load = members.groupBy("whole", "cell").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
     load = load.select("whole", "cell", F.xxhash64("whole", "cell").alias("group"), blocks.alias("blocks"))
     members = settled(members.join(load, ["whole", "cell"]))
     placed = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.select(F.col("node").alias("m_node"), "rep", "group", "own", "blocks")
-    texts = rows.withColumn("node", _node(F.col("text"))).join(placed, (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    placed = placed.select("node", F.col("digest").alias("m_digest"), F.col("rep"), "group", "own", "blocks")
+    # one row gives the text of a node: that of its smallest id; texts that no id holds are gathered first
+    named = hashed.where("doc_id IS NOT NULL").unionByName(hashed.where("doc_id IS NULL").dropDuplicates(["digest"]))
+    texts = named.join(placed, (F.col("digest") == F.col("m_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     # a text meets every block of its group, its own included
     texts = texts.select("node", "text", "group", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     texts = texts.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text", "own")
@@ -307,11 +316,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}).astype("int64")
 
     links = settled(texts.groupBy("group", "i", "j").applyInPandas(verify, "a long, b long"))
-    reach = components(links)
-    rooted = sketched.select("doc_id", "node").join(reach, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
-    out = rooted.join(lows, "root")
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "n_copies", F.col("node").alias("text_id"))
+    # totals by class over distinct texts that have a link, then back to them in SALTS parts, so that no class fills a task
+    linked = settled(classes.select("node", "digest", "rep", "copies").join(components(links), "node"))
+    first = F.struct(F.col("rep").isNull(), "rep", "digest")
+    totals = linked.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("n_copies"), F.min_by("digest", first).alias("lead"))
+    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.select("digest", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    of_text = salted.join(totals, ["component", "salt"]).select("digest", "class_id", "n_copies", "lead")
+    alone = classes.join(linked.select("node"), "node", "left_anti").select("digest", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), F.col("digest").alias("lead"))
+    out = sketched.select("doc_id", "digest").join(of_text.unionByName(alone), "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("lead"))
+    return out.select("doc_id", "class_id", kept.alias("kept"), "n_copies", F.lower(F.hex("digest")).alias("text_id"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,9 +337,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id, with all its columns.
 
     Rows are matched by id and text, so another text under a kept id keeps its
-    own decision; of rows equal in both one stays.
+    own decision; of rows equal in both one stays. Null texts and ids, empty and
+    very long texts, and repeated rows go as in near_duplicates; an empty table
+    stays empty; columns of any name pass through.
     """
     own_id, own_text, node = fresh("id"), fresh("text"), fresh("node")  # names that docs can't hold
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_id").alias(own_text)).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(node) == F.col(own_text))
-    return docs.withColumn(node, _node(text_of())).join(kept, same, "left_semi").dropDuplicates(["doc_id", node]).drop(node)
+    return docs.withColumn(node, F.sha2(text_of(), 256)).join(kept, same, "left_semi").dropDuplicates(["doc_id", node]).drop(node)

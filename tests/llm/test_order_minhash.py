@@ -1,6 +1,9 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,10 +64,21 @@ def corpus(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+def similar(a, b, threshold):
+    """By the definition, with nothing of the module: words, common ends trimmed, the full matrix of what is left."""
+    most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
+    if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > most:
+        return False  # so many words of the longer have no partner
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return edit_distance(a, b) <= most
+
+
 def brute(rows, threshold=0.8):
     texts = [r["text"] or "" for r in rows]
-    ids = [M.word_ids(t) for t in texts]
-    sets = [np.unique(M.kmers(x)) for x in ids]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
     parent = list(range(len(rows)))
 
     def find(v):
@@ -74,7 +88,7 @@ def brute(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if texts[i] == texts[j] or (len(sets[i]) and len(sets[j]) and M.alike(ids[i], ids[j], sets[i], sets[j], threshold)):
+            if find(i) != find(j) and (texts[i] == texts[j] or (words[i] and words[j] and similar(words[i], words[j], threshold))):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     low = {}
     for i, r in enumerate(rows):
@@ -83,13 +97,37 @@ def brute(rows, threshold=0.8):
     return sorted((str(r["doc_id"]), low[find(i)]) for i, r in enumerate(rows))
 
 
+@pytest.mark.parametrize("words", [30, 40, 41, 60, 300])
+def test_sketches_meet_on_both_sides_of_short(words):
+    """Pairs with edits at random in a fifth of their words share a sketch, just under, just over and far from SHORT."""
+    draw = random.Random(words)
+    met = 0
+    for _ in range(200):
+        text = [f"w{draw.random()}" for _ in range(words)]
+        other = list(text)
+        for at in draw.sample(range(words), words // 5):
+            other[at] = f"new{draw.random()}"
+        met += bool(set(M.text_sketches(M.word_ids(" ".join(text)))) & set(M.text_sketches(M.word_ids(" ".join(other)))))
+    assert met >= 198
+
+
+def test_texts_without_ids_and_repeated_ids(spark):
+    rows = [(None, "one text that no id holds at all", "c", "n")] * 3 + [(None, "one text that no id holds at last", "c", "n"), (7, "first text under seven with words", "c", "n"), (7, "first text under seven with letters", "c", "n"), (8, "", "c", "n"), (9, None, "c", "n")]
+    got = M.near_duplicates(spark.createDataFrame(rows, DOCS), threshold=0.8).collect()
+    assert len(got) == len(rows)
+    assert {r["class_id"] for r in got if r["doc_id"] is None} == {None}
+    assert len({r["text_id"] for r in got if r["doc_id"] is None and r["kept"]}) == 1
+    assert sum(r["kept"] for r in got if r["doc_id"] == 7) == 1
+    assert {(r["doc_id"], r["class_id"], r["n_copies"]) for r in got if r["doc_id"] in (8, 9)} == {(8, 8, 2), (9, 8, 2)}
+
+
 def test_classes_equal_brute_force(spark, monkeypatch):
     docs = corpus(spark)
     rows = docs.collect()
     want = brute(rows)
     got = M.near_duplicates(docs).collect()
     assert sorted((str(r["doc_id"]), r["class_id"]) for r in got) == want
-    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+    assert {(r["doc_id"], r["text_id"]) for r in got if r["kept"]} <= {(r["doc_id"], r["text_id"]) for r in got if r["doc_id"] == r["class_id"]} and len({r["class_id"] for r in got}) == len({r["doc_id"] for r in got if r["kept"]})
     # groups larger than a block go block against block
     monkeypatch.setattr(M, "BLOCK_TEXTS", 16)
     assert sorted((str(r["doc_id"]), r["class_id"]) for r in M.near_duplicates(docs).collect()) == want
