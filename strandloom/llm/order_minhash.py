@@ -109,8 +109,54 @@ def text_sketches(ids: np.ndarray) -> list[int]:
     return keys + sketches(labelled(kmers(ids, Q)), SKETCHES, SHORT_SKETCHES, 1) if len(ids) <= SHORT else keys
 
 
+#: Words up to which the band is kept in the bits of integers; longer texts go by diagonals, with the same result.
+BIT_WORDS = 1 << 14
+
+
 def edits_within(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int) -> int | None:
-    """Edit distance of two word lists if at most `most`, by furthest-reaching points on the diagonals of a band."""
+    """Edit distance of two word lists if at most `most`, by an alignment inside a band of that width on both sides."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if len(a) - len(b) > most:
+        return None
+    return by_diagonals(a, b, most) if len(a) > BIT_WORDS else by_bits(list(map(int, a)), list(map(int, b)), min(most, len(a)))
+
+
+def by_bits(a: list[int], b: list[int], most: int) -> int | None:
+    """As edits_within for a not shorter than b, the differences between rows of the band held as bits (Hyyrö, 2003).
+
+    At column j, bit k stands for row j - most + k. The distance is followed
+    along the lowest diagonal of the band until that leaves the matrix, and
+    then along the last row.
+    """
+    n, m = len(a), len(b)
+    rows: dict[int, int] = {}
+    for i, x in enumerate(a):
+        rows[x] = rows.get(x, 0) | (1 << i)
+    full = (1 << (2 * most + 1)) - 1
+    up, down = ((1 << (most + 1)) - 1) << most, 0  # differences +1 and -1 from the row above
+    top, dist = 1 << (2 * most), most
+    for j in range(1, m + 1):
+        equal, shift = rows.get(b[j - 1], 0), j - most - 1
+        equal = (equal >> shift if shift >= 0 else equal << -shift) & full
+        same = ((((equal & up) + up) ^ up) | equal | down) & full  # no difference along the diagonal
+        right, left = down | (full & ~(same | up)), up & same
+        if j <= n - most:
+            if not same & top:
+                dist += 1
+                if dist > m - n + 2 * most:
+                    return None
+        else:
+            row = n - j + most
+            dist += (right >> row & 1) - (left >> row & 1)
+            if dist - (m - j) > most:
+                return None
+        same >>= 1
+        up, down = left | (full & ~(same | right)), right & same
+    return dist if dist <= most else None
+
+
+def by_diagonals(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int) -> int | None:
+    """As edits_within, by furthest-reaching points on the diagonals of the band: memory linear in the band."""
     n, m = len(a), len(b)
     goal = m - n
     if abs(goal) > most:

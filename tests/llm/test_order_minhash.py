@@ -26,6 +26,7 @@ def edit_distance(a, b):
 def test_banded_alignment_is_exact(a, b, most):
     d = edit_distance(a, b)
     assert M.edits_within(a, b, most) == (d if d <= most else None)
+    assert M.by_diagonals(a, b, most) == (d if d <= most else None)
 
 
 def test_sketches_follow_order_and_occurrence():
