@@ -8,47 +8,48 @@ blocks that a seeded even selection names. Built from DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import WORD_PATTERN, draw, fresh, settled, table, text_of
 
-#: Bisection steps over the divisors. They end in the last bits of a double; the divisor is then
-#: raised by 1e-12 of it, so that rounding decides no tie and the order of quotients does.
-STEPS = 80
 #: Tokens of a block, words of a shard, and the seed of all draws.
 BLOCK, SHARD_WORDS, SEED = 16, 1 << 18, 20
 
 
-def _seats(values: str, divisor: str) -> str:
-    """SQL: blocks won at a divisor, a source or shard winning its s-th at value / divisor >= s - 1/2."""
-    return f"aggregate({values}, 0D, (a, v) -> a + floor(v / {divisor} + 0.5D))"
+def sainte_lague(rows: DataFrame, per_range: int = 4096) -> DataFrame:
+    """(g, i, blocks) of rows (g, i, v, seats): the seats of each group go one by one to the highest quotient v / (2s - 1), ties to the smaller i.
 
-
-def sainte_lague(values: str, seats: str) -> Column:
-    """Array of blocks won by each element of the double array `values`, `seats` in all.
-
-    Equivalent to handing out blocks one by one to the highest quotient
-    value / (2s - 1), ties to the earlier element: a bisection finds the divisor
-    just above the last quotient that wins, and the blocks still open go to the
-    elements whose next quotient is highest. values and seats are column names.
+    With all seats given, n of them to k rows of the sum V, the divisor lies
+    between V / (n + k / 2) and V / (n - k / 2), as rounding moves each row by
+    half a seat at most. Seats won at the larger divisor are sure, and between
+    the two lie about k quotients, so the work is linear in the rows. These
+    are counted by ranges of 1 / quotient, whose running sums show the one
+    range in which the last seat falls; only inside a range are they ranked.
+    Rows without v win nothing and are absent.
     """
-    low, high = "named_struct('lo', 0D, 'hi', array_max({v}) * 2D + 1D)", f"{_seats(values, '((p.lo + p.hi) / 2D)')}"
-    start = low.format(v=values)
-    hi = (
-        f"aggregate(sequence(1, {STEPS}), {start}, (p, i) -> CASE WHEN {high} <= {seats} "
-        f"THEN named_struct('lo', p.lo, 'hi', (p.lo + p.hi) / 2D) ELSE named_struct('lo', (p.lo + p.hi) / 2D, 'hi', p.hi) END).hi * (1D + 1e-12D)"
-    )
-    sure = f"transform({values}, v -> floor(v / d + 0.5D))"
-    # the elements ordered by their next quotient; as many as blocks are open get one more
-    nexts = f"array_sort(transform({values}, (v, i) -> named_struct('q', -v / (floor(v / d + 0.5D) + 0.5D), 'i', i)))"
-    more = f"transform(slice({nexts}, 1, cast(greatest(0D, {seats} - {_seats(values, 'd')}) AS int)), x -> x.i)"
-    solved = f"transform(array({hi}), d -> transform({sure}, (s, i) -> cast(s + if(array_contains({more}, i), 1, 0) AS bigint)))[0]"
-    return F.expr(f"CASE WHEN {seats} <= 0 OR coalesce(array_max({values}), 0D) <= 0 THEN transform({values}, v -> 0L) ELSE {solved} END")
+    rows = rows.where("v > 0 AND seats > 0")
+    k = F.col("k") / F.lit(2.0)
+    per = rows.groupBy("g").agg(F.max("seats").alias("n"), F.sum("v").alias("all"), F.count("*").cast("double").alias("k"))
+    low, high = F.greatest(F.lit(0.0), (F.col("n") - k) / F.col("all")) * (1 - 1e-9), (F.col("n") + k) / F.col("all") * (1 + 1e-9)
+    per = per.select("g", "n", low.alias("low"), high.alias("high"), F.ceil(F.col("k") / per_range).alias("ranges"))
+    seats_at = lambda x: F.floor(F.col("v") * F.col(x) + 0.5).cast("long")
+    at = rows.drop("seats").join(per, "g").withColumn("sure", seats_at("low")).withColumn("upto", seats_at("high"))
+    open_ = at.where("upto > sure").select("g", "i", "v", "low", "high", "ranges", F.explode(F.sequence(F.col("sure") + 1, F.col("upto"))).alias("s"))
+    open_ = open_.withColumn("quotient", F.col("v") / (2 * F.col("s") - 1))
+    place = (1 / F.col("quotient") - 2 * F.col("low")) / (2 * (F.col("high") - F.col("low"))) * F.col("ranges")
+    open_ = open_.select("g", "i", "quotient", F.least(F.greatest(F.floor(place), F.lit(0)), F.col("ranges") - 1).alias("range"))
+    left = at.groupBy("g").agg((F.max("n") - F.sum("sure")).alias("left_over"))
+    before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = open_.groupBy("g", "range").agg(F.count("*").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    held = held.join(left, "g").where("before < left_over").select("g", "range", (F.col("left_over") - F.col("before")).alias("most"))
+    ranked = open_.join(held, ["g", "range"]).withColumn("place", F.row_number().over(Window.partitionBy("g", "range").orderBy(F.col("quotient").desc(), "i")))
+    won = ranked.where("place <= most").groupBy("g", "i").agg(F.count("*").alias("won"))
+    return at.select("g", "i", "sure").join(won, ["g", "i"], "left").select("g", "i", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("blocks"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: float = 3.0) -> DataFrame:
-    """(source, source_size, weight, target) from (source, size): shares of all sizes by weight, none above max_repeats of its source.
+    """(no, source, source_size, weight, target) from (source, size): shares of all sizes by weight, none above max_repeats of its source.
 
     Sources by code point, null last, take the weights in turn. Shares above
     their cap stop there and the excess is shared again by weight: with the
@@ -58,7 +59,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("no", F.row_number().over(by_name))
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("no") - 1, F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("weight", turn).withColumn("cap", F.lit(max_repeats) * F.col("source_size"))
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
@@ -68,7 +70,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     # the first source whose own cap reaches the level sets it for all, and levels only fall after it; before it every source stops at its cap
     open_level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight") * (1 + 1e-12), F.col("level"))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(open_level, F.lit(float("inf"))) * F.col("weight"))
-    return per.select("source", "source_size", "weight", target.alias("target"))
+    return per.select("no", "source", "source_size", "weight", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -81,7 +83,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     block, a shard of a source holds about `shard_words` words, and `seed`
     fixes shards, order and choice.
 
-    Skew: a hot source has many shards, so no task orders more than a shard.
+    Skew: a hot source has many shards, so no task orders more than a shard;
+    texts without words are ordered apart from it, in a thousand parts.
     Null texts have size 0 and are never taken; null sources form one source;
     null and repeated ids count as documents of their own; an empty table gives
     no rows; other columns are ignored.
@@ -89,25 +92,23 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     n_words = F.regexp_count(text_of(), F.lit(WORD_PATTERN)).cast("long")
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words.alias("size"), draw(text_of()).alias("h"))
     sized = settled(sized)  # ids and sizes, so the texts are read once
-    target = source_targets(sized.select("source", "size"), weights, float(max_repeats))
-    # blocks of the sources: one row gathers the sources, which are few beside the documents
-    won = target.where("target > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("z"), "source", "target", "source_size"))).alias("s"))
-    won = won.withColumn("v", F.expr(f"transform(s, x -> x.target / {block}D)")).withColumn("n", F.expr("round(aggregate(v, 0D, (a, x) -> a + x))"))
-    won = won.withColumn("b", sainte_lague("v", "n")).select(F.explode(F.arrays_zip("s", "b")).alias("x"))
-    won = won.select(F.col("x.s.source").alias("source"), F.col("x.b").alias("blocks"))
-    quota = target.join(won, target["source"].eqNullSafe(won["source"]), "left").select(target["source"], "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
-    quota = quota.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_words)))).cast("long"))
+    target = settled(source_targets(sized.select("source", "size"), weights, float(max_repeats)))  # a row a source
+    asked = target.where("target > 0").select(F.lit(0).alias("g"), F.col("no").alias("i"), (F.col("target") / block).alias("v"))
+    asked = asked.join(asked.groupBy("g").agg(F.round(F.sum("v")).alias("seats")), "g")
+    won = sainte_lague(asked).select(F.col("i").alias("no"), "blocks")
+    quota = target.join(won, "no", "left").select("no", "source", "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    quota = settled(quota.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_words)))).cast("long")))
     # documents meet the quota of their source, a row each; the side with the sources is small enough for Spark to send out or is joined as is
     rows = sized.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "inner")
-    rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "h", "source_size", "target", F.pmod(draw(F.col("doc_id"), F.col("h"), F.lit(seed)), F.col("n_shards")).alias("shard"))
-    lengths = rows.groupBy("source", "shard").agg(F.sum("size").alias("length"))
-    per_source = lengths.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "length"))).alias("l"))
-    per_source = per_source.alias("l").join(quota.alias("q"), F.col("l.source").eqNullSafe(F.col("q.source"))).select(F.col("l.source").alias("source"), "l", F.col("blocks").cast("double").alias("n"))
-    shards = per_source.withColumn("v", F.expr("transform(l, x -> CAST(x.length AS double))"))
-    shards = shards.withColumn("b", sainte_lague("v", "n")).select("source", F.explode(F.arrays_zip("l", "b")).alias("x"))
-    shards = shards.select(F.col("source").alias("s_source"), F.col("x.l.shard").alias("s_shard"), F.col("x.l.length").alias("length"), F.least(F.col("x.b") * block, F.lit(max_repeats) * F.col("x.l.length")).alias("words"))
-    at = rows.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    order = Window.partitionBy("source", "shard").orderBy(draw(F.col("doc_id"), F.lit(seed + 1)), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("doc_id", F.col("d.source").alias("source"), "no", "size", "h", "source_size", "target", F.pmod(draw(F.col("doc_id"), F.col("h"), F.lit(seed)), F.col("n_shards")).alias("shard"))
+    lengths = settled(rows.groupBy("no", "shard").agg(F.sum("size").alias("length")))  # a row a shard
+    parts = lengths.join(quota.select("no", F.col("blocks").cast("double").alias("seats")), "no")
+    parts = sainte_lague(parts.select(F.col("no").alias("g"), F.col("shard").alias("i"), F.col("length").cast("double").alias("v"), "seats"))
+    shards = lengths.join(parts.select(F.col("g").alias("no"), F.col("i").alias("shard"), "blocks"), ["no", "shard"], "left")
+    shards = shards.select("no", "shard", "length", F.least(F.coalesce("blocks", F.lit(0)) * block, F.lit(max_repeats) * F.col("length")).alias("words"))
+    # texts without words take no place in their shard, however many they are, so they need no order among the others
+    at = rows.join(shards, ["no", "shard"]).withColumn("idle", F.when(F.col("size") > 0, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1023))).cast("int"))
+    order = Window.partitionBy("no", "shard", "idle").orderBy(draw(F.col("doc_id"), F.lit(seed + 1)), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     passes = F.when(F.col("length") > 0, F.expr("words div length")).otherwise(F.lit(0))
     at = at.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("length"))
@@ -138,7 +139,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents the mix takes, each as often as it takes them, with all their columns.
 
     The decisions (one per id, source and text) go back to the documents by id
-    and text hash, so rows without an id keep their own decision too.
+    and text hash, so rows without an id keep their own decision too. Rows equal
+    in all three can't be told apart: each gets the rounded mean of their copies,
+    which departs from `taken` by half a copy a row at most. Texts without words
+    are never taken; an empty table stays empty; columns of any name pass through.
     """
     key = {c: fresh(c) for c in ("id", "source", "hash", "copies", "copy", "own")}  # names that docs can't hold
     mixed = mix_sources(docs).groupBy(F.col("doc_id").alias(key["id"]), F.col("source").alias(key["source"]), F.col("h").alias(key["hash"])).agg(F.round(F.avg("copies")).cast("int").alias(key["copies"])).where(F.col(key["copies"]) > 0)

@@ -34,9 +34,21 @@ def test_apportionment_equals_one_by_one(spark):
     draw = random.Random(3)
     rows = [([float(draw.choice([1, 1, 2, 3, 7.5, 100, draw.random() * 50])) for _ in range(draw.randint(1, 9))], float(draw.randint(0, 60))) for _ in range(40)]
     rows += [([], 0.0), ([0.0, 0.0], 4.0)]
-    got = spark.createDataFrame(rows, "v array<double>, n double").withColumn("b", sainte_lague("v", "n")).collect()
-    for r in got:
-        assert r["b"] == (apportion(r["v"], r["n"]) if any(r["v"]) else [0] * len(r["v"]))
+    flat = spark.createDataFrame([(g, i, v, n) for g, (vs, n) in enumerate(rows) for i, v in enumerate(vs)], "g int, i int, v double, seats double")
+    for per_range in (1, 3, 4096):
+        got = {(r["g"], r["i"]): r["blocks"] for r in sainte_lague(flat, per_range).collect()}
+        for g, (vs, n) in enumerate(rows):
+            assert [got.get((g, i), 0) for i in range(len(vs))] == (apportion(vs, n) if any(vs) else [0] * len(vs))
+
+
+def test_apportionment_of_many_shards_is_linear(spark):
+    """100,000 shards of one source, half of them of one length: every seat is given, each within one of its quota."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("1 AS g", "id AS i", "CAST(CASE WHEN id % 2 = 0 THEN 262144 ELSE 200000 + id * 7919 % 100000 END AS double) AS v", "1234567D AS seats")
+    got = sainte_lague(rows).join(rows, ["g", "i"])
+    total = rows.selectExpr("sum(v) AS t").first()["t"]
+    r = got.selectExpr("sum(blocks) AS b", f"max(abs(blocks - v * 1234567D / {total!r})) AS off", "count(*) AS n").first()
+    assert r["b"] == 1234567 and r["n"] == n and r["off"] <= 1
 
 
 def test_targets_equal_repeated_capping(spark):
