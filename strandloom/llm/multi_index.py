@@ -120,26 +120,23 @@ def _units(packed, kind: str) -> np.ndarray:
     return e / np.sqrt((e**2).sum(1, keepdims=True))
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a forest with the components of the bipartite link matrix."""
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        parent.setdefault(v, v)
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    edges = []
-    for i in np.flatnonzero(linked.any(axis=1)):
-        u = int(left[i])
-        for j in np.flatnonzero(linked[i]):
-            a, b = find(u), find(int(right[j]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((u, int(right[j])))
-    return edges
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, lowest node it reaches) with the components of the bipartite link matrix: labels sink along links until none does."""
+    i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    at, far = linked[np.ix_(i, j)], np.iinfo(np.int64).max
+    a, b = left[i].astype(np.int64), right[j].astype(np.int64)
+    while len(i):
+        lower_b = np.minimum(b, np.where(at, a[:, None], far).min(axis=0))
+        lower_a = np.minimum(a, np.where(at, lower_b[None, :], far).min(axis=1))
+        if (lower_a == a).all() and (lower_b == b).all():
+            break
+        a, b = lower_a, lower_b
+    nodes, lows = np.concatenate([left[i], right[j]]), np.concatenate([a, b])
+    return nodes[nodes != lows], lows[nodes != lows]
+
+
+#: Parts into which the rows of one component are dealt when its lowest id goes back to them.
+SALTS = 16
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, codewords: int | None = None, sample_rows: int = 8192, recall: float = 0.9995, seed: int = 9) -> DataFrame:
@@ -154,10 +151,14 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, codewords:
     Equal vectors are one row with a weight, so copies are counted and never
     paired. Cells larger than a block meet block by block; each task sends a
     count per query and a spanning forest, never the links themselves. Vectors
-    that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing; a null vec_id keeps its row with a
-    null component; repeated rows are vectors of their own; an empty table
-    gives no rows.
+    that are null, zero, or hold null or non-finite components link with
+    nothing, and vectors of different lengths not with each other: every length
+    has an index of its own. A null vec_id keeps its row with a null component;
+    repeated rows are vectors of their own; an empty table gives no rows; other
+    columns are ignored.
+
+    Of two cells only the one of the smaller number asks the other, so a pair
+    is compared once, and a link found counts at both its ends.
     """
     spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"  # raw components travel as they came
@@ -166,47 +167,51 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, codewords:
     valid = F.coalesce(F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("h", F.when(valid, F.sha2(F.concat_ws(",", F.transform("e", lambda x: (x + 0.0).cast("string"))), 256)))
     keyed = settled(rows.select("vec_id", "h"))
-    sizes = rows.where("h IS NOT NULL").groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 0
-    classes = rows.where(F.col("h").isNotNull() & (F.size("e") == dims)).groupBy("h").agg(F.first("e").alias("e"), F.count("*").alias("w"), F.min("vec_id").alias("low"))
-    # classes are numbered by their hash: 63 bits of it name the node
-    node = F.conv(F.substring("h", 1, 15), 16, 10).cast("long")
-    classes = settled(classes.select(node.alias("node"), "h", "e", "w", "low"))
-    sample = classes.orderBy("h").limit(sample_rows).select("e").collect()
-    if len(sample) < 2:
-        linked = spark.createDataFrame([], "node long, links long")
-        edges = spark.createDataFrame([], "a long, b long")
-    else:
-        x = np.array([r["e"] for r in sample])
-        scale = np.abs(x).max(1, keepdims=True)
-        x = x / scale
+    classes = rows.where("h IS NOT NULL").groupBy("h").agg(F.first("e").alias("e"), F.count("*").alias("w"), F.min("vec_id").alias("low"))
+    classes = settled(classes.select(F.monotonically_increasing_id().alias("node"), "h", "e", F.size("e").alias("d"), "w", "low"))  # the numbers hold once they are written
+    indexes: dict[int, tuple[int, MultiIndex]] = {}  # by length: a number for its cells, and the index
+    for number, r in enumerate(sorted(classes.groupBy("d").count().where("count > 1").collect())):  # a row a length
+        sample = classes.where(F.col("d") == r["d"]).orderBy("h").limit(sample_rows).select("e").collect()
+        x = np.array([v["e"] for v in sample])
+        x /= np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x**2).sum(1, keepdims=True))
-        k = codewords or int(min(256, max(12, classes.count() ** 0.25)))
+        k = codewords or int(min(256, max(12, r["count"] ** 0.25)))
         fitted = MultiIndex.fit(x, k, math.sqrt(max(0.0, 2 * (1 - threshold))), seed)
         if recall < 1:
             fitted.calibrate(x, threshold, recall, seed + 2)
-        index = spark.sparkContext.broadcast(fitted)
+        indexes[r["d"]] = number, fitted
+    if not indexes:
+        linked = spark.createDataFrame([], "node long, links long")
+        edges = spark.createDataFrame([], "a long, b long")
+    else:
+        shared = spark.sparkContext.broadcast(indexes)
 
         def place(batches):
-            """A row as member of its cell, and one as query in each cell of its walk."""
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                raw = np.stack(pdf["e"].to_numpy()).astype(kind)
-                own, walks = index.value.cells(_units([bytes(v) for v in raw], kind))
-                for lo in range(0, len(pdf), 256):
-                    part = [(c, n, w, q, bytes(v)) for n, w, v, o, walk in zip(pdf["node"][lo : lo + 256], pdf["w"][lo : lo + 256], raw[lo : lo + 256], own[lo : lo + 256], walks[lo : lo + 256], strict=True) for c, q in [(int(o), False), *((c, True) for c in walk)]]
-                    yield pd.DataFrame(part, columns=["cell", "node", "w", "query", "u"])
-
-        placed = settled(classes.select("node", "w", "e").mapInPandas(place, "cell long, node long, w long, query boolean, u binary"))
+            """A row as member of its cell, one as query in it, and one as query in each later cell of its walk."""
+            for whole in batches:
+                length = whole["e"].map(len)
+                for d in sorted(set(length) & set(shared.value)):
+                    pdf, (number, index) = whole[length == d], shared.value[d]
+                    raw = np.stack(pdf["e"].to_numpy()).astype(kind)
+                    own, walks = index.cells(_units([bytes(v) for v in raw], kind))
+                    base = number << 40
+                    for lo in range(0, len(pdf), 256):
+                        part = []
+                        for n, w, v, o, walk in zip(pdf["node"][lo : lo + 256], pdf["w"][lo : lo + 256], raw[lo : lo + 256], own[lo : lo + 256], walks[lo : lo + 256], strict=True):
+                            u = bytes(v)
+                            part += [(base + int(o), n, w, False, True, u), (base + int(o), n, w, True, True, u)]
+                            part += [(base + c, n, w, True, False, u) for c in walk if c > o]
+                        yield pd.DataFrame(part, columns=["cell", "node", "w", "query", "home", "u"])
+
+        placed = settled(classes.select("node", "w", "e").mapInPandas(place, "cell long, node long, w long, query boolean, home boolean, u binary"))
         load = placed.groupBy("cell").agg(F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("members"), F.sum(F.when(F.col("query"), 1).otherwise(0)).alias("queries")).where("members > 0")
         load = load.select("cell", F.ceil(F.col("members") / BLOCK).cast("long").alias("mb"), F.ceil(F.col("queries") / BLOCK).cast("long").alias("qb"))
         blocks = placed.join(load, "cell")
         # a member meets every block of queries, a query every block of members
         own_block = F.pmod(F.xxhash64("node"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb")))
         others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb")) - 1))
-        blocks = blocks.select("cell", "node", "w", "query", "u", own_block.alias("own"), others.alias("other"))
-        blocks = blocks.select("cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("q"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("m"), "node", "w", "query", "u")
+        blocks = blocks.select("cell", "node", "w", "query", "home", "u", own_block.alias("own"), others.alias("other"))
+        blocks = blocks.select("cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("q"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("m"), "node", "w", "query", "home", "u")
 
         def meet(pdf: pd.DataFrame) -> pd.DataFrame:
             q, m = pdf[pdf["query"]], pdf[~pdf["query"]]
@@ -215,19 +220,23 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, codewords:
             left, right = q["node"].to_numpy(), m["node"].to_numpy()
             cosine = _units(q["u"], kind) @ _units(m["u"], kind).T
             linked = (cosine >= threshold) & (left[:, None] != right[None, :])
-            counts = linked @ m["w"].to_numpy()
-            some = np.flatnonzero(counts)
-            edges = _forest(linked, left, right)
-            return pd.concat([pd.DataFrame({"node": left[some], "links": counts[some], "a": -1, "b": -1}), pd.DataFrame({"node": -1, "links": 0, "a": [e[0] for e in edges], "b": [e[1] for e in edges]})]).astype("int64")
+            away = ~q["home"].to_numpy()
+            # pairs of one cell are met from both sides, pairs of two cells once
+            counts = np.concatenate([linked.astype(np.float64) @ m["w"].to_numpy(), linked[away].T.astype(np.float64) @ q["w"].to_numpy()[away]]).astype(np.int64)
+            nodes, some = np.concatenate([left, right]), np.flatnonzero(counts)
+            a, b = _forest(linked, left, right)
+            return pd.concat([pd.DataFrame({"node": nodes[some], "links": counts[some], "a": -1, "b": -1}), pd.DataFrame({"node": -1, "links": 0, "a": a, "b": b})]).astype("int64")
 
         met = settled(blocks.groupBy("cell", "q", "m").applyInPandas(meet, "node long, links long, a long, b long"))
         linked = met.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
         edges = met.where("links = 0").select("a", "b")
     reach = components(edges)
-    joined = classes.select("node", "h", "w", "low").join(linked, "node", "left").join(reach, "node", "left")
-    joined = joined.select("h", "w", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    joined = joined.join(lows, "root").select(F.col("h").alias("c_h"), "w", "links", "component_id")
+    counted = settled(classes.select("node", "h", "w", "low").join(linked, "node", "left").join(reach, "node", "left").select("node", "h", "w", "low", F.coalesce("links", F.lit(0)).alias("links"), "component"))
+    # the lowest id of a component goes back to its vectors in SALTS parts, so that no component fills a task
+    lows = counted.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = counted.where("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(lows, ["component", "salt"]).select(F.col("h").alias("c_h"), "w", "links", "component_id")
+    joined = joined.unionByName(counted.where("component IS NULL").select(F.col("h").alias("c_h"), "w", "links", F.col("low").alias("component_id")))
     out = keyed.join(joined, F.col("h") == F.col("c_h"), "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("w") - 1, F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), F.coalesce("w", F.lit(1)).cast("long").alias("n_copies"))
