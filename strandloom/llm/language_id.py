@@ -62,7 +62,7 @@ class LanguageModel:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Of every hashed n-gram, over all documents; a task sends DIMS counts at most."""
+    """Of every hashed n-gram, over all rows (t); a task sends DIMS counts at most."""
 
     def partial(batches):
         held, n = np.zeros(DIMS + 1, dtype=np.int64), 0
@@ -74,7 +74,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(held)
         yield pd.DataFrame({"f": at, "n": held[at]})
 
-    rows = docs.select(text_of().alias("t")).mapInPandas(partial, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("t").mapInPandas(partial, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     held = np.zeros(DIMS + 1, dtype=np.int64)
     for r in rows:
         held[r["f"]] = r["n"]
@@ -102,21 +102,24 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, *, epochs: int,
     return w
 
 
-def train_language(docs: DataFrame, *, rows_per_lang: int = 300, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
-    """Fit on about `rows_per_lang` rows of every language, however many there are.
+def train_language(docs: DataFrame, *, rows_per_lang: int = 300, max_rows: int = 20_000, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
+    """Fit on about `rows_per_lang` rows of every language, fewer (20 at least) where languages are so many that these exceed `max_rows`.
 
     Rows outside the held-out fold with a non-null lang and a letter, taken by a
     hash of doc_id under a threshold set from the language's count, the first
     2 x rows_per_lang of a language by that hash at most. Every fifth row of a
-    language fits the temperature.
+    language fits the temperature. Document frequencies are over all of these
+    rows, not the sample alone; held-out texts and rows without lang are not read.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id", text_of().alias("t")).where(F.col("lang").isNotNull() & ~held_out() & F.col("t").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = counts.count()
+    per_lang = max(20, min(rows_per_lang, max_rows // max(n_langs, 1)))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(rows_per_lang)) / F.col("n"))  # a row a language
+    sample = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(per_lang)) / F.col("n"))  # a row a language
     first = Window.partitionBy("lang").orderBy("u", "t")
-    sample = sample.select("lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("u"), "t").withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * rows_per_lang)
-    held, total = document_frequencies(docs)
+    sample = sample.select("lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("u"), "t").withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * per_lang)
+    held, total = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + held)) + 1.0
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -153,9 +156,11 @@ def train_language(docs: DataFrame, *, rows_per_lang: int = 300, epochs: int = 4
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
-    Reads text alone. lang_pred is `und` with score 0 for a null text, a text
-    without a letter, or where nothing could be learned; repeated rows stay; an
-    empty table gives no rows.
+    Reads text alone, whole at any length. lang_pred is `und` with score 0 for
+    a null text, a text without a letter, or where nothing could be learned; of
+    languages that score alike the first by code point is given; equal rows
+    score alike and stay; an empty table gives no rows; other columns are
+    ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,7 +179,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Documents whose language is recognised with at least min_score, with all their columns.
 
-    Learns from the documents of the stage; one without a letter (`und`) goes.
+    Learns from the documents of the stage; one without a letter (`und`), null
+    or empty goes. Texts of any length are read whole; equal rows share their
+    fate; an empty table stays empty; columns of any name pass through.
     """
     shared = spark.sparkContext.broadcast(train_language(docs))
 

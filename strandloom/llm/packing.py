@@ -69,25 +69,24 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     cluster = {c: i for i, c in enumerate(sorted(set(rows["cluster"])))}
     pieces = []
     for doc_id, copy, size, s, c in zip(rows["doc_id"], rows["copy"], rows["size"], rows["source"].fillna(""), rows["cluster"], strict=True):
-        if size == 0:
-            pieces.append((doc_id, copy, 0, 0, 0, s, c))
         for i, start in enumerate(range(0, size, capacity)):
             pieces.append((doc_id, copy, i, start, min(capacity, size - start), s, c))
     pieces.sort(key=lambda p: -p[4])
     bins, out = Bins(capacity, per_source), []
     for doc_id, copy, i, start, n, s, c in pieces:
-        b, offset = bins.place(n, source[s], cluster[c]) if n else (None, None)
+        b, offset = bins.place(n, source[s], cluster[c])
         out.append((doc_id, copy, i, start, n, b, offset))
     found = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "start_word", "n_words", "bin", "offset"])
     return found.astype({"doc_id": "Int64", "copy": "int64", "piece": "int64", "start_word": "int64", "n_words": "int64", "bin": "Int64", "offset": "Int64"})
 
 
-def pack(docs: DataFrame, *, capacity: int = 2048, per_source: int = 4, shard_words: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, *, cluster: str | None = None, capacity: int = 2048, per_source: int = 4, shard_words: int = 1 << 20) -> DataFrame:
     """Per piece of a document: doc_id, copy, piece, start_word, n_words, bin_id, offset.
 
     Sizes are words; a document longer than `capacity` is cut into pieces that
-    cover it whole. A bin holds no two pieces of one duplicate cluster (equal
-    texts) and at most `per_source` of one source. Documents are dealt by hash
+    cover it whole. A bin holds no two pieces of one duplicate cluster (rows of
+    one value in the column `cluster`, such as the classes of near duplicates;
+    equal texts where none is named or the value is null) and at most `per_source` of one source. Documents are dealt by hash
     into shards of about `shard_words` words that are packed on their own;
     repeated rows are numbered (copy) and dealt apart, so neither a hot source
     nor a hot text fills one shard. bin_id is shard * 2^32 + bin.
@@ -97,7 +96,8 @@ def pack(docs: DataFrame, *, capacity: int = 2048, per_source: int = 4, shard_wo
     no rows; other columns are ignored.
     """
     n = F.regexp_count(text_of(), F.lit(WORD_PATTERN)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"), F.xxhash64(text_of()).alias("cluster"))
+    own = F.xxhash64(text_of()) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster).cast("string"), F.lit("named"))).otherwise(F.xxhash64(text_of()))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"), own.alias("cluster"))
     sized = settled(sized.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n")))
     total = sized.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("w")).first()["w"]
     shards = max(1, math.ceil(total / shard_words))
@@ -109,7 +109,10 @@ def pack(docs: DataFrame, *, capacity: int = 2048, per_source: int = 4, shard_wo
         found.insert(5, "bin_id", found["bin"] + int(key[0]) * (1 << 32))
         return found.drop(columns="bin")
 
-    return items.groupBy("shard").applyInPandas(packed, "doc_id long, copy long, piece long, start_word long, n_words long, bin_id long, offset long")
+    filled = items.where("size > 0").groupBy("shard").applyInPandas(packed, "doc_id long, copy long, piece long, start_word long, n_words long, bin_id long, offset long")
+    # texts without words take no bin, so they pass by the shards, however many they are
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    return filled.unionByName(items.where("size = 0").select("doc_id", "copy", zero.alias("piece"), zero.alias("start_word"), zero.alias("n_words"), none.alias("bin_id"), none.alias("offset")))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,4 +120,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of pack over the documents of the stage.
+
+    After the stage of near duplicates each class has one document, and the
+    mix repeats it as equal rows, so that clusters by equal texts are its
+    classes. Nulls, empty and very long texts, ties, repeated rows, an empty
+    table and other columns go as in pack.
+    """
     return pack(docs)

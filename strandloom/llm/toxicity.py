@@ -1,17 +1,21 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Each token scores by the log-odds of its unit (the word, or its first letters,
-which carry over to unseen inflections) between toxic and clean labelled texts
-under an informative Dirichlet prior (Monroe et al., 2008), less its standard
-error. Ruzzo and Tompa's linear scan lists every maximal segment; a Gumbel law
-fitted to the best segments of clean texts turns segment scores into p-values,
-and their evidence is calibrated to a probability.
+Each token scores by the log-odds of its unit between toxic and clean labelled
+texts under an informative Dirichlet prior (Monroe et al., 2008), drawn towards
+0 by its standard error: positive where the evidence is strong, negative where
+it speaks for clean texts, a small cost where there is none. The unit is the
+word; a word without evidence of its own falls back on its first letters, which
+carry over to unseen inflections. Ruzzo and Tompa's linear scan lists every
+maximal segment; a Gumbel law fitted to the best segments of clean texts turns
+segment scores into p-values, and their evidence is calibrated to a
+probability.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,19 +35,17 @@ def units(word: str) -> list[str]:
     return ["=" + word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)]
 
 
-def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end inclusive, score), by Ruzzo and Tompa.
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end inclusive, score) of token scores, by Ruzzo and Tompa.
 
-    scores: positions and scores of the positive tokens in text order; every
-    other token scores -gap. Linear in the number of positive tokens but for
-    the search of earlier candidates, which each token passes once.
+    Linear in the tokens but for the search of earlier candidates, which each
+    positive token passes once.
     """
     found: list[list] = []  # left sum, right sum, start, end, previous candidate with a smaller left sum
-    total, last = 0.0, -1
-    for at, s in scores:
-        total -= gap * (at - last - 1)
-        cand = [total, total + s, at, at, -1]
-        total, last = total + s, at
+    for at, (s, total) in enumerate(zip(scores, accumulate(scores), strict=True)):
+        if s <= 0:
+            continue
+        cand = [total - s, total, at, at, -1]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= cand[0]:
@@ -58,7 +60,7 @@ def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[
 
 
 class ToxicModel:
-    """table: positive unit scores; gap: cost of any other token; the rest: calibration."""
+    """table: unit scores, positive or negative; gap: cost of a token without evidence; the rest: calibration."""
 
     def __init__(self, table: dict[str, float], gap: float, base: float):
         self.table, self.gap, self.base = table, gap, base
@@ -69,7 +71,9 @@ class ToxicModel:
         return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
     def word(self, w: str) -> float:
-        return max((self.table.get(u, 0.0) for u in units(w)), default=0.0)
+        """The word's own score; where it has none, the highest of its beginnings, else the gap."""
+        own = self.table.get("=" + w)
+        return own if own is not None else max((self.table[u] for u in units(w) if u in self.table), default=-self.gap)
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         cache = self.__dict__.setdefault("cache", {})
@@ -83,8 +87,7 @@ class ToxicModel:
                 if w not in cache:
                     cache[w] = self.word(w)
             scores = [cache[w] for w in words]
-        hits = [(i, s) for i, s in enumerate(scores) if s > 0]
-        return len(words), maximal_segments(hits, self.gap) if hits else []
+        return len(words), maximal_segments(scores) if scores and max(scores) > 0 else []
 
     def p_value(self, score: float, n: int) -> float:
         z = (score - self.mu) / self.beta - math.log((n + 1) / (self.mean_n + 1))
@@ -107,20 +110,24 @@ class ToxicModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """(text, y) of at most max_train labelled rows outside the held-out fold, one row for equal texts."""
-    ids = labels.select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k"))
+    """(text, y) of at most max_train labelled rows outside the held-out fold, one row for equal texts; a label other than 0 and 1 is none."""
+    known = F.col("toxic").cast("double")
+    ids = labels.select(F.col("doc_id").alias("k"), F.when(known == 1, 1).when(known == 0, 0).alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k"))
     ids = ids.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k", F.lit(11)), "k").limit(max_train)
     rows = docs.select(F.col("doc_id").alias("k"), text_of().alias("t")).where(~held_out("k")).join(F.broadcast(ids), "k")  # at most max_train ids
     return rows.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("t").alias("t"), F.max("y").alias("y"))
 
 
-def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, least: float = 2.5, gap: float = 0.2, max_units: int = 50_000) -> ToxicModel:
+def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, least: float = 2.5, gap: float = 0.2) -> ToxicModel:
     """Fit on at most `max_train` labelled rows (chosen by a hash of the id).
 
     Unit counts are texts that hold the unit; `prior` is the Dirichlet mass in
-    texts, spread as in both classes together; a unit scores its log-odds less
-    `errors` standard errors and is kept above `least`, so that texts without
-    toxic words drift down; the `max_units` best at most, which bounds the broadcast table.
+    texts, spread as in both classes together. A unit whose log-odds less
+    `errors` standard errors exceed `least` scores that; a word whose log-odds
+    plus as many stay below 0 scores that; a word of both kinds of texts that
+    could do either scores -`gap`, as does one never seen, so texts without
+    toxic words drift down. Units have to stand in two of the texts; only
+    `max_train` bounds their number.
     """
     train = _sample(docs, labels, max_train)
 
@@ -136,7 +143,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
         yield pd.DataFrame({"u": [""], "c0": [n[0]], "c1": [n[1]]})
 
     counts = train.select("t", "y").mapInPandas(partial, "u string, c0 long, c1 long").groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    counts = settled(counts.where("c1 >= 2 OR u = ''"))
+    counts = settled(counts.where("c0 + c1 >= 2 OR u = ''"))
     head = counts.where("u = ''").first()
     n0, n1 = (head["c0"], head["c1"]) if head else (0, 0)
     base = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.01
@@ -149,9 +156,11 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
         held = F.col(c) + share
         return F.log(held / F.greatest(F.lit(float(n)) + prior - held, F.lit(0.5)))
 
-    low = log_odds("c1", n1) - log_odds("c0", n0) - errors * F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))
-    best = counts.where("u <> ''").select("u", low.alias("low")).where(F.col("low") > least).orderBy(F.col("low").desc(), "u").limit(max_units)
-    model.table = {r["u"]: r["low"] for r in best.collect()}
+    mid, error = log_odds("c1", n1) - log_odds("c0", n0), errors * F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))
+    scored = counts.where("u <> ''").select("u", "c0", "c1", (mid - error).alias("low"), (mid + error).alias("high"))
+    # beginnings only speak for toxic texts; a word met often enough to do so speaks for itself
+    known = F.when((F.col("c1") >= 2) & (F.col("low") > least), F.col("low")).when(F.startswith("u", F.lit("=")) & (F.col("high") < 0), F.col("high")).when(F.startswith("u", F.lit("=")) & (F.col("c0") >= 2), F.lit(-gap))
+    model.table = {r["u"]: r["s"] for r in scored.select("u", known.alias("s")).where("s IS NOT NULL").collect()}
     return _calibrate(model, train)
 
 
@@ -195,8 +204,9 @@ def score_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, n_words, n_passages, passages.
 
     passages: array of (first, last, score), the words of every significant
-    segment. Reads text alone. Null and empty texts hold no passage and get the
-    score of a text without evidence; repeated rows stay; no rows give no rows.
+    segment. Reads text alone, whole at any length. Null and empty texts hold
+    no passage and get the score of a text without evidence; equal rows score
+    alike and stay; no rows give no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -215,7 +225,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic, with all their columns."""
+    """Documents not predicted toxic, with all their columns.
+
+    Null and empty texts hold no passage and stay; texts of any length are read
+    whole; equal rows share their fate; an empty table stays empty; columns of
+    any name pass through.
+    """
     model = train_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast(model)
 

@@ -49,6 +49,19 @@ def test_every_language_is_learned(spark):
     assert sum(model.predict(r[1])[0] == r[2] for r in rows) / len(rows) > 0.95
 
 
+def test_held_out_texts_change_no_model(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.common import held_out
+
+    docs = corpus(spark, 200)
+    apart = held_out() | F.col("lang").isNull()
+    changed = docs.withColumn("text", F.when(apart, F.lit("zzz yyy xxx")).otherwise(F.col("text"))).withColumn("lang", F.when(held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    a, b = train_language(docs), train_language(changed)
+    assert a.langs == b.langs and a.temperature == b.temperature
+    assert np.array_equal(a.idf, b.idf) and np.array_equal(a.weights, b.weights)
+
+
 def test_nothing_to_learn(spark):
     docs = corpus(spark, 20)
     model = train_language(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("false"))

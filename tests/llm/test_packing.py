@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from strandloom.llm.packing import Bins, pack
+from strandloom.llm.packing import Bins, pack, packing_stage
 
 DOCS = "doc_id long, text string, source string, bin_id string"
 
@@ -69,3 +69,17 @@ def test_reruns_agree_and_empty(spark):
     a, b = (sorted(map(tuple, pack(d, capacity=256).collect()), key=str) for d in (docs, docs.repartition(5)))
     assert a == b
     assert pack(docs.where("false")).count() == 0
+
+
+def test_named_clusters_and_stage(spark):
+    """Pieces of one named class never share a bin; the stage packs as the operator does, texts without words included."""
+    rows = [(i, f"text number {i} of some words", "s", "one" if i < 6 else None, "x") for i in range(12)] + [(None, None, None, None, "x"), (50, "", "s", "one", "x")] + [(60, "again", "t", None, "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, family string, bin_id string")
+    found = pack(docs, cluster="family", capacity=100, per_source=20).collect()
+    bins = [r["bin_id"] for r in found if r["doc_id"] is not None and r["doc_id"] < 6]
+    assert len(set(bins)) == 6 and None not in bins
+    assert [(r["n_words"], r["bin_id"]) for r in found if r["doc_id"] in (None, 50)] == [(0, None)] * 2
+    again = [r for r in found if r["doc_id"] == 60]
+    assert sorted(r["copy"] for r in again) == [1, 2, 3] and len({r["bin_id"] for r in again}) == 3
+    assert sorted(map(tuple, packing_stage(spark, docs, "").collect()), key=str) == sorted(map(tuple, pack(docs).collect()), key=str)
+    assert packing_stage(spark, docs.where("false"), "").count() == 0

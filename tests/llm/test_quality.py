@@ -1,6 +1,8 @@
 import random
 
-from strandloom.llm.quality import score_quality, train_quality
+import numpy as np
+
+from strandloom.llm.quality import fit_logistic, score_quality, train_quality
 
 
 def corpus(spark, n=500):
@@ -27,6 +29,35 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert {r["predicted"] for r in rows if r["doc_id"] == 7002} == {1}
 
 
+def test_held_out_rows_change_no_weight(spark):
+    """Other texts, sources and labels in the held-out fold leave the model alone, as do rows without an id."""
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.common import held_out
+
+    docs, labels = corpus(spark, 200)
+    apart = held_out() | F.col("doc_id").isNull()
+    changed = docs.withColumn("text", F.when(apart, F.lit("$$$ quite other words $$$")).otherwise(F.col("text"))).withColumn("source", F.when(apart, F.lit("elsewhere")).otherwise(F.col("source")))
+    flipped = labels.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = train_quality(docs, labels), train_quality(changed, flipped)
+    for part in ("text", "meta", "curves", "mix"):
+        assert np.array_equal(getattr(a, part), getattr(b, part))
+
+
+def test_fit_reaches_the_optimum():
+    """The slope vanishes at the weights, as a plain computation of it shows."""
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((300, 7))
+    y = (x[:, 0] + draw.standard_normal(300) > 0.4).astype(float)
+    w = fit_logistic(x, y)
+    slope = np.zeros(8)
+    for row, label in zip(x, y, strict=True):
+        p = 1 / (1 + np.exp(-(row @ w[:7] + w[7])))
+        slope += np.append(row, 1.0) * (p - label) * 0.5 / (y == label).sum()
+    slope[:7] += 1e-3 * w[:7]
+    assert np.abs(slope).max() < 1e-5
+
+
 def test_nothing_to_learn(spark):
     docs, labels = corpus(spark, 40)
     model = train_quality(docs, labels.where("false"))
