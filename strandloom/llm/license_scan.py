@@ -1,9 +1,11 @@
 """Licence scan by a positional rare-token index.
 
-Templates are stored as postings token -> (template, position). A file looks up
-the highest-IDF licence words it holds, each hit proposes where a template
-would start, proposals are intersected by relative position, and a placement
-counts once its mandatory key phrase stands there word for word.
+Templates, and the base phrases as templates that are key phrase alone, are
+stored as postings word -> (template, position). A file looks up the
+highest-IDF licence words it holds; each posting of such a word proposes where
+a template would start, the proposals of different words are intersected by
+relative position, and a placement counts once its mandatory key phrase stands
+there word for word.
 """
 
 from __future__ import annotations
@@ -18,19 +20,30 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import table, text_of
 
-#: Rarest words of a template that propose placements, and the share of its weight that a placement needs.
-RARE, SHARE = 3, 0.7
+#: Of a template's words in a file the rarest that propose placements, how many of them have to agree, and the share of its weight that a placement needs.
+RARE, AGREE, SHARE = 4, 2, 0.7
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases every scan reports, wherever they stand.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label, template words, mandatory key phrase.
+#: Label, words of a notice or of a sentence of a licence's text, mandatory key phrase.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "on an as is basis without warranties or conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge to any person"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "publish distribute sublicense and or sell copies"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "in all copies or substantial portions"),
     ("mit", "released under the mit license", "the mit license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "must reproduce the above copyright notice"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "may be used to endorse or promote products"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "under the terms of the gnu general public license"),
+    ("gpl", "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
@@ -51,51 +64,62 @@ def _split(text: str) -> list[bytes]:
 
 
 class LicenceIndex:
-    def __init__(self, templates, base, idf: dict[bytes, float], rare: int, share: float):
-        self.share = share
-        self.base = [(p.encode().split(), label) for p, label in base]
-        self.templates, self.postings, rarest = [], defaultdict(list), set()
-        for n, (label, words, key) in enumerate(templates):
+    """Postings of the words of templates and base phrases; the latter are templates of which every word is key."""
+
+    def __init__(self, templates, base, idf: dict[bytes, float], rare: int, agree: int, share: float):
+        self.rare, self.agree, self.share, self.idf = rare, agree, share, idf
+        self.templates = []
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for label, words, key, is_base in [*((label, p, p, True) for p, label in base), *((*t, False) for t in templates)]:
             w, k = words.encode().split(), key.encode().split()
             weight = [idf.get(x, 1.0) for x in w]
-            self.templates.append((label, w, weight, sum(weight), k))
-            # the rarest tokens of a template propose placements; one of the key phrase always does
-            seeds = sorted(range(len(w)), key=lambda i: (-weight[i], i))[:rare]
-            at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-            for i in {*seeds, max(range(at, at + len(k)), key=lambda i: weight[i])}:
-                self.postings[w[i]].append((n, i))
-                rarest.add(w[i])
-        self.seeds = frozenset(rarest)
-        self.first = frozenset(p[0] for p, _ in self.base)
+            for at, x in enumerate(w):
+                self.postings[x].append((len(self.templates), at))
+            self.templates.append((label, w, weight, sum(weight), k, is_base))
+        self.words = frozenset(self.postings)
+        self.keys = [frozenset(t[4]) for t in self.templates]
+        # a template is looked at where the rarest word of its key phrase stands
+        self.by_key = defaultdict(list)
+        for n, t in enumerate(self.templates):
+            self.by_key[max(t[4], key=lambda x: (idf.get(x, 1.0), x))].append(n)
+
+    def placements(self, n: int, held: set[bytes], at: dict[bytes, list[int]]) -> set[int]:
+        """Starts on which the file's rarest words of template n agree; all of a base phrase's words have to."""
+        own = sorted({x for x in self.templates[n][1] if x in held}, key=lambda x: (-self.idf.get(x, 1.0), x))
+        is_base = self.templates[n][5]
+        votes: dict[int, int] = defaultdict(int)
+        own = own if is_base else own[: self.rare]
+        for x in own:
+            for start in {i - t for m, t in self.postings[x] if m == n for i in at[x]}:
+                votes[start] += 1
+        most = len(own) if is_base else min(self.agree, len(own))
+        return {start for start, v in votes.items() if v >= most}
 
     def scan(self, text: str) -> tuple:
         words = _split(text)
-        held = set(words)
-        places, labels, found, score = [], set(), {}, 0.0
-        if held & self.first:
-            for phrase, label in self.base:
-                if all(w in held for w in phrase):
-                    n, head = len(phrase), phrase[0]
-                    starts = [i for i, w in enumerate(words) if w == head and words[i : i + n] == phrase]
-                    if starts:
-                        places += starts
+        held = self.words.intersection(words)
+        asked = [n for x in held for n in self.by_key.get(x, ()) if self.keys[n] <= held]
+        if not asked:
+            return len(words), 0, None, None, "", "", 0.0
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in held:
+                at[w].append(i)
+        places, labels, found = [], set(), {}
+        for n in sorted(asked):
+            label, template, weight, total, key, is_base = self.templates[n]
+            for start in sorted(self.placements(n, held, at)):
+                lo, hi = max(0, start), start + len(template)
+                if is_base:
+                    if start >= 0 and words[start:hi] == key:
+                        places.append(start)
                         labels.add(label)
-        if hits := held & self.seeds:
-            proposed = {(n, i - at) for i, w in enumerate(words) if w in hits for n, at in self.postings[w]}
-            for n, start in sorted(proposed):
-                label, template, weight, total, key = self.templates[n]
-                got = sum(x for j, x in enumerate(weight) if 0 <= start + j < len(words) and words[start + j] == template[j])
-                if got < self.share * total:
                     continue
-                lo, hi = max(0, start), start + len(template)
-                if any(words[i : i + len(key)] == key for i in range(lo, hi - len(key) + 1)):
+                got = sum(x for j, x in enumerate(weight) if 0 <= start + j < len(words) and words[start + j] == template[j])
+                if got >= self.share * total and any(words[i : i + len(key)] == key for i in range(lo, hi - len(key) + 1)):
                     found[label] = max(found.get(label, 0.0), got / total)
-        if labels:
-            score = 1.0
-        elif found:
-            score = round(max(found.values()), 6)
-        both = sorted(labels | set(found))
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(both), score
+        score = 1.0 if labels else round(max(found.values(), default=0.0), 6)
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), score
 
 
 def licence_idf(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, float]:
@@ -116,18 +140,20 @@ def licence_idf(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, fl
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) + 0.01 for w in vocabulary}
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int = RARE, share: float = SHARE) -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int = RARE, agree: int = AGREE, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    `rare` highest-IDF words of each template propose its placements; a
-    placement holds if words worth `share` of the template's IDF stand at their
+    Of each template whose key phrase's words the file holds, the `rare`
+    highest-IDF words in the file propose placements, and those on which
+    `agree` of them meet are looked at (of a base phrase all words); a placement holds if words worth `share` of the template's IDF stand at their
     relative positions and the key phrase stands there whole. score is 1 for a
     base phrase, else the best share of a template found, else 0. IDF comes
     from all documents. Null texts read as empty (no words, empty labels, null
-    places, score 0); repeated rows stay; an empty table gives no rows; other
+    places, score 0); texts of any length are read whole; words of equal IDF go
+    by their bytes; repeated rows stay; an empty table gives no rows; other
     columns are ignored.
     """
-    vocabulary = frozenset(w for _, words, _ in templates for w in words.encode().split())
+    vocabulary = frozenset(w for words in [*(t[1] for t in templates), *(p for p, _ in base)] for w in words.encode().split())
     idf = licence_idf(docs, vocabulary)
 
     state: list[LicenceIndex] = []
@@ -135,7 +161,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int
     @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     def scan(texts: pd.Series) -> pd.DataFrame:
         if not state:
-            state.append(LicenceIndex(templates, base, idf, rare, share))
+            state.append(LicenceIndex(templates, base, idf, rare, agree, share))
         found = pd.DataFrame([state[0].scan(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
         return found.astype({"first_word": "Int64", "last_word": "Int64"})
 

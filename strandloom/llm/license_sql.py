@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm.license_scan import BASE, RARE, SHARE, TEMPLATES
+from strandloom.llm.license_scan import AGREE, BASE, RARE, SHARE, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,21 +13,24 @@ def _words(phrase: str) -> str:
 
 def licence_sql() -> str:
     base = ", ".join(f"({_words(p)}, '{label}')" for p, label in BASE)
-    templates = ", ".join(f"({n}, '{label}', {_words(words)}, {_words(key)}, {_at(words, key)})" for n, (label, words, key) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({n}, '{label}', {_words(words)}, {_words(key)})" for n, (label, words, key) in enumerate(TEMPLATES))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 tokens AS (SELECT r, words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM docs),
 base(phrase, label) AS (VALUES {base}),
 places AS (SELECT r, pos, label FROM tokens JOIN base ON word = phrase[1] WHERE words[pos + 1 : pos + len(phrase)] = phrase),
 per_base AS (SELECT r, count(*)::BIGINT AS n_base, min(pos)::BIGINT AS first_word, max(pos)::BIGINT AS last_word FROM places GROUP BY r),
-templates(n, label, words, key, key_at) AS (VALUES {templates}),
-parts AS (SELECT n, label, words, key, key_at, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS j FROM templates),
+templates(n, label, words, key) AS (VALUES {templates}),
+parts AS (SELECT n, label, words, key, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS j FROM templates),
 df AS (SELECT word, count(DISTINCT r) AS held FROM tokens WHERE word IN (SELECT word FROM parts) GROUP BY word),
 weighted AS (SELECT p.*, ln((1 + (SELECT count(*) FROM docs)) / (1 + coalesce(held, 0))) + 0.01 AS weight FROM parts p LEFT JOIN df USING (word)),
 totals AS (SELECT n, sum(weight) AS total FROM weighted GROUP BY n),
-seeds AS (SELECT n, j, word FROM weighted QUALIFY row_number() OVER (PARTITION BY n ORDER BY weight DESC, j) <= {RARE}
-  UNION SELECT n, j, word FROM weighted WHERE j >= key_at AND j < key_at + len(key) QUALIFY row_number() OVER (PARTITION BY n ORDER BY weight DESC, j) = 1),
-proposed AS (SELECT DISTINCT r, n, pos - j AS start FROM tokens JOIN seeds USING (word)),
+asked AS (SELECT d.r, t.n FROM docs d, templates t WHERE list_has_all(d.words, t.key)),
+held AS (SELECT DISTINCT r, word FROM tokens WHERE word IN (SELECT word FROM parts)),
+seeds AS (SELECT a.r, a.n, w.word FROM asked a JOIN (SELECT DISTINCT n, word, weight FROM weighted) w ON w.n = a.n JOIN held h ON h.r = a.r AND h.word = w.word
+  QUALIFY row_number() OVER (PARTITION BY a.r, a.n ORDER BY w.weight DESC, w.word) <= {RARE}),
+votes AS (SELECT s.r, s.n, t.pos - w.j AS start, count(DISTINCT s.word) AS v, m FROM (SELECT *, count(*) OVER (PARTITION BY r, n) AS m FROM seeds) s JOIN weighted w ON w.n = s.n AND w.word = s.word JOIN tokens t ON t.r = s.r AND t.word = s.word GROUP BY ALL),
+proposed AS (SELECT r, n, start FROM votes WHERE v >= least({AGREE}, m)),
 got AS (SELECT p.r, p.n, p.start, sum(weight) AS got FROM proposed p JOIN weighted w ON w.n = p.n JOIN tokens t ON t.r = p.r AND t.pos = p.start + w.j AND t.word = w.word GROUP BY ALL),
 likely AS (SELECT g.*, got / total AS part, t.label, t.key, len(t.words) AS width, d.words FROM got g JOIN totals USING (n) JOIN templates t USING (n) JOIN docs d USING (r) WHERE got >= {SHARE} * total),
 found AS (SELECT r, label, part FROM likely WHERE len(list_filter(generate_series(greatest(start, 0), start + width - len(key)), lambda i: words[i + 1 : i + len(key)] = key)) > 0),
@@ -38,8 +41,3 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
   round(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0) END, 6) AS score
 FROM docs LEFT JOIN per_base USING (r) LEFT JOIN lists USING (r) LEFT JOIN best USING (r)"""
 
-
-def _at(words: str, key: str) -> int:
-    """Where the key phrase starts in its template."""
-    w, k = words.split(), key.split()
-    return next(i for i in range(len(w)) if w[i : i + len(k)] == k)

@@ -118,7 +118,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     return rows.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("t").alias("t"), F.max("y").alias("y"))
 
 
-def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, least: float = 2.5, gap: float = 0.2) -> ToxicModel:
+def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, prior: float = 20.0, errors: float = 1.64, least: float = 1.5, gap: float = 0.2) -> ToxicModel:
     """Fit on at most `max_train` labelled rows (chosen by a hash of the id).
 
     Unit counts are texts that hold the unit; `prior` is the Dirichlet mass in

@@ -98,7 +98,7 @@ def test_model_equals_a_plain_computation(spark):
         odds = [math.log((c + share) / max(m + 20.0 - c - share, 0.5)) for c, m in ((c0, n[0]), (c1, n[1]))]
         error = 1.64 * math.sqrt(1 / (c1 + share) + 1 / (c0 + share))
         low, high = odds[1] - odds[0] - error, odds[1] - odds[0] + error
-        if c1 >= 2 and low > 2.5:
+        if c1 >= 2 and low > 1.5:
             table[u] = low
         elif u[0] == "=" and high < 0:
             table[u] = high
