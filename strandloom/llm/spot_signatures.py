@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import draw, table, text_of
+from strandloom.llm.common import draw, settled, table, text_of
 
 #: The anchors, frequent function words of several languages.
 ANCHORS = (
@@ -82,57 +82,88 @@ def _constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def with_next(docs: DataFrame, rows_per_slice: int = 4096) -> DataFrame:
-    """(doc_id, text, slice, lent): within a slice each document's next by (lent, id, text) is its next in the table, after the last the first.
-
-    Ids are cut into slices at quantiles (one bounded sketch), each slice is
-    ordered in one task, and the first document of a slice also goes,
-    marked lent, to the slice before it, so that no task orders the table. Null ids come last, and
-    equal ids are ordered by their text.
-    """
-    rows = docs.select("doc_id", text_of().alias("text"))
-    n = rows.select("doc_id").agg(F.count("*").alias("n")).first()["n"]
+def _slices(rows: DataFrame, rows_per_slice: int) -> tuple[list[int], dict[int, int]]:
+    """Cuts of doc_id into slices at quantiles (one bounded sketch), and of slices filled by one repeated id, or by null ids, the number of parts they need."""
+    n = rows.agg(F.count("*").alias("n")).first()["n"]
     k = max(1, min(200_000, math.ceil(n / rows_per_slice)))
     cuts = []
     if k > 1:
-        cuts = sorted(set(rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k).alias("c")).first()["c"] or []))
-    # the slice is the number of cuts at or below the id: a coarse step finds the chunk, a fine one the place in it
+        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k).alias("c")).first()["c"] or []))
+    one = F.min("doc_id").eqNullSafe(F.max("doc_id"))
+    held = rows.select("doc_id", _slice_of(cuts).alias("slice")).groupBy("slice").agg(F.count("*").alias("n"), one.alias("one"))
+    hot = held.where(F.col("one") & (F.col("n") > 4 * rows_per_slice)).collect()  # slices of one id alone
+    return cuts, {r["slice"]: min(200_000, math.ceil(r["n"] / rows_per_slice)) for r in hot}
+
+
+def _slice_of(cuts: list[int]) -> Column:
+    """The number of cuts at or below the id, null ids behind the last: a coarse step finds the chunk, a fine one the place in it."""
     step = max(1, math.isqrt(len(cuts)))
     coarse = _constant(cuts[::step], "array<bigint>")
     chunks = _constant([cuts[i : i + step] for i in range(0, len(cuts), step)], "array<array<bigint>>")
     upto = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id")))
     fine = F.size(F.filter(F.element_at(chunks, upto), lambda c: c <= F.col("doc_id")))
-    slice_of = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).when(upto == 0, F.lit(0)).otherwise((upto - 1) * step + fine)
-    placed = rows.withColumn("slice", slice_of.cast("int"))
-    heads = sorted((r["slice"], r["d"]) for r in placed.groupBy("slice").agg(F.min("doc_id").alias("d")).collect())  # one row a slice
-    first, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
-    for i, (s, d) in enumerate(heads):
-        first[s], before[s] = d, heads[i - 1][0]
+    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).when(upto == 0, F.lit(0)).otherwise((upto - 1) * step + fine).cast("int")
+
+
+def with_next(docs: DataFrame, rows_per_slice: int = 4096) -> DataFrame:
+    """(slice, lent, doc_id, h, text, held): the distinct rows (id, text) of the table in slices, held the number of times each stands there.
+
+    Their order is by id, null ids last, equal ids by a draw `h` on the text;
+    each row's next is the following in its slice. The first row of a slice
+    also goes, marked lent, to the slice before it (that of the whole table to
+    the last), so that no task orders the table. Slices are cut at quantiles of
+    the id. Where one id, or null, fills slices alone, its equal rows are first
+    gathered with map-side counts and the rest is cut into even parts of h. One
+    row a slice is collected.
+    """
+    rows = docs.select("doc_id", text_of().alias("text"))
+    cuts, parts = _slices(docs.select("doc_id"), rows_per_slice)
+    drawn = rows.withColumn("base", _slice_of(cuts)).withColumn("h", draw(F.col("text"))).withColumn("held", F.lit(1).cast("long"))
+    number, n_slices = [], 0  # of the first part of each base slice
+    for i in range(len(cuts) + 2):
+        number.append(n_slices)
+        n_slices += parts.get(i, 1)
+    first = F.element_at(_constant(number, "array<int>"), F.col("base") + 1)
+    if parts:
+        hot = F.col("base").isin(*parts)
+        once = drawn.where(hot).groupBy("base", "doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("held"))
+        drawn = drawn.where(~hot).unionByName(settled(once.select("doc_id", "text", "base", "h", "held")))
+        many = F.element_at(_constant([parts.get(i, 1) for i in range(len(cuts) + 2)], "array<int>"), F.col("base") + 1)
+        first = first + F.least(many - 1, F.floor(F.col("h") / F.lit(float(1 << 60)) * many).cast("int"))
+    placed = drawn.withColumn("slice", first.cast("int")).drop("base")
+    heads = sorted((r["slice"], *r["d"]) for r in placed.groupBy("slice").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h")).alias("d")).collect())  # one row a slice
+    ids, draws, before = [None] * n_slices, [None] * n_slices, [None] * n_slices
+    for i, (s, d, h) in enumerate(heads):
+        ids[s], draws[s], before[s] = d, h, heads[i - 1][0]
     at = F.col("slice") + 1
-    lends = F.element_at(_constant(first, "array<bigint>"), at).eqNullSafe(F.col("doc_id"))
+    lends = (F.element_at(_constant(ids, "array<bigint>"), at) == F.coalesce("doc_id", F.lit(0))) & (F.element_at(_constant(draws, "array<bigint>"), at) == F.col("h"))
     own = F.struct(F.col("slice").alias("slice"), F.lit(False).alias("lent"))
     lent = F.struct(F.element_at(_constant(before, "array<int>"), at).alias("slice"), F.lit(True).alias("lent"))
     goes = F.when(lends, F.array(own, lent)).otherwise(F.array(own))
-    return placed.withColumn("goes", F.explode(goes)).select("doc_id", "text", F.col("goes.slice").alias("slice"), F.col("goes.lent").alias("lent"))
+    out = placed.withColumn("goes", F.explode(goes)).select(F.col("goes.slice").alias("slice"), F.col("goes.lent").alias("lent"), "doc_id", "h", "text", "held")
+    return out.repartition("slice").groupBy("slice", "lent", "doc_id", "h").agg(F.first("text").alias("text"), F.sum("held").alias("held"))
 
 
 def fingerprints(docs: DataFrame, *, anchors: list[str] = ANCHORS, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_part.
 
     The edited text replaces the last floor(n_chars / 2) code points by the
-    first as many (or all) of the next document. Null texts read as empty: no
-    signature, and likeness 1 to another text without any. Repeated rows stay,
-    each followed by the next; an empty table gives no rows; other columns are
-    ignored. Texts are shuffled once, with their signatures.
+    first as many (or all) of the next document, the next other row by id; of
+    equal ids by a draw on the text; null ids come last, and after the last
+    comes the first. Null texts read as empty: no signature, and likeness 1 to
+    another text without any. Rows equal in id and text are one document and
+    give as many equal rows; a document alone is its own next; texts of any
+    length are read whole; an empty table gives no rows; other columns are
+    ignored. Texts are shuffled once, and signed behind the shuffle.
     """
     placed = with_next(docs).withColumn("sigs", signatures(F.col("text"), anchors))
-    order = Window.partitionBy("slice").orderBy("lent", F.col("doc_id").asc_nulls_last(), "text")
+    order = Window.partitionBy("slice").orderBy("lent", F.col("doc_id").asc_nulls_last(), "h")
     paired = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sigs", F.lead("sigs").over(order)).where("NOT lent")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    edited = paired.select("doc_id", "held", n.cast("long").alias("n_chars"), "sigs", "next_sigs", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     edited = edited.withColumn("edited_sigs", signatures(F.col("edited"), anchors))
-    return edited.select(
+    out = edited.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -142,7 +173,9 @@ def fingerprints(docs: DataFrame, *, anchors: list[str] = ANCHORS, threshold: fl
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         F.size("sigs").alias("n_signatures"),
         length_partition(F.col("sigs"), threshold).alias("length_part"),
+        "held",
     )
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("held")))).drop("__copy", "held")
 
 
 def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,23 @@ def test_repeats_nulls_and_one_row(spark):
     assert M.fingerprints(docs.where("false")).count() == 0
 
 
+def test_half_the_ids_null_or_repeated(spark, monkeypatch):
+    """Slices stay even where one id fills them, and every row's next is that of the whole order; equal rows give equal rows."""
+    monkeypatch.setattr(M.with_next, "__defaults__", (4,))
+    rows = [(None, f"null id with text {i} of many") for i in range(90)] + [(7, f"repeated id with text {i} of many") for i in range(70)] + [(i, f"own id {i} of many") for i in range(60)] + [(None, "the same of all")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    draw_of = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, draw_of(r[1])))
+    want = []
+    for i, (k, own) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(own) // 2
+        want += [(str(k), hashlib.sha256((own[: len(own) - half] + nxt[:half]).encode()).hexdigest())] * rows.count((k, own))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in M.fingerprints(docs).collect()) == sorted(want)
+    sizes = [r["count"] for r in M.with_next(docs).groupBy("slice").count().collect()]
+    assert max(sizes) <= 25 and len(sizes) > 30
+
+
 def test_partitions_bound_the_likeness(spark):
     sizes = spark.range(1, 200).select(F.sequence(F.lit(1), "id").alias("s")).select(F.size("s").alias("n"), M.length_partition(F.col("s"), 0.8).alias("p")).collect()
     for a in sizes:
