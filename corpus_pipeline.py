@@ -27,13 +27,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    from strandloom.llm.common import ensure_checkpoint_dir
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next.
 
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared}/pipeline-{uuid.uuid4().hex}"
+    A stage's rows are deleted once the next has been written. Nulls in any
+    column, empty and very long texts, ties, repeated rows, an empty table and
+    columns of any name go through as each stage states.
+    """
+    from strandloom.llm.common import deleted, ensure_checkpoint_dir
+
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            deleted(spark, before)
+        before = f"{folder}/{name}"
     return docs
