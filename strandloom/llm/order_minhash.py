@@ -2,8 +2,8 @@
 
 A sketch keeps the few k-mers of words, labelled by occurrence, that are
 smallest under one hash, in the order of the text, so that equal sketches speak
-for a small edit distance and not only for common words. Texts that share a
-sketch form groups; inside a group, pairs that a lossless prefix filter leaves
+for a small edit distance and not only for common words. Texts that are
+neighbours in several sketches form groups; inside a group, pairs that a lossless prefix filter leaves
 are verified by an alignment inside a band, which alone decides.
 """
 
@@ -27,10 +27,12 @@ K = 3
 SKETCHES, PICK = 80, 2
 #: Texts of at most so many words also get sketches of one pair of words, as edits may leave them no k-mer.
 SHORT, SHORT_SKETCHES = 40, 24
+#: Sketches in which two texts have to be neighbours to be grouped.
+MEETINGS = 2
 #: Words of the grams that bound the edits.
 Q = 2
-#: Shingles and texts in a block of a group.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 1500
+#: Words and texts in a block of a group; pairs of long texts take the time, so words bound it first.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 18, 1500
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=SKETCHES + SHORT_SKETCHES, dtype=np.uint64)[:, None]
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -205,9 +207,9 @@ def most_edits(longer: int, threshold: float) -> int:
     return math.floor((1 - threshold) * longer + 1e-9)
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """The labelled grams of Q words, sorted."""
-    return np.sort(labelled(kmers(ids, Q)))
+def grams(ids: np.ndarray, size: int = Q) -> np.ndarray:
+    """The labelled grams of so many words, sorted."""
+    return np.sort(labelled(kmers(ids, size)))
 
 
 def least_shared(longer: int, threshold: float) -> int:
@@ -215,46 +217,32 @@ def least_shared(longer: int, threshold: float) -> int:
     return max(1, longer - Q + 1 - Q * most_edits(longer, threshold))
 
 
-def alike(a: np.ndarray, b: np.ndarray, set_a: np.ndarray, set_b: np.ndarray, threshold: float) -> bool:
-    """Similarity 1 - edits / longer of the words at least the threshold; the sets decide nothing."""
-    longer = max(len(a), len(b))
-    return edits_within(a, b, most_edits(longer, threshold)) is not None
-
-
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Numbers that two sorted arrays of distinct ones have in common."""
     at = np.searchsorted(b, a)
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def links_of(texts: list[str], sides: list[int], threshold: float) -> list[tuple[int, int]]:
+def links_of(texts: list[str], sides: list[int], threshold: float, guests: list[bool] | None = None) -> list[tuple[int, int]]:
     """Pairs of indices whose links connect all that is linked among these texts (a spanning forest).
 
-    With two different sides only pairs across them are compared. A pair within
+    With two different sides only pairs across them are compared, and pairs of
+    two guests, which meet elsewhere, are not. A pair within
     the threshold shares least_shared grams, so one of the first n - that + 1
     grams of either text in the order of rarity; only texts that meet there and
     share as many are aligned, and only while they are not yet connected.
     """
     ids = [word_ids(t) for t in texts]
     sets = [grams(x) for x in ids]
+    single = [grams(x, 1) for x in ids]
     sizes = np.array([len(s) for s in sets])
+    guests = guests or [False] * len(texts)
     across = len(set(sides)) > 1
     if not sizes.sum():
         return []
     every, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), dtype=np.int64)
     rank[np.lexsort((every, df))] = np.arange(len(every))
-    postings: dict[int, list[int]] = {}
-    offset = 0
-    for i in range(len(texts)):
-        mine = inverse[offset : offset + sizes[i]]
-        offset += sizes[i]
-        words = len(ids[i])
-        fewest = min((least_shared(n, threshold) for n in range(words, int(words / threshold + 1e-9) + 1)), default=1)
-        length = max(sizes[i] - fewest + 1, 0) if sizes[i] else 0
-        first = mine[np.argsort(rank[mine])[:length]]
-        for token in first[df[first] > 1].tolist():
-            postings.setdefault(token, []).append(i)
     parent = list(range(len(texts)))
 
     def find(v: int) -> int:
@@ -263,32 +251,32 @@ def links_of(texts: list[str], sides: list[int], threshold: float) -> list[tuple
             v = parent[v]
         return v
 
-    compared: set[tuple[int, int]] = set()
-    edges = []
-    for token in sorted(postings, key=rank.__getitem__):
-        held: dict[int, list[int]] = {}  # by component, the texts met so far
-        for i in postings[token]:
-            merged: dict[int, list[int]] = {}
-            for root, members in held.items():
-                merged.setdefault(find(root), []).extend(members)
-            held = merged
-            for root, members in list(held.items()):
-                for j in members:
-                    if find(i) == find(j):
-                        break
-                    pair = (j, i)
-                    if (across and sides[i] == sides[j]) or pair in compared:
-                        continue
-                    compared.add(pair)
-                    longer, shorter = max(len(ids[i]), len(ids[j])), min(len(ids[i]), len(ids[j]))
-                    if longer - shorter > most_edits(longer, threshold) or shared(sets[i], sets[j]) < least_shared(longer, threshold):
-                        continue
-                    if alike(ids[i], ids[j], sets[i], sets[j], threshold):
-                        edges.append(pair)
-                        a, b = find(i), find(j)
-                        parent[max(a, b)] = min(a, b)
-                        break
-            held.setdefault(find(i), []).append(i)
+    postings: dict[int, list[int]] = {}
+    offset, edges = 0, []
+    for i in range(len(texts)):
+        mine = inverse[offset : offset + sizes[i]]
+        offset += sizes[i]
+        words = len(ids[i])
+        fewest = min((least_shared(n, threshold) for n in range(words, int(words / threshold + 1e-9) + 1)), default=1)
+        first = mine[np.argsort(rank[mine])[: max(sizes[i] - fewest + 1, 0) if sizes[i] else 0]]
+        tokens = first[df[first] > 1].tolist()
+        met: set[int] = set()
+        for token in tokens:
+            met.update(postings.get(token, ()))
+        for j in sorted(met):
+            if (across and sides[i] == sides[j]) or (guests[i] and guests[j]) or find(i) == find(j):
+                continue
+            longer, shorter = max(len(ids[i]), len(ids[j])), min(len(ids[i]), len(ids[j]))
+            most = most_edits(longer, threshold)
+            # an edit takes one word, or Q grams, from what the two share
+            if longer - shorter > most or shared(single[i], single[j]) < longer - most or shared(sets[i], sets[j]) < least_shared(longer, threshold):
+                continue
+            if edits_within(ids[i], ids[j], most) is not None:
+                edges.append((j, i))
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+        for token in tokens:
+            postings.setdefault(token, []).append(i)
     return edges
 
 
@@ -308,8 +296,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     true for that one (of several texts under that id for one text only, and
     for one text of a class without ids). Links join equal texts, and texts
     whose words differ by at most 1 - threshold of the longer in edits;
-    candidates share one of SKETCHES sketches, which in expectation misses a
-    pair with edits at random in a fifth of its words about once in 10,000.
+    candidates share MEETINGS of SKETCHES sketches, in which they are neighbours
+    by length; in expectation that misses a pair with edits at random in a
+    fifth of its words about once in 1,000.
 
     Equal texts are one node, numbered after they are gathered by their full
     digest, so copies cost a row each and no comparison. A group of candidates
@@ -335,30 +324,32 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     by_length = Window.partitionBy("key").orderBy("n", "node")
     chain = buckets.select("node", "n", F.lag("node").over(by_length).alias("before"), F.lag("n").over(by_length).alias("shorter"))
     chain = chain.where(F.col("n") - F.col("shorter") <= F.floor(F.col("n") * (1 - threshold) + 1e-9))
+    # a shared line gives two texts a sketch in common now and then, a small edit distance gives them many
+    chain = chain.groupBy("node", "before").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS)
     groups = components(chain.select(F.col("node").alias("a"), F.col("before").alias("b")))
     members = classes.select("node", "digest", "rep", "n").join(groups.select("node", F.col("component").alias("group")), "node")
     load = members.groupBy("group").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("long")
-    # texts within the threshold lie in the same or the next band of lengths: a large group is dealt into cells of two bands
+    # texts within the threshold lie in the same or the next band of lengths: a large group is dealt into cells of one band and, as guests, the one below
     band = F.floor(F.log(F.col("n").cast("double")) / max(1.01 * math.log(1 / threshold), 0.01)).cast("long")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))
-    members = settled(members.join(load.select("group", blocks.alias("blocks")), "group").select("node", "digest", "rep", "n", F.col("group").alias("whole"), F.explode(cells).alias("cell")))
+    members = settled(members.join(load.select("group", blocks.alias("blocks")), "group").select("node", "digest", "rep", "n", F.col("group").alias("whole"), F.explode(cells).alias("cell"), "blocks", band.alias("band")).withColumn("guest", (F.col("blocks") > 1) & (F.col("cell") > F.col("band"))).drop("blocks", "band"))
     load = members.groupBy("whole", "cell").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
     load = load.select("whole", "cell", F.xxhash64("whole", "cell").alias("group"), blocks.alias("blocks"))
     members = settled(members.join(load, ["whole", "cell"]))
     placed = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.select("node", F.col("digest").alias("m_digest"), F.col("rep"), "group", "own", "blocks")
+    placed = placed.select("node", F.col("digest").alias("m_digest"), "rep", "group", "own", "blocks", "guest")
     # one row gives the text of a node: that of its smallest id; texts that no id holds are gathered first
     named = hashed.where("doc_id IS NOT NULL").unionByName(hashed.where("doc_id IS NULL").dropDuplicates(["digest"]))
     texts = named.join(placed, (F.col("digest") == F.col("m_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     # a text meets every block of its group, its own included
-    texts = texts.select("node", "text", "group", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    texts = texts.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text", "own")
+    texts = texts.select("node", "text", "group", "own", "guest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    texts = texts.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text", "own", "guest")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values("node")
         nodes = pdf["node"].tolist()
-        found = links_of(pdf["text"].tolist(), pdf["own"].tolist(), threshold)
+        found = links_of(pdf["text"].tolist(), pdf["own"].tolist(), threshold, pdf["guest"].tolist())
         return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}).astype("int64")
 
     links = settled(texts.groupBy("group", "i", "j").applyInPandas(verify, "a long, b long"))
