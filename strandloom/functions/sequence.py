@@ -177,3 +177,8 @@ def prefix_number(prefix: Column) -> Column:
     value = F.aggregate(digits, F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 4 + base_number(c)))
     shorter = ((F.pow(F.lit(4.0), F.length(prefix)) - 1) / 3).cast("long")
     return value + shorter
+
+
+def uniform_draw(seed: int, *key: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number drawn evenly from [low, high), fixed by the seed and the key, so that a rerun or a lost task draws the same."""
+    return F.lit(low) + (high - low) * F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)

@@ -67,6 +67,11 @@ def within_limits(runs: DataFrame, seconds: str, megabytes: str) -> DataFrame:
     return runs.where((F.col(seconds) < TIME_LIMIT) & (F.col(megabytes) < MEMORY_LIMIT))
 
 
+def complete_rows(runs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a null in the columns, or in any."""
+    return runs.dropna(subset=columns)
+
+
 def ranked_algorithms(runs: DataFrame, column: str = "algo") -> DataFrame:
     """Algorithms by their display name and rank; unknown ones keep theirs and come last."""
     names = reduce(lambda c, x: c.when(F.col(column) == x[0], x[1]), ALGORITHMS, F.when(F.lit(False), ""))

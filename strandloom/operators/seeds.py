@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import error_step
+from strandloom.functions.sequence import error_step, reverse_complement
 
 
 def seeds(reads: DataFrame, k: int) -> DataFrame:
@@ -23,6 +23,13 @@ def seed_matches(cut: DataFrame, index: DataFrame) -> DataFrame:
     return cut.join(index, "kmer").select("read_id", "seed", "start", "kmer", "seg_id", "pos", "strand")
 
 
+def matches_on_both_strands(cut: DataFrame, forward: DataFrame) -> DataFrame:
+    """As seed_matches with an index of both strands, from one of the forward strand (seg_id, pos, kmer): the seeds, which are few, are reverse-complemented instead."""
+    either = F.array(F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("word")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("kmer")).alias("word")))
+    asked = cut.select("read_id", "seed", "start", "kmer", F.explode(either).alias("s")).select("read_id", "seed", "start", "kmer", "s.strand", "s.word")
+    return asked.join(forward.select("seg_id", "pos", F.col("kmer").alias("word")), "word").select("read_id", "seed", "start", "kmer", "seg_id", "pos", "strand")
+
+
 def max_indels(length: Column, n_seeds: Column, match: int, subst: int, ins: int, dele: int) -> Column:
     """How far matches can drift: (len * match + seeds * delta) div del; unbounded where deletions cost nothing."""
     if dele == 0:
@@ -83,3 +90,21 @@ def root_bounds(reads: DataFrame, matches: DataFrame, k: int, match: int = 0, su
     found = F.size(F.filter(F.coalesce("s", F.array().cast("array<int>")), lambda x: x < ahead))
     bound = seed_bound(F.col("len"), F.lit(0), k, F.col("n_seeds"), found, match, delta)
     return joined.select("read_id", "n_seeds", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), found.alias("found"), bound.cast("int").alias("bound"))
+
+
+def trie_crumbs(crumbs: DataFrame, walks_to: DataFrame) -> DataFrame:
+    """(read_id, seed, prefix): crumbs (read_id, seed, node) carried up the index, from each node to every prefix of the walks (prefix, node) that lead to it."""
+    up = walks_to.select("node", F.explode(F.sequence(F.lit(0), F.length("prefix"))).alias("n"), "prefix").select("node", F.expr("left(prefix, n)").alias("prefix")).distinct()
+    return crumbs.join(up, "node").select("read_id", "seed", "prefix").distinct()
+
+
+def crumbs_at(crumbs: DataFrame, states: DataFrame) -> DataFrame:
+    """(.., n_crumbs) for states (read_id, node, below, ..): the number of different seeds under `below` with a crumb at the state's node."""
+    kept = states.columns
+    near = states.join(crumbs.distinct(), ["read_id", "node"], "left").groupBy(*kept)
+    return near.agg(F.count_if(F.col("seed") < F.col("below")).alias("n_crumbs"))
+
+
+def sorted_crumbs(crumbs: DataFrame) -> DataFrame:
+    """Crumbs once each, by read, node and seed."""
+    return crumbs.distinct().orderBy("read_id", "node", "seed")

@@ -16,8 +16,14 @@ def sliced(rows: DataFrame, order: str, rows_per_slice: int) -> DataFrame:
     cuts = []
     if k > 1:
         cuts = sorted(set(rows.agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k).alias("c")).first()["c"] or []))
-    at = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-    return rows.withColumn("slice", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(at, lambda c: c <= F.col(order).cast("double")))))
+    # a coarse search finds the chunk of cuts, a fine one the place in it, so a row meets few of them
+    step = max(1, math.isqrt(len(cuts)))
+    constant = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)
+    value = F.col(order).cast("double")
+    upto = F.size(F.filter(constant(cuts[::step], "array<double>"), lambda c: c <= value))
+    chunks = constant([cuts[i : i + step] for i in range(0, len(cuts), step)], "array<array<double>>")
+    place = (upto - 1) * step + F.size(F.filter(F.element_at(chunks, upto), lambda c: c <= value))
+    return rows.withColumn("slice", F.when(F.col(order).isNull(), -1).when(upto == 0, 0).otherwise(place))
 
 
 def running(rows: DataFrame, order: str, ties: list[str], value: Column, rows_per_slice: int = 65_536) -> DataFrame:
@@ -43,24 +49,23 @@ def every_nth(rows: DataFrame, order: str, ties: list[str], n: int) -> DataFrame
 def exponential_mean(rows: DataFrame, order: str, ties: list[str], value: Column, span: int = 400) -> DataFrame:
     """rows with `ewm`, the adjusted exponentially weighted mean of value so far.
 
-    Weights fall below 1e-17 behind three slices of ten spans each, so a slice
-    needs only the weighted sums of the three before it.
+    A slice, in which equal order values stand together, is summed in blocks of
+    ten spans, so that no weight leaves a double; a block gets the weighted sums
+    of the sixteen before it, behind which weights are below 1e-17.
     """
-    q = 1 - 2 / (span + 1)
-    cut = sliced(rows.withColumn("__v", value.cast("double")), order, max(4096, 10 * span))
-    by = Window.partitionBy("slice").orderBy(order, *ties)
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("__i", F.row_number().over(by))
+    q, size = 1 - 2 / (span + 1), 10 * span
+    cut = sliced(rows.withColumn("__v", value.cast("double")), order, max(4096, size))
+    at = F.row_number().over(Window.partitionBy("slice").orderBy(order, *ties)) - 1
+    cut = cut.withColumn("__at", at).withColumn("__block", F.expr(f"__at div {size}")).withColumn("__i", F.col("__at") % size + 1)
+    upto = Window.partitionBy("slice", "__block").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     up, down = F.pow(F.lit(q), -F.col("__i")), F.pow(F.lit(q), F.col("__i"))
     cut = cut.withColumn("__a", F.sum(F.col("__v") * up).over(upto) * down).withColumn("__b", F.sum(up).over(upto) * down)
-    per = cut.groupBy("slice").agg(F.max("__i").alias("n"), F.max_by("__a", "__i").alias("a"), F.max_by("__b", "__i").alias("b"))
-    order_w = Window.orderBy("slice")
-    lag = lambda c, k: F.coalesce(F.lag(c, k).over(order_w), F.lit(0.0))
-    w1, w2 = F.pow(F.lit(q), lag("n", 1)), F.pow(F.lit(q), lag("n", 1) + lag("n", 2))
-    carry = lambda c: lag(c, 1) + w1 * lag(c, 2) + w2 * lag(c, 3)
-    per = per.select("slice", carry("a").alias("__ca"), carry("b").alias("__cb"))
-    out = cut.join(per, "slice")
-    return out.withColumn("ewm", (F.col("__a") + F.col("__ca") * down) / (F.col("__b") + F.col("__cb") * down)).drop("slice", "__v", "__i", "__a", "__b", "__ca", "__cb")
+    per = cut.groupBy("slice", "__block").agg(F.max("__i").alias("n"), F.max_by("__a", "__i").alias("a"), F.max_by("__b", "__i").alias("b"))
+    earlier = F.collect_list(F.struct("n", "a", "b")).over(Window.orderBy("slice", "__block").rowsBetween(-16, -1))  # a row a block
+    carry = lambda c: F.aggregate(F.col("__e"), F.lit(0.0), lambda s, x: s * F.pow(F.lit(q), x["n"]) + x[c])
+    per = per.withColumn("__e", earlier).select("slice", "__block", carry("a").alias("__ca"), carry("b").alias("__cb"))
+    out = cut.join(per, ["slice", "__block"])
+    return out.withColumn("ewm", (F.col("__a") + F.col("__ca") * down) / (F.col("__b") + F.col("__cb") * down)).drop("slice", "__v", "__at", "__block", "__i", "__a", "__b", "__ca", "__cb")
 
 
 def cumulative_share(rows: DataFrame, value: str) -> DataFrame:

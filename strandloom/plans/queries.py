@@ -68,6 +68,10 @@ def seq_scan(spark, d):
     return sequences(spark, d).select("seg_id", "seq", S.read_length(F.col("seq")).cast("long").alias("len"), S.read_size(F.col("seq")).cast("long").alias("size"))
 
 
+def forward_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return I.words(sequences(spark, d), K, ["seg_id"]).withColumnRenamed("word", "kmer")
+
+
 @query(f"WITH {DS} SELECT seg_id, {REVCOMP.format('seq')} AS rc FROM ds")
 def revcomp(spark, d):
     return sequences(spark, d).select("seg_id", S.reverse_complement(F.col("seq")).alias("rc"))
@@ -133,7 +137,10 @@ def induced_subgraph(spark, d):
 
 @query(f"WITH {DS}, {KMERS} SELECT copies, count(*)::BIGINT AS n_kmers FROM (SELECT kmer, count(*)::BIGINT AS copies FROM kmers GROUP BY 1) GROUP BY 1")
 def kmers(spark, d):
-    per = I.kmers(sequences(spark, d), K).groupBy("kmer").agg(F.count("*").alias("copies"))
+    # counted on the forward strand first: only different words are turned round and counted again
+    forward = I.words(sequences(spark, d), K, []).groupBy("word").agg(F.count("*").alias("n"))
+    both = forward.select("n", F.explode(F.array("word", S.reverse_complement(F.col("word")))).alias("kmer"))
+    per = both.groupBy("kmer").agg(F.sum("n").alias("copies"))
     return per.groupBy("copies").agg(F.count("*").alias("n_kmers"))
 
 
@@ -155,8 +162,9 @@ def trie_variable(spark, d):
     "SELECT prefix, count(*)::BIGINT AS n_nodes FROM n GROUP BY 1"
 )
 def linear_classes(spark, d):
-    e = G.sequence_edges(sequences(spark, d))
-    return I.linear_prefixes(e, 5).groupBy("prefix").agg(F.count("*").alias("n_nodes"))
+    # on linear sequences the next letters of a node are a word; a node needs an edge behind them too
+    inner = sequences(spark, d).select(F.expr("left(seq, length(seq) - 1)").alias("seq"))
+    return I.words(inner, 5, []).groupBy(F.col("word").alias("prefix")).agg(F.count("*").alias("n_nodes"))
 
 
 @query(f"WITH {RS}, {SEEDS} SELECT read_id, seed::INTEGER AS seed, start::INTEGER AS start, kmer FROM seeds")
@@ -169,7 +177,7 @@ MATCHES = f"WITH {DS}, {RS}, {SEEDS}, {KMERS}, matches AS (SELECT read_id, seed,
 
 @query(f"{MATCHES} SELECT read_id, seed::INTEGER AS seed, strand, count(*)::BIGINT AS n, sum(pos)::BIGINT AS positions FROM matches GROUP BY 1, 2, 3")
 def seed_matches(spark, d):
-    m = D.seed_matches(D.seeds(read_table(spark, d), K), I.kmers(sequences(spark, d), K))
+    m = D.matches_on_both_strands(D.seeds(read_table(spark, d), K), forward_kmers(spark, d))
     return m.groupBy("read_id", "seed", "strand").agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("positions"))
 
 
@@ -179,7 +187,7 @@ def seed_matches(spark, d):
 )
 def crumbs_linear(spark, d):
     reads = read_table(spark, d)
-    m = D.seed_matches(D.seeds(reads, K), I.kmers(sequences(spark, d), K)).join(reads.select("read_id", F.length("seq").alias("len")), "read_id")
+    m = D.matches_on_both_strands(D.seeds(reads, K), forward_kmers(spark, d)).join(reads.select("read_id", F.length("seq").alias("len")), "read_id")
     n_seeds = F.floor(F.col("len") / F.lit(float(K))).cast("int")
     m = m.withColumn("indels", D.max_indels(F.col("len"), n_seeds, 0, 1, 5, 5))
     return D.linear_crumbs(m, F.col("indels")).groupBy("read_id", "seed", "strand").agg(F.count("*").alias("n_crumbs"))
@@ -191,7 +199,7 @@ def crumbs_linear(spark, d):
 )
 def seed_h(spark, d):
     reads = read_table(spark, d)
-    return D.root_bounds(reads, D.seed_matches(D.seeds(reads, K), I.kmers(sequences(spark, d), K)), K)
+    return D.root_bounds(reads, D.matches_on_both_strands(D.seeds(reads, K), forward_kmers(spark, d)), K)
 
 
 @query(
@@ -495,3 +503,55 @@ def exact_reads(spark, d):
     """Reads of cost 0: those whose letters, on either strand, stand in a document."""
     found = A.align(sequences(spark, d), None, read_table(spark, d), k=1, seed_len=K, drop_tail=False)
     return found.where("cost = 0").select("read_id")
+
+
+@query(
+    "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) SELECT doc_id, count(*) FILTER (WHERE regexp_full_match(w, '[ACGTN]'))::BIGINT AS n_bases, count(*) FILTER (WHERE regexp_full_match(w, '[ACGTN]') OR w = 'e')::BIGINT AS n_labels, "
+    "count(*) FILTER (WHERE regexp_full_match(translate(w, 'acgtn', 'ACGTN'), '[ACGTN]*'))::BIGINT AS n_reads, count(*) FILTER (WHERE ends_with(lower(w), 'on.'))::BIGINT AS n_endings FROM w GROUP BY 1"
+)
+def letter_checks(spark, d):
+    """Words of each document that are a nucleotide, a label of an edge, a valid read, or have a given ending."""
+    w = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    flags = {"n_bases": S.is_nucleotide(F.col("w")), "n_labels": S.is_letter(F.col("w")), "n_reads": S.is_valid_read(F.col("w")), "n_endings": S.has_ending(F.col("w"), "ON.")}
+    return w.groupBy("doc_id").agg(*[F.count_if(c).alias(name) for name, c in flags.items()])
+
+
+@query(f"WITH {DS} SELECT seg_id, pos::BIGINT AS node, CASE WHEN substr(seq, pos + 1, 1) = 'A' THEN 1 ELSE 0 END AS is_a, (pos + 1)::BIGINT AS ahead, (pos - 1)::BIGINT AS behind FROM (SELECT *, unnest(generate_series(1, length(seq) - 2)) AS pos FROM ds WHERE length(seq) > 2)")
+def adjacency(spark, d):
+    """Forward and backward neighbours of every inner node of the documents' graphs."""
+    e = G.sequence_edges(sequences(spark, d))
+    ahead = G.expand_forward(G.nodes(e), e).select("node", F.col("dst").alias("ahead"), (F.col("label") == "A").cast("int").alias("is_a"))
+    behind = G.expand_backward(G.nodes(e), e).select("node", F.col("src").alias("behind"))
+    met = ahead.join(behind, "node")
+    return met.select(S.node_segment(F.col("node")).alias("seg_id"), S.node_offset(F.col("node")).alias("node"), "is_a", S.node_offset(F.col("ahead")).alias("ahead"), S.node_offset(F.col("behind")).alias("behind"))
+
+
+@query("SELECT o_orderkey, (('0x' || substr(md5(concat_ws('|', '7', o_orderkey::VARCHAR)), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE * 10.0::DOUBLE AS drawn FROM orders")
+def uniform_draws(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", S.uniform_draw(7, F.col("o_orderkey"), high=10.0).alias("drawn"))
+
+
+@query("SELECT doc_id, n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL")
+def drop_null(spark, d):
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+    return N.complete_rows(rows, ["toxic", "n_chars", "lang"]).select("doc_id", "n_chars")
+
+
+CRUMBS = f"{MATCHES}, m AS (SELECT read_id, seed, seg_id, strand, pos, least(pos, greatest(0, start - 2 + length(seq) // {K} // 5)) AS reach FROM matches JOIN rs USING (read_id)), crumbs AS (SELECT DISTINCT read_id, seed, strand, seg_id, unnest(generate_series(pos - reach, pos)) AS node FROM m)"
+
+
+@query(f"{CRUMBS} SELECT read_id, strand, seg_id, node::BIGINT AS node, count(*)::BIGINT AS n_crumbs, sum(seed)::BIGINT AS seeds FROM crumbs GROUP BY 1, 2, 3, 4")
+def crumb_lookup(spark, d):
+    """The crumbs of a read at every node that holds one: how many seeds, and which."""
+    reads = read_table(spark, d)
+    m = D.matches_on_both_strands(D.seeds(reads, K), forward_kmers(spark, d)).join(reads.select("read_id", F.length("seq").alias("len")), "read_id")
+    m = m.withColumn("indels", D.max_indels(F.col("len"), F.floor(F.col("len") / F.lit(float(K))).cast("int"), 0, 1, 5, 5))
+    crumbs = D.linear_crumbs(m, F.col("indels")).distinct()
+    return crumbs.groupBy("read_id", "strand", "seg_id", F.col("node").cast("long").alias("node")).agg(F.count("*").alias("n_crumbs"), F.sum("seed").cast("long").alias("seeds"))
+
+
+@query(f"WITH {DS} SELECT prefix, label, count(*)::BIGINT AS n, sum(o)::BIGINT AS offsets FROM (SELECT substr(seq, i, 3) AS prefix, substr(seq, i + 3, 1) AS label, i + 3 AS o FROM (SELECT *, unnest(generate_series(1, length(seq) - 4)) AS i FROM ds WHERE length(seq) > 4)) GROUP BY 1, 2")
+def trie_jumps(spark, d):
+    """The jumps from the leaves of an index of depth 4 back into the documents' graphs."""
+    _, jumps = I.trie(G.sequence_edges(sequences(spark, d)), 4)
+    return jumps.groupBy("prefix", "label").agg(F.count("*").alias("n"), F.sum(S.node_offset(F.col("node"))).alias("offsets"))
