@@ -19,7 +19,7 @@ from strandloom.functions.sequence import SEGMENT_BITS, error_step, spell_path
 from strandloom.operators.components import components
 from strandloom.operators.graph import character_graph, doubled
 from strandloom.operators.index import words
-from strandloom.operators.kernels import SEPARATOR, Graph, batch_costs, chain_costs, chain_path, encode, encode_read, reversed_complement, straight_path
+from strandloom.operators.kernels import SEPARATOR, Graph, batch_costs, chain_costs, chain_path, encode, encode_read, letter_prices, reversed_complement, straight_path, value_type
 from strandloom.operators.lineage import settled
 from strandloom.operators.seeds import seed_matches, seeds
 
@@ -135,21 +135,25 @@ def full_ends(cut: DataFrame, reads: DataFrame, costs: Costs) -> DataFrame:
     def meet(key: tuple, ref: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(ref) or not len(ask):
             return pd.DataFrame({"read_id": [], "cost": [], "strand": [], "seg_id": [], "end_at": []})
-        stop = np.array([SEPARATOR], dtype=np.uint8)
-        parts, strands, segs, ats, signs = [], [], [], [], []
+        coded = {rid: encode_read(read) for rid, read in zip(ask["read_id"], ask["seq"], strict=True)}
+        letters = np.unique(np.concatenate(list(coded.values()))).tolist()
+        low = dict.fromkeys(coded, np.iinfo(np.int64).max)
+        ends: dict[int, list[pd.DataFrame]] = {rid: [] for rid in coded}
+        # piece by piece, so that the costs of all its nodes stay in the cache
         for seg, at, seq in zip(ref["seg_id"], ref["at"], ref["seq"], strict=True):
             for strand, s in (("+", seq), ("-", reversed_complement(seq))):
-                parts += [encode(s), stop]
-                segs.append(np.full(len(s) + 1, seg))
-                ats.append(at + np.arange(len(s) + 1) if strand == "+" else at + len(s) - np.arange(len(s) + 1))
-                strands.append(np.full(len(s) + 1, strand))
-        codes = np.concatenate(parts)[:-1]
-        seg, at, strand = np.concatenate(segs), np.concatenate(ats), np.concatenate(strands)
-        out = []
-        for rid, read in zip(ask["read_id"], ask["seq"], strict=True):
-            low, ends = _ends(chain_costs(codes, encode_read(read), price))
-            out.append(pd.DataFrame({"read_id": rid, "cost": low, "strand": strand[ends], "seg_id": seg[ends], "end_at": at[ends]}))
-        return pd.concat(out)
+                codes, prices = encode(s), {}
+                for rid, read in coded.items():
+                    kind = value_type(read, price)
+                    if kind not in prices:
+                        prices[kind] = letter_prices(codes, letters, price, kind)
+                    best, where = _ends(chain_costs(codes, read, price, prices=prices[kind]))
+                    if best > low[rid]:
+                        continue
+                    if best < low[rid]:
+                        low[rid], ends[rid] = best, []
+                    ends[rid].append(pd.DataFrame({"read_id": rid, "cost": best, "strand": strand, "seg_id": seg, "end_at": at + where if strand == "+" else at + len(s) - where}))
+        return pd.concat([part for parts in ends.values() for part in parts])
 
     return refs.groupBy("batch", "block").cogroup(asks.groupBy("batch", "block")).applyInPandas(meet, ENDS)
 

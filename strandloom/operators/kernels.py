@@ -27,38 +27,46 @@ def reversed_complement(seq: str) -> str:
     return seq.encode("ascii", "replace").translate(_COMPLEMENT)[::-1].decode()
 
 
+def value_type(read: np.ndarray, costs: tuple[int, int, int, int]):
+    return _kind(read, costs)[0]
+
+
 def _kind(read: np.ndarray, costs: tuple[int, int, int, int]):
     most = (len(read) + 2) * (max(costs) + 1)
     return (np.int16, 30_000) if most < 14_000 else (np.int32, 1 << 30)
 
 
-def chain_costs(codes: np.ndarray, read: np.ndarray, costs: tuple[int, int, int, int], rows: list | None = None) -> np.ndarray:
+def letter_prices(codes: np.ndarray, letters, costs: tuple[int, int, int, int], kind) -> dict[int, np.ndarray]:
+    """For each read letter the price of every edge of a chain."""
+    return {c: np.where(codes == c, kind(costs[0]), kind(costs[1])) for c in letters}
+
+
+def chain_costs(codes: np.ndarray, read: np.ndarray, costs: tuple[int, int, int, int], rows: list | None = None, prices: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Least cost of the whole read ending at each node of a chain, started anywhere.
 
     codes: the letter of the edge from node j to node j + 1, SEPARATOR where
     there is none. rows, if given, receives the costs after every read letter.
+    prices, if given, are letter_prices of the chain, shared among reads.
     """
-    match, subst, ins, dele = costs
+    ins, dele = costs[2], costs[3]
     kind, far = _kind(read, costs)
-    cut = codes == SEPARATOR
-    is_cut = bool(cut.any())
+    cut = np.flatnonzero(codes == SEPARATOR)
     now = np.zeros(len(codes) + 1, dtype=kind)
+    along, lower = np.empty(len(codes), dtype=kind), np.empty(len(codes), dtype=bool)
     if rows is not None:
         rows.append(now.copy())
-    same = {c: np.where(codes == c, match, subst).astype(kind) for c in np.unique(read).tolist()}
+    same = prices or letter_prices(codes, np.unique(read).tolist(), costs, kind)
     for c in read.tolist():
-        along = now[:-1] + same[c]
-        if is_cut:
-            along[cut] = far
-        now = now + kind(ins)
+        np.add(now[:-1], same[c], out=along)
+        along[cut] = far
+        np.add(now, kind(ins), out=now)
         np.minimum(now[1:], along, out=now[1:])
         while True:
-            skip = now[:-1] + kind(dele)
-            if is_cut:
-                skip[cut] = far
-            if not (skip < now[1:]).any():
+            np.add(now[:-1], kind(dele), out=along)
+            along[cut] = far
+            if not np.less(along, now[1:], out=lower).any():
                 break
-            np.minimum(now[1:], skip, out=now[1:])
+            np.minimum(now[1:], along, out=now[1:])
         if rows is not None:
             rows.append(now.copy())
     return now

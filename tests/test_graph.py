@@ -121,3 +121,29 @@ def test_prefix_costs_are_bounds(spark):
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (4, 4), (3, 7), (7, 6)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 6: 1, 8: 8, 9: 8}
+
+
+def test_crumbs_up_the_index_and_looked_up(spark):
+    from strandloom.operators.seeds import crumbs_at, sorted_crumbs, trie_crumbs
+
+    crumbs = spark.createDataFrame([(1, 0, 10), (1, 2, 10), (1, 0, 10), (2, 1, 11)], "read_id long, seed int, node long")
+    up = trie_crumbs(crumbs, spark.createDataFrame([("AC", 10), ("AG", 10), ("AC", 11)], "prefix string, node long"))
+    assert sorted(map(tuple, up.collect())) == [(1, s, p) for s in (0, 2) for p in ("", "A", "AC", "AG")] + [(2, 1, p) for p in ("", "A", "AC")]
+    states = spark.createDataFrame([(1, 10, 2), (1, 10, 3), (1, 11, 3), (2, 11, 1)], "read_id long, node long, below int")
+    assert sorted(map(tuple, crumbs_at(crumbs, states).collect())) == [(1, 10, 2, 1), (1, 10, 3, 2), (1, 11, 3, 0), (2, 11, 1, 0)]
+    assert [tuple(r) for r in sorted_crumbs(crumbs).select("read_id", "node", "seed").collect()] == [(1, 10, 0), (1, 10, 2), (2, 11, 1)]
+
+
+def test_exponential_mean_with_one_order_value(spark):
+    """200,000 rows of one order value: the mean follows the ties, and no weight overflows."""
+    from pyspark.sql import functions as F
+
+    from strandloom.operators.windows import exponential_mean
+
+    rows = spark.range(200_000).selectExpr("1 AS o", "id", "CAST(id % 7 AS double) AS v")
+    got = {r["id"]: r["ewm"] for r in exponential_mean(rows, "o", ["id"], F.col("v")).where("id % 19_999 = 0".replace("_", "")).select("id", "ewm").collect()}
+    q, a, b = 1 - 2 / 401, 0.0, 0.0
+    for i in range(200_000):
+        a, b = a * q + i % 7, b * q + 1
+        if i % 19_999 == 0:
+            assert abs(got[i] - a / b) < 1e-9
