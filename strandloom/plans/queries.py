@@ -340,7 +340,7 @@ def last_row(spark, d):
     return N.last_rows(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice / 100 < 3600 AND o_custkey * 20.0 < 20000")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice / 100 <= 3600 AND o_custkey * 20.0 <= 20000")
 def tle_mle(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") / 100).alias("s"), (F.col("o_custkey") * F.lit(20.0)).alias("max_rss"))
     return N.within_limits(o, "s", "max_rss").select("o_orderkey", "o_totalprice")
@@ -484,6 +484,16 @@ def throughput(spark, d):
     return N.with_throughput(li, F.col("l_quantity"), F.col("l_extendedprice"), F.lit(0.0)).select("l_orderkey", "l_linenumber", "s_per_kbp", "kbp_per_s")
 
 
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CASE l_returnflag WHEN 'A' THEN l_linenumber * 100 WHEN 'N' THEN l_linenumber * l_partkey ELSE l_linenumber * 5000000 END::DOUBLE / l_quantity AS bps FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN bps <> 0 THEN 1000.0::DOUBLE / bps END AS spkb, bps * 0.001::DOUBLE AS kbps, l_extendedprice * 0.001::DOUBLE AS gb FROM r"
+)
+def technology_throughput(spark, d):
+    tech = F.when(F.col("l_returnflag") == "A", "illumina").when(F.col("l_returnflag") == "N", "hifi").otherwise("hifi-natural")
+    runs = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tech.alias("sequencing_technology"), F.col("l_linenumber").alias("N"), F.lit(100).alias("m"), F.col("l_partkey").alias("head"), F.col("l_quantity").alias("s"), F.col("l_extendedprice").alias("max_rss"))
+    return N.with_technology_throughput(runs).select("l_orderkey", "l_linenumber", "spkb", "kbps", F.col("GB").alias("gb"))
+
+
 @query(
     "WITH r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'dijkstra' WHEN 'N' THEN 'astar-seeds' ELSE 'other' END AS algo FROM lineitem) "
     "SELECT algo, CASE algo WHEN 'dijkstra' THEN 'Dijkstra' WHEN 'astar-seeds' THEN 'seeds' ELSE algo END AS algo_name, CASE algo WHEN 'astar-seeds' THEN 0 WHEN 'dijkstra' THEN 2 ELSE 3 END AS algo_rank, count(*)::BIGINT AS n FROM r GROUP BY 1"
@@ -555,3 +565,6 @@ def trie_jumps(spark, d):
     """The jumps from the leaves of an index of depth 4 back into the documents' graphs."""
     _, jumps = I.trie(G.sequence_edges(sequences(spark, d)), 4)
     return jumps.groupBy("prefix", "label").agg(F.count("*").alias("n"), F.sum(S.node_offset(F.col("node"))).alias("offsets"))
+
+
+from strandloom.plans import files as files  # noqa: E402  registers the queries over files, which use this module

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.graph import graph_size
+from strandloom.operators.lineage import settled
+
 
 def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(segments, links) of the S and L lines: (seg_id, seq) and (from_id, from_fwd, to_id, to_fwd, overlap)."""
@@ -44,18 +47,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_segments(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FASTA records as unlinked segments, numbered by name; no tail is lost, as there is a sink behind each."""
-    numbered = records.select(F.row_number().over(_by_name()).cast("long").alias("seg_id"), "name", "seq")
+    """FASTA records as unlinked segments, numbered by name; no tail is lost, as there is a sink behind each.
+
+    Records are dealt by ranges of the name and numbered inside each, and the
+    counts of the ranges before shift the numbers: no task orders the table.
+    """
+    placed = records.select("name", "seq").repartitionByRange("name", "seq").sortWithinPartitions("name", "seq")
+    placed = settled(placed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "name", "seq"))
+    held = placed.groupBy("part").agg(F.count("*").alias("n"))
+    shift = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    numbered = placed.join(F.broadcast(held.select("part", shift.alias("shift"))), "part").select((F.col("at") + F.col("shift") + 1).alias("seg_id"), "name", "seq")
     none = records.sparkSession.createDataFrame([], "from_id long, from_fwd boolean, to_id long, to_fwd boolean, overlap int")
     return numbered, none
 
 
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("name", "seq")
-
-
 def linear_with_tail(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A linear graph that loses no letter: (seg_id, seq) get a fictive last segment `A` and a link to it.
 
@@ -98,5 +103,6 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 
 def edge_list_lines(edges: DataFrame) -> DataFrame:
-    """Lines 'src dst label type'; the counts of nodes and edges are one aggregate away (graph_size)."""
-    return edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), "label", "etype").alias("value"))
+    """A line 'nodes edges' with their numbers, then a line 'src dst label type' an edge."""
+    head = graph_size(edges).select(F.concat_ws(" ", F.col("n_nodes").cast("string"), F.col("n_edges").cast("string")).alias("value"))
+    return head.unionByName(edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), "label", "etype").alias("value")))

@@ -36,6 +36,26 @@ def test_fasta(spark, tmp_path):
     assert tailed.count() == 4 and links.count() == 2
 
 
+def test_fasta_numbers_follow_the_names(spark):
+    names = [f"n{i:03d}" for i in range(200)] + ["n007", "n007"]
+    rows = GF.fasta_segments(spark.createDataFrame([(n, "AC" if i < 201 else "AA") for i, n in enumerate(names)], "name string, seq string").repartition(7))[0].collect()
+    assert [(r["name"], r["seq"]) for r in sorted(rows, key=lambda r: r["seg_id"])] == sorted((n, "AC" if i < 201 else "AA") for i, n in enumerate(names))
+    assert sorted(r["seg_id"] for r in rows) == list(range(1, 203))
+    assert GF.fasta_segments(spark.createDataFrame([], "name string, seq string"))[0].isEmpty()
+
+
+def test_throughput_by_technology(spark):
+    from strandloom.operators.analysis import with_technology_throughput, within_limits
+
+    runs = spark.createDataFrame([("illumina", 10, 100, 7, 2.0, 3000.0), ("hifi", 10, 100, 7, 2.0, 3000.0), ("hifi-natural", 10, 100, 7, 2.0, 3000.0)], "sequencing_technology string, N int, m int, head int, s double, max_rss double")
+    got = {r["sequencing_technology"]: (r["bps"], r["kbps"], r["GB"]) for r in with_technology_throughput(runs).collect()}
+    assert got == {"illumina": (500.0, 0.5, 3.0), "hifi": (35.0, pytest.approx(0.035), 3.0), "hifi-natural": (25e6, 25e3, 3.0)}
+    with pytest.raises(Exception, match="unknown technology"):
+        with_technology_throughput(runs.replace("hifi", "other")).collect()
+    edge = spark.createDataFrame([(3600.0, 20000.0), (3600.1, 1.0), (1.0, 20000.1)], "s double, mb double")
+    assert within_limits(edge, "s", "mb").count() == 1
+
+
 def test_fastq_over_many_splits(spark, tmp_path):
     n = 500
     (tmp_path / "r.fq").write_text("".join(f"@r{i}\n{'ACGT' * (1 + i % 3)}\n+\n{'IIII' * (1 + i % 3)}\n" for i in range(n)))
