@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
             found = [word_ids(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "n": [len(x) for x in found], "keys": [text_sketches(x) for x in found]})
 
-    sketched = settled(hashed.mapInPandas(sketch, "doc_id long, digest binary, n long, keys array<long>"))
+    sketched = hashed.mapInPandas(sketch, "doc_id long, digest binary, n long, keys array<long>")
     classes = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
     classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))  # the numbers hold once they are written
     buckets = classes.select("node", "n", F.explode("keys").alias("key"))
@@ -361,7 +361,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     salted = linked.select("digest", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
     of_text = salted.join(totals, ["component", "salt"]).select("digest", "class_id", "n_copies", "lead")
     alone = classes.join(linked.select("node"), "node", "left_anti").select("digest", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), F.col("digest").alias("lead"))
-    out = sketched.select("doc_id", "digest").join(of_text.unionByName(alone), "digest")
+    # the digests are taken again from the texts, so that no row's sketches are written but those of the classes
+    out = hashed.select("doc_id", "digest").join(of_text.unionByName(alone), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("lead"))
     return out.select("doc_id", "class_id", kept.alias("kept"), "n_copies", F.lower(F.hex("digest")).alias("text_id"))
 
