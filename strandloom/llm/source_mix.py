@@ -73,6 +73,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return per.select("no", "source", "source_size", "weight", target.alias("target"))
 
 
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 1 << 16
+
+
+def _numbered_copies(sized: DataFrame) -> DataFrame:
+    """A row for each of the `equal` rows, numbered by `copy` from 1; many are dealt out before they are written out."""
+    few = sized.where(F.col("equal") <= EQUAL_ROWS).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    many = sized.where(F.col("equal") > EQUAL_ROWS).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(equal - 1) div {EQUAL_ROWS}"))))
+    many = many.repartition("doc_id", "h", "part").withColumn("copy", F.explode(F.sequence(F.col("part") * EQUAL_ROWS + 1, F.least("equal", (F.col("part") + 1) * EQUAL_ROWS))))
+    return few.unionByName(many.drop("part")).drop("equal")
+
+
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies, source, shard.
 
@@ -83,32 +95,34 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     block, a shard of a source holds about `shard_words` words, and `seed`
     fixes shards, order and choice.
 
-    Skew: a hot source has many shards, so no task orders more than a shard;
-    texts without words are ordered apart from it, in a thousand parts.
+    Skew: a hot source has many shards, and rows equal in id, source and text
+    are counted first and then numbered, so that they fall into shards like
+    different ones; no task orders much more than a shard. Texts without words
+    are ordered apart from it, in a thousand parts.
     Null texts have size 0 and are never taken; null sources form one source;
     null and repeated ids count as documents of their own; an empty table gives
     no rows; other columns are ignored.
     """
     n_words = F.regexp_count(text_of(), F.lit(WORD_PATTERN)).cast("long")
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words.alias("size"), draw(text_of()).alias("h"))
-    sized = settled(sized)  # ids and sizes, so the texts are read once
-    target = settled(source_targets(sized.select("source", "size"), weights, float(max_repeats)))  # a row a source
+    sized = settled(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("equal")))  # ids and sizes, so the texts are read once
+    target = settled(source_targets(sized.select("source", (F.col("size") * F.col("equal")).alias("size")), weights, float(max_repeats)))  # a row a source
     asked = target.where("target > 0").select(F.lit(0).alias("g"), F.col("no").alias("i"), (F.col("target") / block).alias("v"))
     asked = asked.join(asked.groupBy("g").agg(F.round(F.sum("v")).alias("seats")), "g")
     won = sainte_lague(asked).select(F.col("i").alias("no"), "blocks")
     quota = target.join(won, "no", "left").select("no", "source", "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
     quota = settled(quota.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_words)))).cast("long")))
     # documents meet the quota of their source, a row each; the side with the sources is small enough for Spark to send out or is joined as is
-    rows = sized.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "inner")
-    rows = rows.select("doc_id", F.col("d.source").alias("source"), "no", "size", "h", "source_size", "target", F.pmod(draw(F.col("doc_id"), F.col("h"), F.lit(seed)), F.col("n_shards")).alias("shard"))
+    rows = _numbered_copies(sized).alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "inner")
+    rows = rows.select("doc_id", F.col("d.source").alias("source"), "no", "size", "h", "copy", "source_size", "target", F.pmod(draw(F.col("doc_id"), F.col("h"), F.col("copy"), F.lit(seed)), F.col("n_shards")).alias("shard"))
     lengths = settled(rows.groupBy("no", "shard").agg(F.sum("size").alias("length")))  # a row a shard
     parts = lengths.join(quota.select("no", F.col("blocks").cast("double").alias("seats")), "no")
     parts = sainte_lague(parts.select(F.col("no").alias("g"), F.col("shard").alias("i"), F.col("length").cast("double").alias("v"), "seats"))
     shards = lengths.join(parts.select(F.col("g").alias("no"), F.col("i").alias("shard"), "blocks"), ["no", "shard"], "left")
     shards = shards.select("no", "shard", "length", F.least(F.coalesce("blocks", F.lit(0)) * block, F.lit(max_repeats) * F.col("length")).alias("words"))
     # texts without words take no place in their shard, however many they are, so they need no order among the others
-    at = rows.join(shards, ["no", "shard"]).withColumn("idle", F.when(F.col("size") > 0, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1023))).cast("int"))
-    order = Window.partitionBy("no", "shard", "idle").orderBy(draw(F.col("doc_id"), F.lit(seed + 1)), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.join(shards, ["no", "shard"]).withColumn("idle", F.when(F.col("size") > 0, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1023))).cast("int"))
+    order = Window.partitionBy("no", "shard", "idle").orderBy(draw(F.col("doc_id"), F.col("copy"), F.lit(seed + 1)), "doc_id", "h", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     passes = F.when(F.col("length") > 0, F.expr("words div length")).otherwise(F.lit(0))
     at = at.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("length"))

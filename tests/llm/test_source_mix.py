@@ -106,3 +106,17 @@ def test_empty_and_stage(spark):
     target = {r["source"]: r["target"] for r in mix_sources(docs).collect()}
     for s in words:
         assert abs(words[s] - target[s]) < 0.25 * target[s] + 5000
+
+
+def test_equal_rows_and_null_ids_fill_no_shard(spark, monkeypatch):
+    """Two thirds of the rows equal or without an id and words: no shard above four times its plan."""
+    from pyspark.sql import functions as F
+
+    from strandloom.llm import source_mix as M
+
+    monkeypatch.setattr(M, "EQUAL_ROWS", 500)
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text of seven words that repeats").when(F.col("id") % 3 == 2, F.concat(F.lit("text number "), F.col("id"))).alias("text"), F.lit("s").alias("source"))
+    got = M.mix_sources(rows, shard_words=1000)
+    load = got.groupBy("source", "shard").agg(F.sum("size").alias("w")).collect()
+    assert got.count() == 9000 and max(r["w"] for r in load) < 4000 and len(load) > 10
+    assert got.where("doc_id = 5").select("shard").distinct().count() > 10
