@@ -17,56 +17,96 @@ from strandloom.llm.common import WORD_PATTERN, settled, table, text_of
 
 
 class Bins:
-    """Open bins of a shard; the set of residuals in use is one integer's bits, so the successor is a shift away."""
+    """Open bins of a shard; the set of residuals in use is one integer's bits, so the successor is a shift away.
+
+    Bins of one residual stand in groups by what is full in them: sources
+    without a free slot, and clusters that they hold. A residual whose bins are
+    all full for the item is passed by in one step, a group in another, so a
+    source that fills its slots everywhere costs no scan of its bins.
+    """
 
     def __init__(self, capacity: int, per_source: int):
         self.capacity, self.per_source = capacity, per_source
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.at: list[dict[frozenset, dict[int, None]]] = [{} for _ in range(capacity + 1)]
+        self.count = [0] * (capacity + 1)
+        self.held: list[dict[tuple, int]] = [{} for _ in range(capacity + 1)]
         self.used = 0
         self.residual: list[int] = []
         self.sources: list[int] = []
         self.clusters: list[int] = []
+        self.full: list[frozenset] = []
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
-        """Bin and offset for an item; a new bin where none is compatible."""
-        slots, own = ((1 << self.per_source) - 1) << (source * self.per_source), 1 << cluster
+        """Bin and offset for an item; a new bin where none is compatible. A negative cluster is one without other members."""
         above = self.used >> size
-        r = size
+        r, mine = size, (("source", source), ("cluster", cluster))
         while above:
             step = (above & -above).bit_length() - 1
             r += step
-            for b in self.at[r]:
-                if not self.clusters[b] & own and self.sources[b] & slots != slots:
-                    return b, self._put(b, size, slots, own)
+            held, n = self.held[r], self.count[r]
+            if all(held.get(m, 0) < n for m in mine):
+                for full, bins in self.at[r].items():
+                    if mine[0] not in full and mine[1] not in full:
+                        b = next(iter(bins))
+                        return b, self._put(b, size, source, cluster)
             above >>= step + 1
             r += 1
         b = len(self.residual)
         self.residual.append(self.capacity)
         self.sources.append(0)
         self.clusters.append(0)
-        self.at[self.capacity].append(b)
-        self.used |= 1 << self.capacity
-        return b, self._put(b, size, slots, own)
-
-    def _put(self, b: int, size: int, slots: int, own: int) -> int:
-        r = self.residual[b]
-        self.at[r].remove(b)
-        if not self.at[r]:
+        self.full.append(frozenset())
+        self._add(b)
+        return b, self._put(b, size, source, cluster)
+
+    def _add(self, b: int) -> None:
+        r, full = self.residual[b], self.full[b]
+        self.at[r].setdefault(full, {})[b] = None
+        self.count[r] += 1
+        self.used |= 1 << r
+        for k in full:
+            self.held[r][k] = self.held[r].get(k, 0) + 1
+
+    def _take(self, b: int) -> None:
+        r, full = self.residual[b], self.full[b]
+        bins = self.at[r][full]
+        del bins[b]
+        if not bins:
+            del self.at[r][full]
+        self.count[r] -= 1
+        if not self.count[r]:
             self.used &= ~(1 << r)
+        for k in full:
+            self.held[r][k] -= 1
+            if not self.held[r][k]:
+                del self.held[r][k]
+
+    def _put(self, b: int, size: int, source: int, cluster: int) -> int:
+        self._take(b)
+        r, new = self.residual[b], []
+        slots = ((1 << self.per_source) - 1) << (source * self.per_source)
         free = slots & ~self.sources[b]
         self.sources[b] |= free & -free  # the source's next free bit
-        self.clusters[b] |= own
+        if self.sources[b] & slots == slots:
+            new.append(("source", source))
+        if cluster >= 0:
+            self.clusters[b] |= 1 << cluster
+            new.append(("cluster", cluster))
+        if new:
+            self.full[b] = self.full[b].union(new)
         self.residual[b] = r - size
-        self.at[r - size].append(b)
-        self.used |= 1 << (r - size)
+        self._add(b)
         return self.capacity - r
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """Pieces of one shard's documents with their bins: largest first, ties by id, cluster and copy."""
+    """Pieces of one shard's documents with their bins: largest first, ties by id, cluster and copy; of equally tight bins any compatible one."""
     rows = rows.sort_values(["doc_id", "cluster", "copy"], kind="stable", na_position="last")
     source = {s: i for i, s in enumerate(sorted(set(rows["source"].fillna("")), key=str))}
-    cluster = {c: i for i, c in enumerate(sorted(set(rows["cluster"])))}
+    # a cluster needs a bit only where it can meet itself: with several pieces in the shard
+    parts = (rows["size"] + capacity - 1) // capacity
+    several = parts.groupby(rows["cluster"]).sum()
+    cluster = {c: i for i, c in enumerate(several.index[several > 1].sort_values())}
     pieces = []
     for doc_id, copy, size, s, c in zip(rows["doc_id"], rows["copy"], rows["size"], rows["source"].fillna(""), rows["cluster"], strict=True):
         for i, start in enumerate(range(0, size, capacity)):
@@ -74,7 +114,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     pieces.sort(key=lambda p: -p[4])
     bins, out = Bins(capacity, per_source), []
     for doc_id, copy, i, start, n, s, c in pieces:
-        b, offset = bins.place(n, source[s], cluster[c])
+        b, offset = bins.place(n, source[s], cluster.get(c, -1))
         out.append((doc_id, copy, i, start, n, b, offset))
     found = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "start_word", "n_words", "bin", "offset"])
     return found.astype({"doc_id": "Int64", "copy": "int64", "piece": "int64", "start_word": "int64", "n_words": "int64", "bin": "Int64", "offset": "Int64"})
@@ -93,7 +133,7 @@ def pack(docs: DataFrame, *, cluster: str | None = None, capacity: int = 2048, p
 
     A text without words (null, empty) gives one piece of 0 words and a null
     bin; null ids and sources count as values of their own; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. Ties go as in pack_shard.
     """
     n = F.regexp_count(text_of(), F.lit(WORD_PATTERN)).cast("long")
     own = F.xxhash64(text_of()) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster).cast("string"), F.lit("named"))).otherwise(F.xxhash64(text_of()))

@@ -83,3 +83,17 @@ def test_named_clusters_and_stage(spark):
     assert sorted(r["copy"] for r in again) == [1, 2, 3] and len({r["bin_id"] for r in again}) == 3
     assert sorted(map(tuple, packing_stage(spark, docs, "").collect()), key=str) == sorted(map(tuple, pack(docs).collect()), key=str)
     assert packing_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_a_hot_source_or_cluster_is_not_scanned():
+    """100,000 one-word items of one source, then 30,000 of one cluster: seconds, not hours."""
+    import time
+
+    began = time.time()
+    b = Bins(2048, 4)
+    for _ in range(100_000):
+        b.place(1, 0, -1)
+    assert len(b.residual) == 25_000
+    for i in range(30_000):
+        b.place(1, 1 + i, 7)
+    assert len(b.residual) == 30_000 and time.time() - began < 30
