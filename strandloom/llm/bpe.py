@@ -23,6 +23,8 @@ from strandloom.llm.token_counts import STABLE, _byte_letters
 #: Fixed value: the split of the vocabulary file, and the same for texts of STABLE characters, whose letters are \w but digits and the underscore.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+#: The same once more for lower-cased ASCII.
+ASCII_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 #: Letters of texts whose words go into one trie.
 GROUP = 1 << 20
 #: Marks, outside of STABLE, of words that the library has written and of added tokens.
@@ -44,7 +46,13 @@ class Merges:
         self.rank = {(self.ids[a], self.ids[b]): i for i, (a, b) in enumerate(pairs)}
         self.parts = {self.ids[a + b]: (self.ids[a], self.ids[b]) for a, b in pairs}
         self.born = {self.ids[a + b]: i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
+        # lengths of the tokens with the same last two symbols, the longest first; a single symbol fits everywhere
+        tails: dict[str, set[int]] = {}
+        for token in self.ids:
+            body = token.removesuffix(self.suffix) if self.suffix else token
+            if len(body) > 1:
+                tails.setdefault(body[-2:] + token[len(body) :], {1}).add(len(body))
+        self.lengths = {tail: sorted(found, reverse=True) for tail, found in tails.items()}
         self.apart: dict[tuple[int, int], bool] = {}
         if len(self.parts) != len(pairs) or any(self.born.get(t, -1) >= i for t, i in self.born.items() for t in self.parts[t]):
             raise ValueError("the same token comes from two merges, or before its parts")
@@ -91,7 +99,7 @@ def trie_encodings(words: list[str], merges: Merges) -> list[list[int]]:
             node = nxt
         ends.append(node)
     last, reach = [-1] * len(child), [0] * len(child)  # a node's last token, and the node before it
-    ids, stay, longest = merges.ids, merges.stay, merges.longest
+    ids, stay, lengths, single = merges.ids, merges.stay, merges.lengths, [1]
     path, letters = [0], ""
     todo = [(node, symbol, 1) for symbol, node in child[0].items()]
     while todo:
@@ -100,9 +108,8 @@ def trie_encodings(words: list[str], merges: Merges) -> list[list[int]]:
         letters = letters[: depth - 1] + symbol
         path.append(node)
         # tokens of n symbols that end here, the longest first; just one of them stays apart from the last token before it
-        for n in range(min(depth, longest), 0, -1):
-            token = ids.get(letters[depth - n :])
-            if token is None:
+        for n in lengths.get(letters[depth - 2 :], single) if depth > 1 else single:
+            if n > depth or (token := ids.get(letters[depth - n :])) is None:
                 continue
             before = path[depth - n]
             if before == 0 or (last[before] >= 0 and stay(last[before], token)):
@@ -147,7 +154,7 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         """The words of a text without added tokens, those of rare characters as the library writes them, marked."""
         if self.plain and self.stable(text):
-            return PLAIN_SPLIT(text.lower())
+            return (ASCII_SPLIT if text.isascii() else PLAIN_SPLIT)(text.lower())
         return [WRITTEN + piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def pieces(self, text: str) -> list[str]:
