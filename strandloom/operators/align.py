@@ -19,7 +19,7 @@ from strandloom.functions.sequence import SEGMENT_BITS, error_step, spell_path
 from strandloom.operators.components import components
 from strandloom.operators.graph import character_graph, doubled
 from strandloom.operators.index import words
-from strandloom.operators.kernels import SEPARATOR, Graph, batch_costs, chain_costs, chain_path, encode, encode_read, letter_prices, reversed_complement, straight_path, value_type
+from strandloom.operators.kernels import SEPARATOR, Graph, Strip, batch_costs, chain_path, encode, encode_read, lay_out, reversed_complement, straight_path
 from strandloom.operators.lineage import settled
 from strandloom.operators.seeds import seed_matches, seeds
 
@@ -27,6 +27,8 @@ from strandloom.operators.seeds import seed_matches, seeds
 PIECE, BATCH = 1 << 16, 1 << 20
 #: Reads that one task aligns in full against one batch.
 READ_BLOCK = 64
+#: Letters of the shortest seeds by which a read is looked for; shorter ones stand everywhere.
+SHORTEST = 8
 
 ENDS = "read_id long, cost int, strand string, seg_id long, end_at long"
 RESULT = "read_id long, rank int, status string, cost int, strand string, seg_id long, offset long, start long, end_node long, path array<struct<label:string,etype:string>>"
@@ -65,7 +67,7 @@ def pieces(segments: DataFrame, overlap: int) -> DataFrame:
     return cut.select("seg_id", "piece", at.cast("long").alias("at"), F.substring("whole", at + 1, F.lit(PIECE + overlap)).alias("seq"))
 
 
-def _ends(now: np.ndarray, limit: int | None = None) -> tuple[int, np.ndarray]:
+def _ends(now: np.ndarray) -> tuple[int, np.ndarray]:
     low = int(now.min())
     return low, np.flatnonzero(now == low)
 
@@ -133,27 +135,31 @@ def full_ends(cut: DataFrame, reads: DataFrame, costs: Costs) -> DataFrame:
     asks = reads.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"), F.pmod(F.xxhash64("read_id"), F.lit(blocks)).cast("int").alias("block"), "read_id", "seq")
 
     def meet(key: tuple, ref: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(ref) or not len(ask):
-            return pd.DataFrame({"read_id": [], "cost": [], "strand": [], "seg_id": [], "end_at": []})
+        found = {rid: (np.iinfo(np.int64).max, []) for rid in ask["read_id"]}
         coded = {rid: encode_read(read) for rid, read in zip(ask["read_id"], ask["seq"], strict=True)}
-        letters = np.unique(np.concatenate(list(coded.values()))).tolist()
-        low = dict.fromkeys(coded, np.iinfo(np.int64).max)
-        ends: dict[int, list[pd.DataFrame]] = {rid: [] for rid in coded}
-        # piece by piece, so that the costs of all its nodes stay in the cache
-        for seg, at, seq in zip(ref["seg_id"], ref["at"], ref["seq"], strict=True):
-            for strand, s in (("+", seq), ("-", reversed_complement(seq))):
-                codes, prices = encode(s), {}
+        segs, ats, seqs = ref["seg_id"].to_numpy(), ref["at"].to_numpy(), ref["seq"].tolist()
+        # pieces side by side in strips of about PIECE letters, whose costs stay in the cache
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(s) + 1 for s in seqs]) // PIECE, prepend=-1)).tolist() if seqs else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(seqs)], strict=True):
+            for strand in "+-":
+                codes, first = lay_out(seqs[lo:hi] if strand == "+" else [reversed_complement(s) for s in seqs[lo:hi]])
+                strip = Strip(codes, price)
                 for rid, read in coded.items():
-                    kind = value_type(read, price)
-                    if kind not in prices:
-                        prices[kind] = letter_prices(codes, letters, price, kind)
-                    best, where = _ends(chain_costs(codes, read, price, prices=prices[kind]))
-                    if best > low[rid]:
+                    now, cap = strip.costs_of(read)
+                    best, low = int(now.min()), found[rid][0]
+                    if best > low:
                         continue
-                    if best < low[rid]:
-                        low[rid], ends[rid] = best, []
-                    ends[rid].append(pd.DataFrame({"read_id": rid, "cost": best, "strand": strand, "seg_id": seg, "end_at": at + where if strand == "+" else at + len(s) - where}))
-        return pd.concat([part for parts in ends.values() for part in parts])
+                    if best < low:
+                        found[rid] = best, []
+                    node = np.flatnonzero(now == best)
+                    i = np.searchsorted(first, node, side="right") - 1
+                    found[rid][1].append((strand, lo + i, node - first[i]))
+        out = []
+        for rid, (best, parts) in found.items():
+            for strand, i, node in parts:
+                end = ats[i] + (node if strand == "+" else np.array([len(seqs[j]) for j in i]) - node)
+                out.append(pd.DataFrame({"read_id": rid, "cost": best, "strand": strand, "seg_id": segs[i], "end_at": end}))
+        return pd.concat(out) if out else pd.DataFrame({"read_id": [], "cost": [], "strand": [], "seg_id": [], "end_at": []})
 
     return refs.groupBy("batch", "block").cogroup(asks.groupBy("batch", "block")).applyInPandas(meet, ENDS)
 
@@ -174,16 +180,37 @@ def reference_pieces(segments: DataFrame, costs: Costs, longest: int) -> DataFra
 
 
 def linear_ends(cut: DataFrame, reads: DataFrame, costs: Costs, seed_len: int | None, longest: int) -> DataFrame:
-    """Best ends of reads on the pieces of unlinked segments."""
+    """Best ends of reads on the pieces of unlinked segments.
+
+    A read is certified if its cost leaves one of its seeds untouched: then no
+    end as cheap lies outside the windows of its seeds. Where it does not, its
+    cost e still bounds the errors, and of e + 1 shorter seeds one is untouched
+    by any alignment as cheap; so it is seeded again by the longest length of a
+    falling row that gives as many. What then has no window, or would need
+    seeds below SHORTEST letters, is aligned in full.
+    """
     if not seed_len or costs.delta <= 0 or costs.gap <= 0:
         return full_ends(cut, reads, costs)
-    found = settled(seeded_ends(cut, reads, seed_len, costs, longest))
-    low = found.groupBy("read_id").agg(F.min("cost").alias("c"))
-    n = F.length("seq")
-    sure = reads.join(low, "read_id").where(F.col("c") - n * costs.match < F.floor(n / F.lit(float(seed_len))) * costs.delta).select("read_id")
-    open_reads = settled(reads.join(sure, "read_id", "left_anti").select("read_id", "seq"))
-    certified = found.join(sure, "read_id", "left_semi")
-    return certified if open_reads.isEmpty() else certified.unionByName(full_ends(cut, open_reads, costs))
+    n, done = F.length("seq"), []
+    bound = reads.select("read_id", "seq", F.lit(None).cast("int").alias("errors"))
+    length = seed_len
+    while True:
+        asked = bound if length == seed_len else bound.where(n >= (F.col("errors") + 1) * length)
+        found = settled(seeded_ends(cut, asked, length, costs, longest))
+        low = found.groupBy("read_id").agg(F.min("cost").alias("c"))
+        met = bound.join(low, "read_id", "left").withColumn("e", F.floor((F.col("c") - n * costs.match) / costs.delta).cast("int"))
+        met = settled(met.select("read_id", "seq", F.least("errors", "e").alias("errors"), F.coalesce(F.floor(n / F.lit(float(length))) > F.col("e"), F.lit(False)).alias("sure")))
+        done.append(found.join(met.where("sure"), "read_id", "left_semi"))
+        bound = met.where("NOT sure").drop("sure")
+        # lengths fall by a quarter at least, so rounds are few, and to one that some read can use
+        longest_left = bound.agg(F.max(F.floor(n / (F.col("errors") + 1))).alias("q")).first()["q"]
+        length, before = min(max(length * 3 // 4, SHORTEST), int(longest_left or 0)), length
+        if length < SHORTEST or length == before:
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out if bound.isEmpty() else out.unionByName(full_ends(cut, bound.select("read_id", "seq"), costs))
 
 
 def _chain_paths(best: DataFrame, cut: DataFrame, reads: DataFrame, costs: Costs) -> DataFrame:
@@ -226,8 +253,8 @@ def _graph_paths(edges: DataFrame, groups: DataFrame, reads: DataFrame, costs: C
         if len(e):
             g = Graph(e["src"].to_numpy(), e["dst"].to_numpy(), e["label"].tolist())
             for rid, read in zip(ask["read_id"], ask["seq"], strict=True):
-                rows: list[np.ndarray] = []
-                low, ends = _ends(g.costs(encode_read(read), price, rows))
+                rows = g.rows(encode_read(read), price)
+                low, ends = _ends(rows.last)
                 order = sorted(ends.tolist(), key=lambda v: int(g.ids[v]))
                 for r, v in enumerate(order):
                     node = int(g.ids[v])

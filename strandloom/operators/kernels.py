@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Letters as small numbers; a separator carries no edge, N equals nothing.
@@ -27,55 +29,123 @@ def reversed_complement(seq: str) -> str:
     return seq.encode("ascii", "replace").translate(_COMPLEMENT)[::-1].decode()
 
 
-def value_type(read: np.ndarray, costs: tuple[int, int, int, int]):
-    return _kind(read, costs)[0]
+#: Number types of the cells of a strip, the narrowest first, and the cost from which each only says "at least so much".
+LADDER = ((np.uint8, 120), (np.int16, 16_000), (np.int32, 1 << 29))
 
 
-def _kind(read: np.ndarray, costs: tuple[int, int, int, int]):
-    most = (len(read) + 2) * (max(costs) + 1)
-    return (np.int16, 30_000) if most < 14_000 else (np.int32, 1 << 30)
+def lay_out(chains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of chains side by side with a separator behind each but the last, and the first node of each."""
+    width = np.array([len(c) + 1 for c in chains], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(width)[:-1]])
+    codes = encode("|".join(chains))
+    codes[first[1:] - 1] = SEPARATOR
+    return codes, first
 
 
-def letter_prices(codes: np.ndarray, letters, costs: tuple[int, int, int, int], kind) -> dict[int, np.ndarray]:
-    """For each read letter the price of every edge of a chain."""
-    return {c: np.where(codes == c, kind(costs[0]), kind(costs[1])) for c in letters}
+class Strip:
+    """Edges of one or more chains in a row: codes hold the letter from node j to node j + 1, SEPARATOR where there is no edge.
 
+    A read goes over all nodes letter by letter. Cells are of the narrowest type
+    of LADDER that holds its least cost; costs from the type's limit on are cut
+    to it, and where nothing stays below the next type takes over.
+    """
 
-def chain_costs(codes: np.ndarray, read: np.ndarray, costs: tuple[int, int, int, int], rows: list | None = None, prices: dict[int, np.ndarray] | None = None) -> np.ndarray:
-    """Least cost of the whole read ending at each node of a chain, started anywhere.
+    def __init__(self, codes: np.ndarray, costs: tuple[int, int, int, int]):
+        self.codes, self.costs = codes, costs
+        self.border = np.flatnonzero(codes == SEPARATOR)
+        self.priced: dict = {}
 
-    codes: the letter of the edge from node j to node j + 1, SEPARATOR where
-    there is none. rows, if given, receives the costs after every read letter.
-    prices, if given, are letter_prices of the chain, shared among reads.
-    """
-    ins, dele = costs[2], costs[3]
-    kind, far = _kind(read, costs)
-    cut = np.flatnonzero(codes == SEPARATOR)
-    now = np.zeros(len(codes) + 1, dtype=kind)
-    along, lower = np.empty(len(codes), dtype=kind), np.empty(len(codes), dtype=bool)
-    if rows is not None:
-        rows.append(now.copy())
-    same = prices or letter_prices(codes, np.unique(read).tolist(), costs, kind)
-    for c in read.tolist():
-        np.add(now[:-1], same[c], out=along)
-        along[cut] = far
-        np.add(now, kind(ins), out=now)
-        np.minimum(now[1:], along, out=now[1:])
-        while True:
-            np.add(now[:-1], kind(dele), out=along)
-            along[cut] = far
-            if not np.less(along, now[1:], out=lower).any():
-                break
+    def _price(self, kind, cap: int, c: int) -> np.ndarray:
+        """Of each edge for the read letter c."""
+        key = (kind, c)
+        if key not in self.priced:
+            self.priced[key] = np.where(self.codes == c, kind(min(self.costs[0], cap)), kind(min(self.costs[1], cap)))
+            self.priced[key][self.border] = cap
+        return self.priced[key]
+
+    def _skip(self, kind, cap: int, k: int) -> np.ndarray:
+        """Price of leaving out 2**k edges in a row, at each node that has as many behind it."""
+        key = (kind, "skip", k)
+        if key not in self.priced:
+            if k == 0:
+                one = np.full(len(self.codes), min(self.costs[3], cap), dtype=kind)
+                one[self.border] = cap
+            else:
+                half = self._skip(kind, cap, k - 1)
+                one = np.minimum(half[: len(half) - (1 << (k - 1))] + half[1 << (k - 1) :], kind(cap))
+            self.priced[key] = one
+        return self.priced[key]
+
+    def rungs(self, least: int) -> list:
+        """The types that can tell a cost of `least` from more."""
+        fit = [(kind, cap) for kind, cap in LADDER if cap > least and cap + self.costs[2] <= np.iinfo(kind).max]
+        return fit or [LADDER[-1]]
+
+    def sweep(self, read: np.ndarray, kind, cap: int, now: np.ndarray, rows: list | None = None) -> np.ndarray:
+        """Costs after the letters of read, from the costs now, which is written over; rows receives them after each letter."""
+        ins, dele, size = self.costs[2], self.costs[3], len(now)
+        along = np.empty(max(size - 1, 0), dtype=kind)
+        for c in read.tolist():
+            np.add(now[:-1], self._price(kind, cap, c), out=along)
+            np.add(now, kind(ins), out=now)
             np.minimum(now[1:], along, out=now[1:])
-        if rows is not None:
-            rows.append(now.copy())
-    return now
+            np.minimum(now, kind(cap), out=now)
+            # k edges left out in a row, for every k that can pay: by powers of two
+            spread, k = int(now.max()) - int(now.min()), 0
+            while dele << k < spread and 1 << k < size:
+                step = 1 << k
+                out = along[: size - step]
+                np.add(now[:-step], self._skip(kind, cap, k), out=out)
+                np.minimum(now[step:], out, out=now[step:])
+                k += 1
+            if rows is not None:
+                rows.append(now.copy())
+        return now
+
+    def costs_of(self, read: np.ndarray) -> tuple[np.ndarray, int]:
+        """Least cost of the whole read ending at each node, started anywhere, and the cost from which they are cut."""
+        for kind, cap in self.rungs(len(read) * max(self.costs[:2])):
+            now = self.sweep(read, kind, cap, np.zeros(len(self.codes) + 1, dtype=kind))
+            if int(now.min()) < cap:
+                break
+        return now, cap
+
+
+class Rows:
+    """Rows of a dynamic programme by their number, of which only every isqrt(n)-th is kept and a block at a time recomputed."""
+
+    def __init__(self, first: np.ndarray, letters: np.ndarray, sweep):
+        self.letters, self.sweep, self.step = letters, sweep, max(1, math.isqrt(len(letters)))
+        self.kept, self.base, self.block = [first.copy()], -1, []
+        now = first
+        for lo in range(0, len(letters), self.step):
+            now = sweep(letters[lo : lo + self.step], now, None)
+            self.kept.append(now.copy())
+        self.last = now
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        base = max(0, i - 1) // self.step
+        if base != self.base:
+            self.base, self.block = base, [self.kept[base]]
+            self.sweep(self.letters[base * self.step : (base + 1) * self.step], self.kept[base].copy(), self.block)
+        return self.block[i - base * self.step]
+
+    def pair(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows i and i - 1, which lie in one block."""
+        row = self[i]
+        return row, self.block[i - 1 - self.base * self.step]
+
+
+def chain_costs(codes: np.ndarray, read: np.ndarray, costs: tuple[int, int, int, int]) -> np.ndarray:
+    """Least cost of the whole read ending at each node of a chain, started anywhere; far above the least one they may be cut."""
+    return Strip(codes, costs).costs_of(read)[0]
 
 
 def batch_costs(codes: np.ndarray, reads: np.ndarray, costs: tuple[int, int, int, int]) -> np.ndarray:
     """As chain_costs for many pairs at once: codes (pairs, width), padded by SEPARATOR on the right, and reads (pairs, length)."""
     match, subst, ins, dele = costs
-    kind, far = _kind(reads[0], costs)
+    most = (reads.shape[1] + 2) * (max(costs) + 1)
+    kind, far = (np.int16, 30_000) if most < 14_000 else (np.int32, 1 << 30)
     pad = np.where(codes == SEPARATOR, far // 2, 0).astype(kind)
     padded = bool(pad.any())
     now = np.zeros((len(codes), codes.shape[1] + 1), dtype=kind)
@@ -111,19 +181,26 @@ def straight_path(codes: np.ndarray, read: str, costs: tuple[int, int, int, int]
 
 
 def chain_path(codes: np.ndarray, read: str, costs: tuple[int, int, int, int], end: int) -> tuple[int, list[tuple[str, str]]]:
-    """Start node and steps (label, type) of an optimal alignment that ends at node `end`; matches and substitutions are preferred, then insertions."""
+    """Start node and steps (label, type) of an optimal alignment that ends at node `end`; matches and substitutions are preferred, then insertions.
+
+    Memory is that of about 2 * isqrt(len(read)) rows.
+    """
     match, subst, ins, dele = costs
-    coded, rows = encode_read(read), []
-    chain_costs(codes[:end], coded, costs, rows)
+    coded, strip = encode_read(read), Strip(codes[:end], costs)
+    for kind, cap in strip.rungs(len(read) * max(match, subst)):
+        rows = Rows(np.zeros(end + 1, dtype=kind), coded, lambda letters, now, out, kind=kind, cap=cap: strip.sweep(letters, kind, cap, now, out))
+        if int(rows.last[end]) < cap:
+            break
     i, v, steps = len(read), end, []
     while i > 0:
-        here = int(rows[i][v])
+        row, above = rows.pair(i)
+        here = int(row[v])
         edge = v > 0 and codes[v - 1] != SEPARATOR
         equal = edge and codes[v - 1] == coded[i - 1]
-        if edge and int(rows[i - 1][v - 1]) + (match if equal else subst) == here:
+        if edge and int(above[v - 1]) + (match if equal else subst) == here:
             steps.append((read[i - 1], "ORIG" if equal else "SUBST"))
             i, v = i - 1, v - 1
-        elif int(rows[i - 1][v]) + ins == here:
+        elif int(above[v]) + ins == here:
             steps.append((read[i - 1], "INS"))
             i -= 1
         else:
@@ -143,12 +220,13 @@ class Graph:
         self.code = CODES[np.frombuffer("".join(label).encode(), dtype=np.uint8)][order]
         self.heads, self.first = np.unique(self.dst, return_index=True)
 
-    def costs(self, read: np.ndarray, costs: tuple[int, int, int, int], rows: list | None = None) -> np.ndarray:
-        """As chain_costs, on any graph; deletions are closed until none improves, so cycles settle."""
+    def rows(self, read: np.ndarray, costs: tuple[int, int, int, int]) -> Rows:
+        """The costs of all nodes after every letter; of the last row all optimal ends can be traced."""
+        return Rows(np.zeros(len(self.ids), dtype=np.int32), read, lambda letters, now, out: self.sweep(letters, costs, now, out))
+
+    def sweep(self, read: np.ndarray, costs: tuple[int, int, int, int], now: np.ndarray, rows: list | None = None) -> np.ndarray:
+        """As Strip.sweep, on any graph; deletions are closed until none improves, so cycles settle."""
         match, subst, ins, dele = costs
-        now = np.zeros(len(self.ids), dtype=np.int32)
-        if rows is not None:
-            rows.append(now)
         for c in read.tolist():
             nxt = now + ins
             if len(self.src):
@@ -164,26 +242,27 @@ class Graph:
                 rows.append(now)
         return now
 
-    def path(self, rows: list[np.ndarray], read: str, costs: tuple[int, int, int, int], end: int) -> tuple[int, list[tuple[str, str]]]:
+    def path(self, rows: Rows, read: str, costs: tuple[int, int, int, int], end: int) -> tuple[int, list[tuple[str, str]]]:
         match, subst, ins, dele = costs
         coded = encode_read(read)
         i, v, steps, left = len(read), end, [], 0
         while i > 0:
-            here, lo = int(rows[i][v]), int(np.searchsorted(self.dst, v))
+            row, above = rows.pair(i)
+            here, lo = int(row[v]), int(np.searchsorted(self.dst, v))
             hi = int(np.searchsorted(self.dst, v, side="right"))
             for e in range(lo, hi):
                 equal = self.code[e] == coded[i - 1]
-                if int(rows[i - 1][self.src[e]]) + (match if equal else subst) == here:
+                if int(above[self.src[e]]) + (match if equal else subst) == here:
                     steps.append((read[i - 1], "ORIG" if equal else "SUBST"))
                     i, v, left = i - 1, int(self.src[e]), 0
                     break
             else:
-                if int(rows[i - 1][v]) + ins == here:
+                if int(above[v]) + ins == here:
                     steps.append((read[i - 1], "INS"))
                     i, left = i - 1, 0
                 else:
                     # a free deletion could circle; a walk of more steps than nodes has done so
-                    e = next(e for e in range(lo, hi) if int(rows[i][self.src[e]]) + dele == here and left <= len(self.ids))
+                    e = next(e for e in range(lo, hi) if int(row[self.src[e]]) + dele == here and left <= len(self.ids))
                     steps.append(("e", "DEL"))
                     v, left = int(self.src[e]), left + 1
         return v, steps[::-1]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import edit_edges
@@ -41,3 +42,26 @@ def prefix_costs(edges: DataFrame, wanted: DataFrame, cap: int = 5, match: int =
         state = moved.select("k_node", "prefix", F.col("to").alias("at"), (F.col("cost") + price).alias("cost"))
     low = done.groupBy(F.col("k_node").alias("node"), "prefix").agg(F.min("cost").alias("low"))
     return keys.join(low, ["node", "prefix"], "left").select("node", "prefix", F.least(F.lit(cap), F.coalesce("low", F.lit(cap))).alias("cost"))
+
+
+def prefix_bound(ahead: str, wanted: str, prices: tuple[int, int, int, int], cap: int) -> int:
+    """min(cap, least edit cost of the wanted letters over the walk that spells `ahead` from here, or a part of it)."""
+    match, subst, ins, dele = prices
+    row = [min(cap, j * dele) for j in range(len(ahead) + 1)]
+    for c in wanted:
+        new = [row[0] + ins]
+        for j, x in enumerate(ahead):
+            new.append(min(row[j] + (match if x == c else subst), row[j + 1] + ins, new[j] + dele))
+        row = new
+    return min(cap, min(row))
+
+
+def word_cost(ahead: Column, wanted: Column, cap: int = 5, match: int = 0, subst: int = 1, ins: int = 5, dele: int = 5) -> Column:
+    """prefix_bound of two columns. Exact for a node without branches ahead if `ahead` has the wanted letters' number and one for every deletion below the cap, or ends with its walk."""
+
+    @F.pandas_udf("int")
+    def cost(a: pd.Series, w: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], int] = {}
+        return pd.Series([known[p] if p in known else known.setdefault(p, prefix_bound(*p, (match, subst, ins, dele), cap)) for p in zip(a, w, strict=True)], dtype="int32")
+
+    return cost(ahead, wanted)

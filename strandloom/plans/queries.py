@@ -20,7 +20,7 @@ from strandloom.operators import index as I
 from strandloom.operators import seeds as D
 from strandloom.operators import windows as W
 from strandloom.operators.lineage import settled
-from strandloom.operators.prefixes import prefix_costs
+from strandloom.operators.prefixes import prefix_costs, word_cost
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -241,11 +241,11 @@ def prefix_h_all(spark, d):
     n_nodes are the nodes of a class. Gaps cost the cap, so SQL counts differences.
     """
     classes = settled(next_letters(spark, d).groupBy("ahead").agg(F.min("node").alias("node"), F.count("*").alias("n_nodes")))
-    near = sequences(spark, d).join(F.broadcast(classes.select(S.node_segment(F.col("node")).alias("seg_id")).distinct()), "seg_id", "left_semi")
     runs = read_table(spark, d).where("seq <> ''").select(F.explode(I.stretches("seq", 4)).alias("s")).select("s.run")
     asked = runs.select("run", F.explode(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(I.STRETCH)))).alias("i")).select(F.substring("run", F.col("i"), F.lit(5)).alias("prefix")).distinct()
-    costs = prefix_costs(G.doubled(G.sequence_edges(near)), classes.select("node").crossJoin(asked))
-    return costs.join(classes.select("node", "n_nodes"), "node").select("node", "n_nodes", "prefix", "cost")
+    # at most 1,365 words of up to five letters on either side, so all pairs are bounded
+    pairs = classes.crossJoin(settled(asked)).repartition("prefix")
+    return pairs.select("node", "n_nodes", "prefix", word_cost(F.col("ahead"), F.col("prefix")).alias("cost"))
 
 
 @query()
@@ -325,9 +325,13 @@ def compare(spark, d):
     return N.compare_runs(a, b)
 
 
-@query("SELECT m, d, algo FROM (VALUES (100::BIGINT), (200::BIGINT), (1000::BIGINT)) a(m), (VALUES (10::BIGINT), (14::BIGINT)) b(d), (VALUES ('dijkstra'), ('astar-seeds')) c(algo)")
+@query("SELECT l.lang, s.source, count(doc_id)::BIGINT AS n FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s LEFT JOIN documents d ON d.lang = l.lang AND d.source = s.source GROUP BY 1, 2")
 def grid(spark, d):
-    return N.parameter_grid(spark, m=[100, 200, 1000], d=[10, 14], algo=["dijkstra", "astar-seeds"])
+    """Documents of every pair of a language and a source, pairs without any included."""
+    docs = _t(spark, d, "documents")
+    values = {c: sorted(r[c] for r in docs.where(F.col(c).isNotNull()).select(c).distinct().collect()) for c in ("lang", "source")}  # labels, a few of each
+    counts = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return N.parameter_grid(spark, **values).join(counts, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT r_name, n_name FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS p FROM region) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) USING (p)")
@@ -568,3 +572,4 @@ def trie_jumps(spark, d):
 
 
 from strandloom.plans import files as files  # noqa: E402  registers the queries over files, which use this module
+from strandloom.plans import walks as walks  # noqa: E402  the same for the branched graph
