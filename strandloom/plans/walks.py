@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators import align as A
+from strandloom.operators import analysis as N
+from strandloom.operators import graph as G
 from strandloom.operators import runs as R
 from strandloom.operators import seeds as D
+from strandloom.operators import windows as W
+from strandloom.operators.graph import character_graph
 from strandloom.operators.lineage import settled
 from strandloom.operators.search import search
-from strandloom.plans.queries import DS, K, MATCHES, REVCOMP, RS, SEEDS, _t, query, read_table, sequences
+from strandloom.plans.queries import DS, K, MATCHES, REVCOMP, RS, SEEDS, _t, link_table, query, read_table, sequences
+from strandloom.sources.reads import first_reads
 
 #: The most that search_graph pays, below the price of a gap, so that SQL need only count differing letters.
 MOST = 2
@@ -93,10 +98,77 @@ def search_graph(spark, d):
     "spelt AS (SELECT b.*, r.seq, r.len, left(w, r.len) AS w FROM best b JOIN r USING (read_id, strand) JOIN windows USING (seg_id, o) WHERE rank <= 3), "
     f"turned AS (SELECT *, CASE WHEN strand = '+' THEN seq ELSE {REVCOMP.format('seq')} END AS a, CASE WHEN strand = '+' THEN w ELSE {REVCOMP.format('w')} END AS b FROM spelt) "
     "SELECT read_id, rank::INTEGER AS rank, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'unique' END AS status, cost::INTEGER AS cost, strand, seg_id, (o + 1)::BIGINT AS start, "
-    "array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE lower(a[i]) END), '') AS spell FROM turned "
-    "UNION ALL SELECT read_id, 1, 'none', NULL, NULL, NULL, NULL, NULL FROM rs WHERE seq = ''"
+    "array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE lower(a[i]) END), '') AS spell, array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN '-' ELSE a[i] END), '') AS track FROM turned "
+    "UNION ALL SELECT read_id, 1, 'none', NULL, NULL, NULL, NULL, NULL, NULL FROM rs WHERE seq = ''"
 )
 def align_gapless(spark, d):
     """Every read against every document, both strands, where a gap costs more than any read has letters: up to three optimal ends."""
     found = A.align(sequences(spark, d), None, read_table(spark, d), costs=A.Costs(0, 1, 100, 100), k=3, seed_len=K, drop_tail=False)
-    return found.select("read_id", "rank", "status", "cost", "strand", "seg_id", "start", "spell")
+    found = found.join(read_table(spark, d), "read_id")
+    return found.select("read_id", "rank", "status", "cost", "strand", "seg_id", "start", "spell", S.difference_track(F.col("path"), F.col("seq")).alias("track"))
+
+
+@query(
+    f"WITH {DS}, {RS}, most AS (SELECT max(length(seq)) AS most FROM rs), spots AS (SELECT seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE seq <> ''), windows AS (SELECT DISTINCT substr(seq, (o + 1)::BIGINT, most) AS w FROM spots, most), "
+    f"r AS (SELECT read_id, seq, {REVCOMP.format('seq')} AS turned, length(seq) AS len FROM rs WHERE seq <> ''), low AS (SELECT read_id, any_value(len) AS len, min(least(hamming(left(w, len), seq), hamming(left(w, len), turned))) AS cost FROM r JOIN windows ON length(w) >= len GROUP BY 1), "
+    "s AS (SELECT 'ORIG' AS name, sum(len - cost)::BIGINT AS n, 0::BIGINT AS cost FROM low UNION ALL SELECT 'subst', sum(cost), sum(cost) FROM low) SELECT name, n::BIGINT AS n, cost::BIGINT AS cost FROM s WHERE n > 0"
+)
+def path_costs(spark, d):
+    """Steps of the reads' first alignments and what they cost, by the printed name of their type; gaps cost more than any read has letters."""
+    costs = A.Costs(0, 1, 100, 100)
+    found = A.align(sequences(spark, d), None, read_table(spark, d), costs=costs, seed_len=K, drop_tail=False)
+    per = N.path_summary(found.where("path IS NOT NULL"), *costs.all())
+    return per.select(S.edge_type_name(F.col("etype")).alias("name"), "n", F.col("cost").cast("long").alias("cost"))
+
+
+@query(f"WITH {DS}, {RS}, {GRAPH} SELECT round((sum(length(rs.seq) - 1) / greatest(1, (SELECT sum(n) FROM seg) + (SELECT count(*) FROM bl)))::DOUBLE, 9) AS coverage FROM rs")
+def coverage(spark, d):
+    """Letters of the reads over the edges of one strand of the branched graph."""
+    edges = character_graph(sequences(spark, d).where("seq <> ''"), branched_links(spark, d))
+    return N.read_statistics(read_table(spark, d).withColumn("phred", F.lit("")), 2 * edges.count()).select(F.round("coverage", 9).alias("coverage"))
+
+
+@query("SELECT item_id AS read_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark ORDER BY item_id LIMIT 10")
+def head_reads(spark, d):
+    """The first ten reads: the limit is the feature."""
+    return first_reads(read_table(spark, d), 10)
+
+
+@query(
+    "WITH l AS (SELECT doc_id AS from_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS to_id FROM documents QUALIFY to_id IS NOT NULL), "
+    "m AS (SELECT doc_id AS from_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS to_id FROM documents QUALIFY to_id IS NOT NULL) SELECT from_id, count(*)::BIGINT AS n_links FROM (SELECT * FROM l UNION ALL SELECT * FROM m) GROUP BY 1"
+)
+def add_subgraph(spark, d):
+    """Links that leave each segment after the graph by language is added to the one by source, appended ones included."""
+    seg = sequences(spark, d)
+    docs = _t(spark, d, "documents")
+    by_lang = docs.select(F.col("doc_id").alias("from_id"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("to_id")).where("to_id IS NOT NULL")
+    by_lang = by_lang.select("from_id", F.lit(True).alias("from_fwd"), "to_id", F.lit(True).alias("to_fwd"), F.lit(0).alias("overlap"))
+    both, links = G.add_subgraph(seg, link_table(spark, d), seg, by_lang)
+    return links.join(both.select(F.col("seg_id").alias("from_id")), "from_id", "left_semi").groupBy("from_id").agg(F.count("*").alias("n_links"))
+
+
+@query(f"WITH {DS} SELECT seg_id, -1 - (seg_id * 4294967296 + length(seq))::BIGINT AS node, true AS reverse, false AS in_trie, (seg_id * 4294967296 + length(seq))::BIGINT AS forward, length(seq)::BIGINT AS node_offset FROM ds")
+def mirrored(spark, d):
+    """The last node of every segment on the other strand, its region, and the way back."""
+    node = S.mirror(S.node_id(F.col("seg_id"), F.length("seq")))
+    at = sequences(spark, d).select("seg_id", node.alias("node"))
+    return at.select("seg_id", "node", S.on_reverse(F.col("node")).alias("reverse"), (F.col("node") >= R.TRIE).alias("in_trie"), S.forward_node(F.col("node")).alias("forward"), S.node_offset(F.col("node")).alias("node_offset"))
+
+
+@query(f"WITH {DS}, {GRAPH}, ends AS (SELECT from_id, to_id, right(seq, 1) AS label FROM bl JOIN seg ON from_id = seg_id) SELECT to_id AS seg_id, count(DISTINCT label)::BIGINT AS labels, count(*)::BIGINT AS n_in, count(*) = 1 AS single FROM ends GROUP BY 1")
+def edges_into(spark, d):
+    """Edges found by their ends: those of the branched graph that lead into each segment, and whether it is just one."""
+    links = branched_links(spark, d)
+    edges = G.link_edges(sequences(spark, d), links).join(sequences(spark, d).where("seq <> ''").select(S.node_id(F.col("seg_id"), F.lit(0)).alias("dst")), "dst", "left_semi")
+    per = edges.groupBy(S.node_segment(F.col("dst")).alias("seg_id")).agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n_in"))
+    return per.withColumn("single", F.col("n_in") == 1)
+
+
+@query("SELECT event_id, round(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) / sum(CAST(round(value * 100) AS BIGINT)) OVER (), 9) AS share FROM events")
+def cumsum_share(spark, d):
+    """The running sum as a share of the whole."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    out = W.running(_t(spark, d, "events").select("event_id", "value"), "event_id", [], cents)
+    total = settled(out.agg(F.sum(cents).alias("total")))
+    return out.crossJoin(F.broadcast(total)).select("event_id", F.round(F.col("running") / F.col("total"), 9).alias("share"))

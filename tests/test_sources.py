@@ -93,6 +93,13 @@ def test_command_line(spark, tmp_path):
     assert verdicts == {"equal"}
     dijkstra, _ = run(spark, Parameters(p.graph, p.queries, "", algorithm="dijkstra"))
     assert compare_runs(back, dijkstra).where("verdict <> 'equal'").isEmpty()
+    counted, totals = run(spark, Parameters(p.graph, p.queries, "", algorithm="astar-seeds", fixed_trie_depth=True, tree_depth=3, seeds_len=6, count_work=True))
+    assert all(0 < r["popped"] <= r["pushed"] and r["explored_states"] == round(20 * r["popped"]) for r in counted.collect())
+    # the graph drops its last letter; prefixes of one and two letters, the root, and a jump for every walk of three
+    strands = [ref, ref[::-1].translate(str.maketrans("ACGT", "TGCA"))]
+    prefixes = {g[i : i + m] for g in strands for m in (1, 2) for i in range(len(g) - m + 1)}
+    assert {k: totals.first()[k] for k in ("trie_nodes", "trie_edges")} == {"trie_nodes": 1 + len(prefixes), "trie_edges": len(prefixes) + sum(len(g) - 2 for g in strands)}
+    assert totals.first()["total_sec"] >= totals.first()["align_sec"] > 0
 
 
 @pytest.mark.parametrize("bad", [{"algorithm": "bfs"}, {"k_best": 0}, {"threads": 0}, {"prefix_cost": -1}, {"tree_depth": 0}])
