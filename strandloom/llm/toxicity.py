@@ -126,8 +126,9 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
     `errors` standard errors exceed `least` scores that; a word whose log-odds
     plus as many stay below 0 scores that; a word of both kinds of texts that
     could do either scores -`gap`, as does one never seen, so texts without
-    toxic words drift down. Units have to stand in two of the texts; only
-    `max_train` bounds their number.
+    toxic words drift down. Units have to stand in two of the texts; the model
+    holds those with a score of their own, and words at the gap only where one
+    of their beginnings has one.
     """
     train = _sample(docs, labels, max_train)
 
@@ -160,7 +161,12 @@ def train_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000,
     scored = counts.where("u <> ''").select("u", "c0", "c1", (mid - error).alias("low"), (mid + error).alias("high"))
     # beginnings only speak for toxic texts; a word met often enough to do so speaks for itself
     known = F.when((F.col("c1") >= 2) & (F.col("low") > least), F.col("low")).when(F.startswith("u", F.lit("=")) & (F.col("high") < 0), F.col("high")).when(F.startswith("u", F.lit("=")) & (F.col("c0") >= 2), F.lit(-gap))
-    model.table = {r["u"]: r["s"] for r in scored.select("u", known.alias("s")).where("s IS NOT NULL").collect()}
+    scored = settled(scored.select("u", known.alias("s")).where("s IS NOT NULL"))
+    # what costs the gap needs an entry only to keep one of its beginnings from speaking for it
+    idle = F.startswith("u", F.lit("=")) & (F.col("s") == -gap)
+    begun = F.explode(F.array(*[F.concat(F.substring("u", 2, k), F.lit("*")) for k in STEMS])).alias("b")
+    needed = scored.where(idle).select("u", "s", begun).join(scored.where(~idle).select(F.col("u").alias("b")), "b", "left_semi").select("u", "s").distinct()
+    model.table = {r["u"]: r["s"] for r in scored.where(~idle).unionByName(needed).collect()}
     return _calibrate(model, train)
 
 
@@ -204,7 +210,8 @@ def score_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, n_words, n_passages, passages.
 
     passages: array of (first, last, score), the words of every significant
-    segment. Reads text alone, whole at any length. Null and empty texts hold
+    segment. predicted is 1 from a score of 0.5 on, evidence counts up to 60
+    powers of ten. Reads text alone, whole at any length. Null and empty texts hold
     no passage and get the score of a text without evidence; equal rows score
     alike and stay; no rows give no rows; other columns are ignored.
     """
