@@ -1,9 +1,9 @@
 """Language identification by sparse multinomial logistic regression.
 
 Character n-grams are hashed to a fixed space and weighted by TF-IDF, the
-document frequencies counted over all documents. The weights are fitted with
-follow-the-regularised-leader (McMahan et al., 2013) under an elastic net and
-the probabilities calibrated by one temperature.
+document frequencies counted over the rows that may be learned from. The weights
+are fitted with follow-the-regularised-leader (McMahan et al., 2013) under an
+elastic net and the probabilities calibrated by one temperature.
 """
 
 from __future__ import annotations
