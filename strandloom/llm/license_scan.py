@@ -1,11 +1,12 @@
 """Licence scan by a positional rare-token index.
 
 Templates, and the base phrases as templates that are key phrase alone, are
-stored as postings word -> (template, position). A file looks up the
-highest-IDF licence words it holds; each posting of such a word proposes where
-a template would start, the proposals of different words are intersected by
-relative position, and a placement counts once its mandatory key phrase stands
-there word for word.
+stored as postings word -> (template, position), of the highest-IDF words of
+each template only: as many as every placement of enough weight has to meet. A
+file looks up the licence words it holds, rarest first; each posting proposes
+where a template would start, the proposals of all words are intersected by
+relative position, and a placement counts once its words weigh enough and its
+mandatory key phrase stands there word for word.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import table, text_of
 
-#: Of a template's words in a file the rarest that propose placements, how many of them have to agree, and the share of its weight that a placement needs.
-RARE, AGREE, SHARE = 4, 2, 0.7
+#: How many of a template's rare words have to agree on a placement (speed only), and the share of its weight that a placement needs.
+AGREE, SHARE = 2, 0.7
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases every scan reports, wherever they stand.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -63,42 +64,56 @@ def _split(text: str) -> list[bytes]:
     return WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+def rare_places(weight: list[float], words: list[bytes], share: float, agree: int) -> tuple[list[int], int]:
+    """The places of a template's rarest words, and how many of them any placement worth `share` of its weight meets.
+
+    The rarest words are taken until the others, with the agree - 1 heaviest of
+    those taken, weigh less than the share: then no such placement can meet
+    fewer than `agree` of them. Where one word weighs too much for that, fewer
+    have to agree.
+    """
+    order = sorted(range(len(weight)), key=lambda i: (-weight[i], words[i], i))
+    need = share * sum(weight) * (1 - 1e-9)  # sums in another order differ by less
+    for votes in range(min(agree, len(order)), 0, -1):
+        spare = sum(weight[i] for i in order[: votes - 1])
+        for k in range(votes, len(order) + 1):
+            if spare + sum(weight[i] for i in order[k:]) < need:
+                return order[:k], votes
+    return order, 1
+
+
 class LicenceIndex:
-    """Postings of the words of templates and base phrases; the latter are templates of which every word is key."""
+    """Postings of the rare words of templates and base phrases; the latter are templates of which every word is key."""
 
-    def __init__(self, templates, base, idf: dict[bytes, float], rare: int, agree: int, share: float):
-        self.rare, self.agree, self.share, self.idf = rare, agree, share, idf
-        self.templates = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, templates, base, idf: dict[bytes, float], agree: int, share: float):
+        self.share, self.templates = share, []
+        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for label, words, key, is_base in [*((label, p, p, True) for p, label in base), *((*t, False) for t in templates)]:
             w, k = words.encode().split(), key.encode().split()
             weight = [idf.get(x, 1.0) for x in w]
-            for at, x in enumerate(w):
-                self.postings[x].append((len(self.templates), at))
-            self.templates.append((label, w, weight, sum(weight), k, is_base))
-        self.words = frozenset(self.postings)
+            places, votes = rare_places(weight, w, 1.0 if is_base else share, 1 if is_base else agree)
+            for at in places:
+                postings[w[at]].append((len(self.templates), at))
+            self.templates.append((label, w, weight, sum(weight), k, is_base, votes))
+        # the rarest words first
+        self.postings = dict(sorted(postings.items(), key=lambda x: (-idf.get(x[0], 1.0), x[0])))
         self.keys = [frozenset(t[4]) for t in self.templates]
-        # a template is looked at where the rarest word of its key phrase stands
-        self.by_key = defaultdict(list)
-        for n, t in enumerate(self.templates):
-            self.by_key[max(t[4], key=lambda x: (idf.get(x, 1.0), x))].append(n)
-
-    def placements(self, n: int, held: set[bytes], at: dict[bytes, list[int]]) -> set[int]:
-        """Starts on which the file's rarest words of template n agree; all of a base phrase's words have to."""
-        own = sorted({x for x in self.templates[n][1] if x in held}, key=lambda x: (-self.idf.get(x, 1.0), x))
-        is_base = self.templates[n][5]
-        votes: dict[int, int] = defaultdict(int)
-        own = own if is_base else own[: self.rare]
-        for x in own:
-            for start in {i - t for m, t in self.postings[x] if m == n for i in at[x]}:
-                votes[start] += 1
-        most = len(own) if is_base else min(self.agree, len(own))
-        return {start for start, v in votes.items() if v >= most}
+        self.words = frozenset(self.postings).union(*self.keys)
+
+    def placements(self, asked: set[int], at: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """(template, start) on which as many of the file's licence words agree as a placement needs, of the templates asked for."""
+        votes: dict[tuple[int, int], int] = defaultdict(int)
+        for x, listed in self.postings.items():
+            for n, t in listed if x in at else ():
+                if n in asked:
+                    for i in at[x]:
+                        votes[n, i - t] += 1
+        return sorted(p for p, v in votes.items() if v >= self.templates[p[0]][6])
 
     def scan(self, text: str) -> tuple:
         words = _split(text)
         held = self.words.intersection(words)
-        asked = [n for x in held for n in self.by_key.get(x, ()) if self.keys[n] <= held]
+        asked = {n for n, key in enumerate(self.keys) if key <= held} if held else set()
         if not asked:
             return len(words), 0, None, None, "", "", 0.0
         at: dict[bytes, list[int]] = defaultdict(list)
@@ -106,18 +121,17 @@ class LicenceIndex:
             if w in held:
                 at[w].append(i)
         places, labels, found = [], set(), {}
-        for n in sorted(asked):
-            label, template, weight, total, key, is_base = self.templates[n]
-            for start in sorted(self.placements(n, held, at)):
-                lo, hi = max(0, start), start + len(template)
-                if is_base:
-                    if start >= 0 and words[start:hi] == key:
-                        places.append(start)
-                        labels.add(label)
-                    continue
-                got = sum(x for j, x in enumerate(weight) if 0 <= start + j < len(words) and words[start + j] == template[j])
-                if got >= self.share * total and any(words[i : i + len(key)] == key for i in range(lo, hi - len(key) + 1)):
-                    found[label] = max(found.get(label, 0.0), got / total)
+        for n, start in self.placements(asked, at):
+            label, template, weight, total, key, is_base, _ = self.templates[n]
+            lo, hi = max(0, start), start + len(template)
+            if is_base:
+                if start >= 0 and words[start:hi] == key:
+                    places.append(start)
+                    labels.add(label)
+                continue
+            got = sum(x for j, x in enumerate(weight) if 0 <= start + j < len(words) and words[start + j] == template[j])
+            if got >= self.share * total and any(words[i : i + len(key)] == key for i in range(lo, hi - len(key) + 1)):
+                found[label] = max(found.get(label, 0.0), got / total)
         score = 1.0 if labels else round(max(found.values(), default=0.0), 6)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), score
 
@@ -140,13 +154,13 @@ def licence_idf(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, fl
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) + 0.01 for w in vocabulary}
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int = RARE, agree: int = AGREE, share: float = SHARE) -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, agree: int = AGREE, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Of each template whose key phrase's words the file holds, the `rare`
-    highest-IDF words in the file propose placements, and those on which
-    `agree` of them meet are looked at (of a base phrase all words); a placement holds if words worth `share` of the template's IDF stand at their
-    relative positions and the key phrase stands there whole. score is 1 for a
+    A placement of a template holds if words worth `share` of the template's IDF
+    stand at their relative positions and the key phrase stands whole inside; a
+    base phrase has to stand there whole. Placements come from the index, which
+    misses none of them (see rare_places); `agree` changes speed only. score is 1 for a
     base phrase, else the best share of a template found, else 0. IDF comes
     from all documents. Null texts read as empty (no words, empty labels, null
     places, score 0); texts of any length are read whole; words of equal IDF go
@@ -161,7 +175,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base=BASE, *, rare: int
     @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     def scan(texts: pd.Series) -> pd.DataFrame:
         if not state:
-            state.append(LicenceIndex(templates, base, idf, rare, agree, share))
+            state.append(LicenceIndex(templates, base, idf, agree, share))
         found = pd.DataFrame([state[0].scan(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
         return found.astype({"first_word": "Int64", "last_word": "Int64"})
 

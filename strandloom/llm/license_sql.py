@@ -1,8 +1,8 @@
-"""The licence scan of op10 as DuckDB SQL, from the same templates and phrases."""
+"""The licence scan of op10 as DuckDB SQL, from the same templates and phrases: every placement that one of a template's words proposes is weighed, without the index."""
 
 from __future__ import annotations
 
-from strandloom.llm.license_scan import AGREE, BASE, RARE, SHARE, TEMPLATES
+from strandloom.llm.license_scan import BASE, SHARE, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,12 +26,7 @@ df AS (SELECT word, count(DISTINCT r) AS held FROM tokens WHERE word IN (SELECT
 weighted AS (SELECT p.*, ln((1 + (SELECT count(*) FROM docs)) / (1 + coalesce(held, 0))) + 0.01 AS weight FROM parts p LEFT JOIN df USING (word)),
 totals AS (SELECT n, sum(weight) AS total FROM weighted GROUP BY n),
 asked AS (SELECT d.r, t.n FROM docs d, templates t WHERE list_has_all(d.words, t.key)),
-held AS (SELECT DISTINCT r, word FROM tokens WHERE word IN (SELECT word FROM parts)),
-seeds AS (SELECT a.r, a.n, w.word FROM asked a JOIN (SELECT DISTINCT n, word, weight FROM weighted) w ON w.n = a.n JOIN held h ON h.r = a.r AND h.word = w.word
-  QUALIFY row_number() OVER (PARTITION BY a.r, a.n ORDER BY w.weight DESC, w.word) <= {RARE}),
-votes AS (SELECT s.r, s.n, t.pos - w.j AS start, count(DISTINCT s.word) AS v, m FROM (SELECT *, count(*) OVER (PARTITION BY r, n) AS m FROM seeds) s JOIN weighted w ON w.n = s.n AND w.word = s.word JOIN tokens t ON t.r = s.r AND t.word = s.word GROUP BY ALL),
-proposed AS (SELECT r, n, start FROM votes WHERE v >= least({AGREE}, m)),
-got AS (SELECT p.r, p.n, p.start, sum(weight) AS got FROM proposed p JOIN weighted w ON w.n = p.n JOIN tokens t ON t.r = p.r AND t.pos = p.start + w.j AND t.word = w.word GROUP BY ALL),
+got AS (SELECT a.r, a.n, t.pos - w.j AS start, sum(weight) AS got FROM asked a JOIN weighted w ON w.n = a.n JOIN tokens t ON t.r = a.r AND t.word = w.word GROUP BY ALL),
 likely AS (SELECT g.*, got / total AS part, t.label, t.key, len(t.words) AS width, d.words FROM got g JOIN totals USING (n) JOIN templates t USING (n) JOIN docs d USING (r) WHERE got >= {SHARE} * total),
 found AS (SELECT r, label, part FROM likely WHERE len(list_filter(generate_series(greatest(start, 0), start + width - len(key)), lambda i: words[i + 1 : i + len(key)] = key)) > 0),
 best AS (SELECT r, max(part) AS part FROM found GROUP BY r),
