@@ -67,6 +67,49 @@ def test_fastq_over_many_splits(spark, tmp_path):
     assert [(r["read_id"], r["name"], len(r["seq"]), len(r["phred"])) for r in rows] == [(i, f"r{i}", 4 * (1 + i % 3), 4 * (1 + i % 3)) for i in range(n)]
 
 
+@pytest.mark.parametrize("size", [61, 150, 997, 1 << 20])
+def test_reads_of_several_files_and_cuts(spark, tmp_path, size):
+    """Qualities that start like names and comments, reads longer than a split, several files: every record once, numbered file after file."""
+    qualities = ["@@+>", "+I@I", ">III", "IIII"]
+    want = []
+    for f in range(3):
+        text = ""
+        for i in range(90 + f):
+            n = 60 if i % 17 == 0 else 1 + i % 3
+            text += f"@f{f}r{i}\n{'ACGT' * n}\n+c{i}\n{qualities[i % 4] * n}\n"
+            want.append((f"f{f}r{i}", "ACGT" * n, f"c{i}", qualities[i % 4] * n))
+        (tmp_path / f"part {f}.fq").write_text(text + "\n" * f)
+    (tmp_path / "one.fa").write_text("".join(f">r{i}\n{'ACGT' * (1 + i % 30)}\n" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = R.read_fastq(spark, f"{tmp_path}/*.fq").orderBy("read_id").collect()
+        fasta = R.read_queries(spark, f"{tmp_path}/one.fa").orderBy("read_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r)[1:] for r in rows] == want
+    assert [r["read_id"] for r in rows] == [(f << R.FILE_BITS) + i for f in range(3) for i in range(90 + f)]
+    assert [(r["read_id"], r["name"], r["seq"]) for r in fasta] == [(i, f"r{i}", "ACGT" * (1 + i % 30)) for i in range(200)]
+
+
+def test_only_ends_of_splits_are_shuffled(spark, tmp_path):
+    (tmp_path / "r.fq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(500)))
+    (tmp_path / "none.fq").write_text("")
+    (tmp_path / "cut.fq").write_text("@a\nACGT\n+\nIIII\n@b\n" + "@c\nACGT\n+\nIIII\n" * 50)
+    plan = R.read_fastq(spark, f"{tmp_path}/r.fq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the other branch reads the checkpointed ends
+    whole = plan[plan.index("Union") : plan.index("MapInArrow")]
+    assert "BroadcastHashJoin" in whole and "Exchange" not in whole
+    assert R.read_fastq(spark, f"{tmp_path}/none.fq").count() == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        with pytest.raises(Exception, match="more or less than 4 lines"):
+            R.read_fastq(spark, f"{tmp_path}/cut.fq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fasta_queries_and_bad_letters(spark, tmp_path):
     (tmp_path / "q.fa").write_text(">a\nacn\n>b\nGT\n")
     assert [(r["name"], r["seq"]) for r in R.read_queries(spark, str(tmp_path / "q.fa")).orderBy("read_id").collect()] == [("a", "ACN"), ("b", "GT")]
