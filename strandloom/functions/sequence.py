@@ -171,6 +171,56 @@ def difference_track(path: Column, read: Column) -> Column:
     return walk["s"]
 
 
+def alignment_tracks(path: Column, read: Column, phred: Column, ground: Column, walk: Column) -> Column:
+    """The seven tracks of an alignment, a letter a step: qualities, differences, read, path, graph, ground truth, edge types.
+
+    walk holds the graph's letters that the steps pass, all but insertions. A
+    step that reads no letter shows '.' for read, quality and ground truth, one
+    that passes no letter of the graph shows '.' there; a read without qualities
+    shows '?', and a ground truth that is too short or null shows ' '. Types are
+    the first letters of their names, '.' for an original edge. A null path gives null.
+    """
+    gap = lambda s: s["label"] == EPSILON
+    still = lambda s: s["etype"] == "INS"
+    letter = lambda text, i, other: F.coalesce(F.nullif(F.substring(text, i + 1, F.lit(1)), F.lit("")), F.lit(other))
+    taken = F.aggregate(
+        path,
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), *[F.lit("").alias(t) for t in ("qual", "orig_read", "orig_path", "ground")]),
+        lambda a, s: F.struct(
+            F.when(gap(s), a["i"]).otherwise(a["i"] + 1).alias("i"),
+            F.when(still(s), a["j"]).otherwise(a["j"] + 1).alias("j"),
+            F.concat(a["qual"], F.when(gap(s), ".").otherwise(letter(phred, a["i"], "?"))).alias("qual"),
+            F.concat(a["orig_read"], F.when(gap(s), ".").otherwise(letter(read, a["i"], "?"))).alias("orig_read"),
+            F.concat(a["orig_path"], F.when(still(s), ".").otherwise(letter(walk, a["j"], "?"))).alias("orig_path"),
+            F.concat(a["ground"], F.when(gap(s), ".").otherwise(letter(ground, a["i"], " "))).alias("ground"),
+        ),
+    )
+    name = lambda s: F.substring(edge_type_name(s["etype"]), 1, 1)
+    types = F.array_join(F.transform(path, lambda s: F.when(name(s) == "O", ".").otherwise(name(s))), "")
+    labels = F.array_join(F.transform(path, lambda s: F.when(gap(s), ".").otherwise(s["label"])), "")
+    tracks = F.struct(taken["qual"].alias("qual"), difference_track(path, read).alias("error"), taken["orig_read"].alias("orig_read"), labels.alias("align_path"), taken["orig_path"].alias("orig_path"), taken["ground"].alias("ground"), types.alias("types"))
+    return F.when(path.isNotNull(), tracks)
+
+
+def cost_by_type(path: Column, match: int = 0, subst: int = 1, ins: int = 5, dele: int = 5) -> Column:
+    """[(name, n, cost)] of every type of edge, in the fixed order of types, those a path has none of included."""
+
+    def one(etype: str, name: str) -> Column:
+        n = F.size(F.filter(path, lambda s: s["etype"] == etype))
+        return F.struct(F.lit(name).alias("name"), n.alias("n"), (n * edge_cost(F.lit(etype), match, subst, ins, dele)).alias("cost"))
+
+    return F.when(path.isNotNull(), F.array(*[one(k, v) for k, v in EDGE_TYPES.items()]))
+
+
+def printed_alignment(tracks: Column, costs: Column) -> Column:
+    """An alignment as text: how many edges of each type sum to which cost, the number of differences, and the seven tracks below one another."""
+    lines = F.transform(costs, lambda c: F.concat(F.lit("    "), c["n"].cast("string"), F.lit(" "), c["name"], F.lit(" edges sum to a cost of "), c["cost"].cast("string")))
+    differences = F.concat(F.lit("  "), F.length(F.regexp_replace(tracks["error"], "[-.]", "")).cast("string"))
+    named = (("read qual", "qual"), ("read erro", "error"), ("orig read", "orig_read"), ("alig path", "align_path"), ("orig path", "orig_path"), ("grnd seq?", "ground"), ("edge type", "types"))
+    shown = [F.concat(F.lit(f"{label}: "), tracks[field]) for label, field in named]
+    return F.concat_ws("\n", F.lit(" -- Summary -- "), lines, differences, F.lit(""), F.lit(" -- Alignment -- "), *shown)
+
+
 def prefix_number(prefix: Column) -> Column:
     """Rank of a base string among all: shorter ones first, then base 4."""
     digits = F.split(prefix, "")

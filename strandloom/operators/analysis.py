@@ -8,11 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import error_probability, log_base, lower_count
+from strandloom.operators.windows import running
 
 #: Limits beyond which a run counts as failed: seconds and megabytes.
 TIME_LIMIT, MEMORY_LIMIT = 3600, 20_000
 #: Names of algorithms for display, in the order of reports.
 ALGORITHMS = (("astar-seeds", "seeds"), ("astar-prefix", "prefix"), ("dijkstra", "Dijkstra"))
+#: Columns of runs, their names on an axis and their units.
+AXES = (
+    ("head", "Reference size [bp]", "bp"),
+    ("head_Mbp", "Reference size [Mbp]", "Mbp"),
+    ("s", "Runtime [s]", "s"),
+    ("N", "Reads", ""),
+    ("m", "Read length [bp]", "bp"),
+    ("max_rss", "Memory", "MB"),
+    ("score", "Alignment cost", None),
+    ("explored_states", "Explored states", None),
+    ("align_sec", "Alignment time [s]", None),
+    ("cost", "Alignment cost", None),
+    ("explored_per_bp", "Explored states per bp", None),
+    ("error_rate", "Error rate", None),
+    ("bps", "Alignment rate [bp/s]", "bp/s"),
+    ("spkb", "Alignment time [s/kbp]", None),
+)
 
 
 def merged_counters(rows: DataFrame, counters: list[str], by: list[str] | None = None) -> DataFrame:
@@ -95,10 +113,10 @@ def ranked_algorithms(runs: DataFrame, column: str = "algo") -> DataFrame:
 
 
 def group_means(runs: DataFrame, algo: str, x: str, y: str) -> DataFrame:
-    """Means of y by (algo, x), and by algo over its rows with x 'all'."""
-    by = runs.groupBy(algo, F.col(x).cast("string").alias(x)).agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
-    every = runs.groupBy(algo).agg(F.avg(y).alias("mean"), F.count(y).alias("n")).select(algo, F.lit("all").alias(x), "mean", "n")
-    return by.unionByName(every)
+    """Means of y by (algo, x), and by algo over its rows with x 'all', in one reading: both groupings combine in the map tasks."""
+    rows = runs.select(algo, F.col(x).cast("string").alias(x), y)
+    per = rows.groupingSets([[F.col(algo), F.col(x)], [F.col(algo)]], algo, x).agg(F.avg(y).alias("mean"), F.count(y).alias("n"), F.grouping(x).alias("__every"))
+    return per.select(algo, F.when(F.col("__every") == 1, "all").otherwise(F.col(x)).alias(x), "mean", "n")
 
 
 def pivot_means(runs: DataFrame, x: str, algo: str, names: list[str], y: str) -> DataFrame:
@@ -146,6 +164,29 @@ def with_reference_edges(runs: DataFrame) -> DataFrame:
     return runs.withColumn("doubled_edges", F.col("total_edges") - F.col("trie_edges"))
 
 
+def stacked_edges(runs: DataFrame, x: str) -> DataFrame:
+    """Means by x of the edges of the doubled graph (`reference`), of the trie, and of the one on top of the other (`total`)."""
+    per = with_reference_edges(runs).groupBy(x).agg(F.avg("doubled_edges").alias("reference"), F.avg("trie_edges").alias("trie"))
+    return per.withColumn("total", F.col("reference") + F.col("trie"))
+
+
+def with_axis(rows: DataFrame, column: str = "measure") -> DataFrame:
+    """rows with `label` and `unit` of the run column that each names; unknown names stand for themselves."""
+
+    def shown(at: int) -> Column:
+        known = [x for a in AXES if a[at] is not None for x in (F.lit(a[0]), F.lit(a[at]))]
+        return F.coalesce(F.element_at(F.create_map(*known), F.col(column)), F.col(column))
+
+    return rows.withColumn("label", shown(1)).withColumn("unit", shown(2))
+
+
+def column_means(runs: DataFrame, columns: list[str]) -> DataFrame:
+    """(measure, mean, highest, label, unit): each column of runs with its mean and highest value, from one aggregation."""
+    per = runs.agg(*[F.struct(F.avg(c).alias("mean"), F.max(c).cast("double").alias("highest")).alias(c) for c in columns])
+    each = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c)["mean"].alias("mean"), F.col(c)["highest"].alias("highest")) for c in columns])).alias("r"))
+    return with_axis(each.select("r.*"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: str = "readname", columns: tuple[str, ...] = ("spell", "cost")) -> DataFrame:
     """(key, verdict) of a full outer join: left, right, the first column that differs, or equal."""
     x, y = a.select(F.col(key).alias("ka"), *[F.col(c).alias(f"a_{c}") for c in columns]), b.select(F.col(key).alias("kb"), *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -168,10 +209,12 @@ def parameter_grid(spark, **values: list) -> DataFrame:
 
 
 def paste(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
-    """Rows of two small tables side by side, by position."""
-    x = a.withColumn("__p", F.row_number().over(Window.orderBy(*order_a)))
-    y = b.withColumn("__p", F.row_number().over(Window.orderBy(*order_b)))
-    return x.join(y, "__p").drop("__p")
+    """Rows of two tables side by side, by position: the order of a numeric column, then of further ones. What is longer is cut.
+
+    Positions are counted in slices, so no task orders a table.
+    """
+    placed = [running(rows, by[0], by[1:], F.lit(0)).drop("running").withColumnRenamed("position", "__p") for rows, by in ((a, order_a), (b, order_b))]
+    return placed[0].join(placed[1], "__p").drop("__p")
 
 
 def last_rows(rows: DataFrame, by: str, position: str) -> DataFrame:

@@ -35,6 +35,17 @@ WALKS = (
     f"UNION ALL SELECT seg_id, o, seg_id, o + {K}, substr(seq, (o + 1)::BIGINT, {K}) FROM (SELECT *, unnest(generate_series(0, n - {K})) AS o FROM seg WHERE n >= {K}))"
 )
 
+#: Up to three ends of every read on the documents, turned to the read's own direction: `a` its letters, `b` the graph's.
+GAPLESS = (
+    f"{DS}, {RS}, most AS (SELECT max(length(seq)) AS most FROM rs), spots AS (SELECT seg_id, seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE seq <> ''), "
+    "windows AS (SELECT seg_id, o, substr(seq, (o + 1)::BIGINT, most) AS w FROM spots, most), "
+    f"r AS (SELECT read_id, '+' AS strand, seq, length(seq) AS len FROM rs WHERE seq <> '' UNION ALL SELECT read_id, '-', {REVCOMP.format('seq')}, length(seq) FROM rs WHERE seq <> ''), "
+    "met AS (SELECT read_id, strand, seg_id, o, hamming(left(w, len), seq) AS cost FROM r JOIN windows ON length(w) >= len), low AS (SELECT read_id, min(cost) AS cost FROM met GROUP BY 1), "
+    "best AS (SELECT met.*, count(*) OVER (PARTITION BY read_id) AS n, row_number() OVER (PARTITION BY read_id ORDER BY strand, seg_id, o) AS rank FROM met JOIN low USING (read_id, cost)), "
+    "spelt AS (SELECT b.*, r.seq, r.len, left(w, r.len) AS w FROM best b JOIN r USING (read_id, strand) JOIN windows USING (seg_id, o) WHERE rank <= 3), "
+    f"turned AS (SELECT *, CASE WHEN strand = '+' THEN seq ELSE {REVCOMP.format('seq')} END AS a, CASE WHEN strand = '+' THEN w ELSE {REVCOMP.format('w')} END AS b FROM spelt) "
+)
+
 
 def branched_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of every document to the next one of its source and to the next one of its language."""
@@ -90,13 +101,7 @@ def search_graph(spark, d):
 
 
 @query(
-    f"WITH {DS}, {RS}, most AS (SELECT max(length(seq)) AS most FROM rs), spots AS (SELECT seg_id, seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE seq <> ''), "
-    "windows AS (SELECT seg_id, o, substr(seq, (o + 1)::BIGINT, most) AS w FROM spots, most), "
-    f"r AS (SELECT read_id, '+' AS strand, seq, length(seq) AS len FROM rs WHERE seq <> '' UNION ALL SELECT read_id, '-', {REVCOMP.format('seq')}, length(seq) FROM rs WHERE seq <> ''), "
-    "met AS (SELECT read_id, strand, seg_id, o, hamming(left(w, len), seq) AS cost FROM r JOIN windows ON length(w) >= len), low AS (SELECT read_id, min(cost) AS cost FROM met GROUP BY 1), "
-    "best AS (SELECT met.*, count(*) OVER (PARTITION BY read_id) AS n, row_number() OVER (PARTITION BY read_id ORDER BY strand, seg_id, o) AS rank FROM met JOIN low USING (read_id, cost)), "
-    "spelt AS (SELECT b.*, r.seq, r.len, left(w, r.len) AS w FROM best b JOIN r USING (read_id, strand) JOIN windows USING (seg_id, o) WHERE rank <= 3), "
-    f"turned AS (SELECT *, CASE WHEN strand = '+' THEN seq ELSE {REVCOMP.format('seq')} END AS a, CASE WHEN strand = '+' THEN w ELSE {REVCOMP.format('w')} END AS b FROM spelt) "
+    f"WITH {GAPLESS} "
     "SELECT read_id, rank::INTEGER AS rank, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'unique' END AS status, cost::INTEGER AS cost, strand, seg_id, (o + 1)::BIGINT AS start, "
     "array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE lower(a[i]) END), '') AS spell, array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN '-' ELSE a[i] END), '') AS track FROM turned "
     "UNION ALL SELECT read_id, 1, 'none', NULL, NULL, NULL, NULL, NULL, NULL FROM rs WHERE seq = ''"
@@ -108,6 +113,22 @@ def align_gapless(spark, d):
     return found.select("read_id", "rank", "status", "cost", "strand", "seg_id", "start", "spell", S.difference_track(F.col("path"), F.col("seq")).alias("track"))
 
 
+@query(
+    f"WITH {GAPLESS}, t AS (SELECT read_id, cost, len, a, b, array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN '.' ELSE 's' END), '') AS types, array_to_string(list_transform(generate_series(1, len), lambda i: CASE WHEN a[i] = b[i] THEN '-' ELSE a[i] END), '') AS error FROM turned WHERE rank = 1) "
+    "SELECT read_id, concat_ws(chr(10), ' -- Summary -- ', '    ' || (len - cost)::VARCHAR || ' ORIG edges sum to a cost of 0', '    0 ins edges sum to a cost of 0', '    0 del edges sum to a cost of 0', '    ' || cost::VARCHAR || ' subst edges sum to a cost of ' || cost::VARCHAR, '    0 jump edges sum to a cost of 0', "
+    "'  ' || cost::VARCHAR, '', ' -- Alignment -- ', 'read qual: ' || translate(a, 'ACGT', 'IH5#'), 'read erro: ' || error, 'orig read: ' || a, 'alig path: ' || a, 'orig path: ' || b, 'grnd seq?: ' || reverse(a), 'edge type: ' || types) AS printed FROM t"
+)
+def printed_alignments(spark, d):
+    """The first alignment of every read as text: costs by type and the seven tracks; gaps cost more than any read has letters."""
+    costs, reads = A.Costs(0, 1, 100, 100), read_table(spark, d)
+    found = A.align(sequences(spark, d), None, reads, costs=costs, seed_len=K, drop_tail=False).where("rank = 1 AND path IS NOT NULL")
+    met = found.join(reads, "read_id").join(sequences(spark, d).select("seg_id", F.col("seq").alias("graph")), "seg_id")
+    part = F.substring("graph", F.col("start"), F.length("seq"))
+    walk = F.when(F.col("strand") == "+", part).otherwise(S.reverse_complement(part))
+    tracks = S.alignment_tracks(F.col("path"), F.col("seq"), F.translate("seq", "ACGT", "IH5#"), F.reverse("seq"), walk)
+    return met.select("read_id", S.printed_alignment(tracks, S.cost_by_type(F.col("path"), *costs.all())).alias("printed"))
+
+
 @query(
     f"WITH {DS}, {RS}, most AS (SELECT max(length(seq)) AS most FROM rs), spots AS (SELECT seq, unnest(generate_series(0, length(seq) - 1)) AS o FROM ds WHERE seq <> ''), windows AS (SELECT DISTINCT substr(seq, (o + 1)::BIGINT, most) AS w FROM spots, most), "
     f"r AS (SELECT read_id, seq, {REVCOMP.format('seq')} AS turned, length(seq) AS len FROM rs WHERE seq <> ''), low AS (SELECT read_id, any_value(len) AS len, min(least(hamming(left(w, len), seq), hamming(left(w, len), turned))) AS cost FROM r JOIN windows ON length(w) >= len GROUP BY 1), "
@@ -172,3 +193,24 @@ def cumsum_share(spark, d):
     out = W.running(_t(spark, d, "events").select("event_id", "value"), "event_id", [], cents)
     total = settled(out.agg(F.sum(cents).alias("total")))
     return out.crossJoin(F.broadcast(total)).select("event_id", F.round(F.col("running") / F.col("total"), 9).alias("share"))
+
+
+@query(
+    "WITH r AS (SELECT l_linenumber AS depth, l_partkey + 4 * l_suppkey AS total_edges, l_suppkey AS trie_edges FROM lineitem) "
+    "SELECT depth, round(avg(total_edges - trie_edges), 6) AS reference, round(avg(trie_edges), 6) AS trie, round(avg(total_edges), 6) AS total FROM r GROUP BY 1"
+)
+def stacked_totals(spark, d):
+    """Edges of the doubled graph and of the trie stacked on it, by depth, over rows that stand for runs."""
+    runs = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("depth"), (F.col("l_partkey") + 4 * F.col("l_suppkey")).alias("total_edges"), F.col("l_suppkey").alias("trie_edges"))
+    return N.stacked_edges(runs, "depth").select("depth", *[F.round(c, 6).alias(c) for c in ("reference", "trie", "total")])
+
+
+@query(
+    "SELECT measure, round(mean, 6) AS mean, highest::DOUBLE AS highest, label, unit FROM (SELECT 'head' AS measure, avg(l_partkey) AS mean, max(l_partkey)::DOUBLE AS highest, 'Reference size [bp]' AS label, 'bp' AS unit FROM lineitem "
+    "UNION ALL SELECT 's', avg(l_extendedprice), max(l_extendedprice), 'Runtime [s]', 's' FROM lineitem UNION ALL SELECT 'N', avg(l_linenumber), max(l_linenumber), 'Reads', '' FROM lineitem "
+    "UNION ALL SELECT 'cost', avg(l_quantity), max(l_quantity), 'Alignment cost', 'cost' FROM lineitem UNION ALL SELECT 'l_tax', avg(l_tax), max(l_tax), 'l_tax', 'l_tax' FROM lineitem)"
+)
+def column_labels(spark, d):
+    """Columns of rows that stand for runs, with their means, their names on an axis and their units."""
+    runs = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("head"), F.col("l_extendedprice").alias("s"), F.col("l_linenumber").alias("N"), F.col("l_quantity").alias("cost"), "l_tax")
+    return N.column_means(runs, runs.columns).withColumn("mean", F.round("mean", 6))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from strandloom.operators import graph as G
 from strandloom.operators import index as I
 from strandloom.operators import seeds as D
@@ -147,3 +149,19 @@ def test_exponential_mean_with_one_order_value(spark):
         a, b = a * q + i % 7, b * q + 1
         if i % 19_999 == 0:
             assert abs(got[i] - a / b) < 1e-9
+
+
+def test_tables_of_an_evaluation(spark):
+    """Means with a null x beside 'all', tables pasted by position where order values repeat, axes of unknown columns, edges stacked."""
+    from strandloom.operators import analysis as N
+
+    runs = spark.createDataFrame([("a", 1, 2.0), ("a", None, 4.0), ("b", 1, None), (None, 2, 1.0)], "algo string, x int, y double")
+    assert {tuple(r) for r in N.group_means(runs, "algo", "x", "y").collect()} == {("a", "1", 2.0, 1), ("a", None, 4.0, 1), ("b", "1", None, 0), (None, "2", 1.0, 1), ("a", "all", 3.0, 2), ("b", "all", None, 0), (None, "all", 1.0, 1)}
+    left = spark.createDataFrame([(3, "z"), (1, "y"), (1, "x")], "k int, v string")
+    right = spark.createDataFrame([(9, "p"), (-1, "q")], "o int, w string")
+    assert sorted((r["v"], r["w"]) for r in N.paste(left, right, ["k", "v"], ["o"]).collect()) == [("x", "q"), ("y", "p")]
+    assert N.paste(left, right.limit(0), ["k"], ["o"]).count() == 0
+    shown = {r["measure"]: (r["label"], r["unit"]) for r in N.column_means(left.select(F.col("k").alias("N"), F.col("k").alias("other")), ["N", "other"]).collect()}
+    assert shown == {"N": ("Reads", ""), "other": ("other", "other")}
+    edges = spark.createDataFrame([(4, 10, 4), (4, 20, 6)], "d int, total_edges int, trie_edges int")
+    assert [tuple(r) for r in N.stacked_edges(edges, "d").collect()] == [(4, 10.0, 5.0, 15.0)]

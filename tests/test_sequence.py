@@ -47,3 +47,17 @@ def test_paths(spark):
     assert one(spark, S.difference_track(path, F.lit("ACGT"))) == "-C.G-"
     assert [one(spark, S.edge_cost(F.lit(t))) for t in ("ORIG", "JUMP", "SUBST", "INS", "DEL")] == [0, 0, 1, 5, 5]
     assert one(spark, S.edge_type_name(F.lit("DEL"))) == "del"
+
+
+def test_tracks_and_costs_of_a_path(spark):
+    """Every kind of edge, short qualities, a null ground truth; the tracks stay as long as the path."""
+    path = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("etype")) for a, b in [("A", "ORIG"), ("C", "SUBST"), ("e", "DEL"), ("G", "INS"), ("T", "JUMP")]])
+    tracks = S.alignment_tracks(path, F.lit("ACGT"), F.lit("I+"), F.lit(None).cast("string"), F.lit("AGCT"))
+    assert tuple(one(spark, tracks)) == ("I+.??", "-C.G-", "AC.GT", "AC.GT", "AGC.T", "  .  ", ".sdij")
+    costs = S.cost_by_type(path, 0, 1, 5, 7)
+    assert [tuple(c) for c in one(spark, costs)] == [("ORIG", 1, 0), ("ins", 1, 5), ("del", 1, 7), ("subst", 1, 1), ("jump", 1, 0)]
+    printed = one(spark, S.printed_alignment(tracks, costs)).split("\n")
+    assert printed[:7] == [" -- Summary -- ", "    1 ORIG edges sum to a cost of 0", "    1 ins edges sum to a cost of 5", "    1 del edges sum to a cost of 7", "    1 subst edges sum to a cost of 1", "    1 jump edges sum to a cost of 0", "  2"]
+    assert printed[8] == " -- Alignment -- " and printed[12:14] == ["alig path: AC.GT", "orig path: AGC.T"] and len(printed) == 16
+    none = F.lit(None).cast("array<struct<label:string,etype:string>>")
+    assert one(spark, S.alignment_tracks(none, F.lit("A"), F.lit("I"), F.lit("A"), F.lit("A"))) is None and one(spark, S.cost_by_type(none)) is None
