@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, rows_per_slice: int = 4096) -> DataFrame:
     the last), so that no task orders the table. Slices are cut at quantiles of
     the id. Where one id, or null, fills slices alone, its equal rows are first
     gathered with map-side counts and the rest is cut into even parts of h. One
-    row a slice is collected.
+    row a slice is collected; there are up to 200,000, which grow beyond 200,000
+    times rows_per_slice rows.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     cuts, parts = _slices(docs.select("doc_id"), rows_per_slice)
