@@ -15,3 +15,18 @@ def test_classes_of_sequences_equal_those_of_the_graph(spark, data):
     want = {(r["representative"], r["count"]) for r in classes.collect()}
     assert {(r["representative"], r["n_nodes"]) for r in I.classes_of_sequences(seg, 5).collect()} == want
     assert "Join" not in plan_of(core.QUERIES["class_representatives"](spark, data))[0]
+
+
+def test_edit_counts_equal_the_moves_one_by_one(spark, data):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import sequence as S
+
+    edges = G.sequence_edges(spark.createDataFrame([(3, "ACGTACCGTAC"), (1, "TA"), (2, "A"), (4, ""), (5, "AAAA")], "seg_id long, seq string"))
+    both = G.doubled(edges)
+    moves = G.edit_edges(G.nodes(both).select("node", F.explode(F.array(*map(F.lit, "ACGT"))).alias("letter")), both)
+    strand = F.when(S.on_reverse(F.col("to")), "-").otherwise("+").alias("strand")
+    want = moves.groupBy(S.node_segment(F.col("to")).alias("seg_id"), strand, "move", "label").agg(F.count("*"), F.sum(S.node_offset(F.col("to"))))
+    got = G.edit_counts(edges).select("seg_id", "strand", "move", "label", "n", "to_offsets")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan_of(core.QUERIES["edit_expand_all"](spark, data))[0]
