@@ -30,3 +30,11 @@ def test_edit_counts_equal_the_moves_one_by_one(spark, data):
     got = G.edit_counts(edges).select("seg_id", "strand", "move", "label", "n", "to_offsets")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Join" not in plan_of(core.QUERIES["edit_expand_all"](spark, data))[0]
+
+
+def test_prefix_h_meets_the_first_letters_of_its_classes_only(spark, data, monkeypatch):
+    seen, given = [], core.prefix_costs
+    monkeypatch.setattr(core, "prefix_costs", lambda edges, wanted: seen.append(edges.count()) or given(edges, wanted))
+    out = core.QUERIES["prefix_h"](spark, data)
+    classes = core.sequences(spark, data).where("length(seq) > 5").selectExpr("left(seq, 5) AS ahead").distinct().count()
+    assert out.select("node").distinct().count() == classes and seen == [5 * classes]
