@@ -38,3 +38,10 @@ def test_prefix_h_meets_the_first_letters_of_its_classes_only(spark, data, monke
     out = core.QUERIES["prefix_h"](spark, data)
     classes = core.sequences(spark, data).where("length(seq) > 5").selectExpr("left(seq, 5) AS ahead").distinct().count()
     assert out.select("node").distinct().count() == classes and seen == [5 * classes]
+
+
+def test_neighbours_on_lines_are_those_of_the_joins(spark, data):
+    e = G.sequence_edges(spark.createDataFrame([(3, "ACGTAC"), (1, "TA"), (2, "A"), (4, ""), (5, "ACG")], "seg_id long, seq string"))
+    met = G.expand_forward(G.nodes(e), e).select("node", "label", "dst").join(G.expand_backward(G.nodes(e), e).select("node", "src"), "node")
+    assert sorted(map(tuple, G.neighbours_on_lines(e).collect())) == sorted(map(tuple, met.collect()))
+    assert "Exchange" not in plan_of(core.QUERIES["adjacency"](spark, data))[1]
