@@ -45,3 +45,10 @@ def test_neighbours_on_lines_are_those_of_the_joins(spark, data):
     met = G.expand_forward(G.nodes(e), e).select("node", "label", "dst").join(G.expand_backward(G.nodes(e), e).select("node", "src"), "node")
     assert sorted(map(tuple, G.neighbours_on_lines(e).collect())) == sorted(map(tuple, met.collect()))
     assert "Exchange" not in plan_of(core.QUERIES["adjacency"](spark, data))[1]
+
+
+def test_jumps_of_sequences_equal_those_of_the_graph(spark, data):
+    seg = spark.createDataFrame([(3, "ACGTACGTAC"), (1, "TACGT"), (2, "A"), (4, ""), (5, "ACGT")], "seg_id long, seq string")
+    want = I.trie(G.sequence_edges(seg), 4)[1]
+    assert sorted(map(tuple, I.jumps_of_sequences(seg, 4).collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan_of(core.QUERIES["trie_jumps"](spark, data))[0]
