@@ -52,3 +52,10 @@ def test_jumps_of_sequences_equal_those_of_the_graph(spark, data):
     want = I.trie(G.sequence_edges(seg), 4)[1]
     assert sorted(map(tuple, I.jumps_of_sequences(seg, 4).collect())) == sorted(map(tuple, want.collect()))
     assert "Join" not in plan_of(core.QUERIES["trie_jumps"](spark, data))[0]
+
+
+def test_size_of_sequences_is_the_graphs(spark, data):
+    seg = spark.createDataFrame([(3, "ACGTACGTAC"), (1, "TACGT"), (2, "A"), (4, ""), (5, None)], "seg_id long, seq string")
+    assert G.size_of_sequences(seg).collect() == G.graph_size(G.sequence_edges(seg)).collect()
+    assert G.size_of_sequences(seg.where("false")).collect() == [(0, 0)]
+    assert "hashpartitioning" not in plan_of(core.QUERIES["graph_size"](spark, data))[1]
