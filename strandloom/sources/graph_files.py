@@ -102,7 +102,8 @@ def write_fasta(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq")).alias("value")).write.text(path)
 
 
-def edge_list_lines(edges: DataFrame) -> DataFrame:
-    """A line 'nodes edges' with their numbers, then a line 'src dst label type' an edge."""
-    head = graph_size(edges).select(F.concat_ws(" ", F.col("n_nodes").cast("string"), F.col("n_edges").cast("string")).alias("value"))
+def edge_list_lines(edges: DataFrame, size: DataFrame | None = None) -> DataFrame:
+    """A line 'nodes edges' with their numbers, then a line 'src dst label type' an edge. Pass the size (n_nodes, n_edges) where it is known without counting different nodes."""
+    size = graph_size(edges) if size is None else size
+    head = size.select(F.concat_ws(" ", F.col("n_nodes").cast("string"), F.col("n_edges").cast("string")).alias("value"))
     return head.unionByName(edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), "label", "etype").alias("value")))

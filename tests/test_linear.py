@@ -59,3 +59,7 @@ def test_size_of_sequences_is_the_graphs(spark, data):
     assert G.size_of_sequences(seg).collect() == G.graph_size(G.sequence_edges(seg)).collect()
     assert G.size_of_sequences(seg.where("false")).collect() == [(0, 0)]
     assert "hashpartitioning" not in plan_of(core.QUERIES["graph_size"](spark, data))[1]
+
+
+def test_edge_list_shuffles_no_edges(spark, data):
+    assert "hashpartitioning" not in plan_of(core.QUERIES["edge_list"](spark, data))[1]
