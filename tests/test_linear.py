@@ -63,3 +63,16 @@ def test_size_of_sequences_is_the_graphs(spark, data):
 
 def test_edge_list_shuffles_no_edges(spark, data):
     assert "hashpartitioning" not in plan_of(core.QUERIES["edge_list"](spark, data))[1]
+
+
+def test_counted_crumbs_equal_crumbs_counted_one_by_one(spark, data):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import seeds as D
+
+    rows = [(1, s, start, "+-"[p % 2], g, p) for g in (1, 2) for s, start in ((0, 20), (1, 10), (2, 0)) for p in (0, 1, 3, 4, 17, 18, 30, 31, 60)] * 2
+    m = spark.createDataFrame(rows, "read_id long, seed int, start int, strand string, seg_id long, pos int")
+    want = D.linear_crumbs(m, F.lit(1)).distinct().groupBy("read_id", "strand", "seg_id", "node").agg(F.count("*"), F.sum("seed"))
+    assert sorted(map(tuple, D.counted_crumbs(m, F.lit(1)).collect())) == sorted(map(tuple, want.collect()))
+    # the rows of nodes come last: none is aggregated or shuffled
+    assert plan_of(core.QUERIES["crumb_lookup"](spark, data))[0].split("Window")[0].count("Aggregate") == 0
