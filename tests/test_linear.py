@@ -76,3 +76,20 @@ def test_counted_crumbs_equal_crumbs_counted_one_by_one(spark, data):
     assert sorted(map(tuple, D.counted_crumbs(m, F.lit(1)).collect())) == sorted(map(tuple, want.collect()))
     # the rows of nodes come last: none is aggregated or shuffled
     assert plan_of(core.QUERIES["crumb_lookup"](spark, data))[0].split("Window")[0].count("Aggregate") == 0
+
+
+def test_matches_inside_runs_are_not_shuffled(spark):
+    from strandloom.operators import runs as R
+    from strandloom.operators import seeds as D
+    from strandloom.operators.lineage import settled
+
+    seg = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "GTACGTAA"), (3, "C"), (4, "ACGT")], "seg_id long, seq string")
+    links = spark.createDataFrame([(a, True, b, True, 0) for a, b in ((1, 2), (1, 3), (3, 2), (3, 4), (2, 4))], "from_id long, from_fwd boolean, to_id long, to_fwd boolean, overlap int")
+    runs, crossings = R.segment_runs(seg, links)
+    reads = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTACCA"), (3, "ACGTACGTACGT")], "read_id long, seq string")
+    found = R.seed_walks(settled(runs), settled(crossings), settled(D.seeds(reads, 4)), 4)
+    rows = [tuple(r) for r in found.collect()]
+    assert rows and len(rows) == len(set(rows))
+    inside, over = plan_of(found)[0].split("Aggregate", 1)
+    # one side of the union, the matches inside runs, comes before the aggregate and stands above none
+    assert "Union" in inside and plan_of(found)[0].count("Aggregate") == 1 and "Join Inner" in inside
