@@ -93,3 +93,29 @@ def test_matches_inside_runs_are_not_shuffled(spark):
     inside, over = plan_of(found)[0].split("Aggregate", 1)
     # one side of the union, the matches inside runs, comes before the aggregate and stands above none
     assert "Union" in inside and plan_of(found)[0].count("Aggregate") == 1 and "Join Inner" in inside
+
+
+def test_spans_of_crumbs_cover_each_node_once(spark):
+    from strandloom.operators import runs as R
+    from strandloom.operators.lineage import settled
+
+    seg = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "GTACGTAA"), (3, "C"), (4, "ACGT")], "seg_id long, seq string")
+    links = spark.createDataFrame([(a, True, b, True, 0) for a, b in ((1, 2), (1, 3), (3, 2), (2, 4), (4, 1))], "from_id long, from_fwd boolean, to_id long, to_fwd boolean, overlap int")
+    runs, crossings = map(settled, R.segment_runs(seg, links))
+    at = [(1, s, 8 * s, r, p) for s in (0, 1) for r, p in ((1, 3), (1, 4), (1, 8), (4, 1), (-2, 6), (-3, 2))]
+    matches = spark.createDataFrame(at, "read_id long, seed int, start int, run long, pos int")
+    length = {r["run"]: len(r["label"]) for r in runs.collect()}
+    back = {}
+    for c in crossings.collect():
+        back.setdefault(c["to_run"], set()).add(c["run"])
+    want = set()
+    for rid, seed, start, run, pos in at:
+        front = {(run, pos)}
+        for _ in range(start + 1):
+            want |= {(rid, seed, *node) for node in front}
+            front = {(r, p - 1) for r, p in front if p} | {(b, length[b]) for r, p in front if not p for b in back.get(r, ())}
+    spans = settled(R.crumb_spans(runs, crossings, matches, matches["start"]))
+    rows = [(s["read_id"], s["seed"], s["run"], p) for s in spans.collect() for p in range(s["lo"], s["hi"] + 1)]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    crumbs = spark.createDataFrame(rows, "read_id long, seed int, run long, pos int")
+    assert sorted(map(tuple, R.walks_into_spans(runs, crossings, spans, 6).collect())) == sorted(map(tuple, R.walks_into(runs, crossings, crumbs, 6).collect()))
