@@ -192,3 +192,28 @@ def test_short_seeds_settle_reads_with_more_errors(spark, monkeypatch):
 
     monkeypatch.setattr(A, "full_ends", refused)
     assert costs_of(align(s, l, r, seed_len=25, drop_tail=False).collect()) == want
+
+
+def test_reads_that_stand_in_the_reference_are_found_without_windows(spark, monkeypatch):
+    """Reads without errors have all their ends where they stand, on both strands, in no seed's window and no full alignment; a few short others are not seeded either."""
+    import strandloom.operators.align as A
+
+    draw = random.Random(8)
+    ref = "".join(draw.choice("ACGT") for _ in range(700))
+    segments = {1: ref[:330], 2: ref[330:650] + ref[20:60], 3: "ACA", 4: rc(ref[100:140]), 5: "G"}
+    exact = [ref[20:60], rc(ref[40:59]), ref[100:112], ref[101:108], ref[10:14], "ACA", "G", "ACGT", ref[300:330]]
+    changed = ref[200:215] + {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[215]] + ref[216:230]
+    s, l, r = frames(spark, segments, [*exact, "", changed, "ACNGTA"])
+    want = sorted(map(tuple, align(s, None, r, k=1000, drop_tail=False).collect()), key=str)
+    monkeypatch.setattr(A, "PIECE", 50)
+
+    def refused(*_):
+        raise AssertionError("a read was seeded")
+
+    monkeypatch.setattr(A, "seeded_ends", refused)
+    assert sorted(map(tuple, align(s, None, r, k=1000, seed_len=10, drop_tail=False).collect()), key=str) == want
+    whole = r.where(f"read_id < {len(exact)}")
+    want = [x for x in want if x[0] < len(exact)]
+    assert {x[3] for x in want} == {0}
+    monkeypatch.setattr(A, "full_ends", refused)
+    assert sorted(map(tuple, align(s, None, whole, k=1000, seed_len=10, drop_tail=False).collect()), key=str) == want
