@@ -77,6 +77,31 @@ def test_caps_hold(spark):
     assert all(x["status"] == ("found" if want[x["read_id"]] <= 1 else "overcost") for x in low)
 
 
+def test_reads_without_errors_are_not_searched_and_the_others_only_near_their_seeds(spark, monkeypatch):
+    """With exact_first no state is counted for reads that stand in a run, and reads of many seeds join no jumps but those to their crumbs; costs are those planted."""
+    import strandloom.operators.search as X
+
+    draw = random.Random(3)
+    segments, links, _ = branched(3, n=9)
+    segments[50] = "".join(draw.choice("ACGT") for _ in range(300))
+    links = [*links, (50, 1), (4, 50)]
+    exact = [segments[50][20:52], rc(segments[50][100:140])]
+    s = list(segments[50][200:236])
+    s[3] = {"A": "C", "C": "G", "G": "T", "T": "A"}[s[3]]
+    s, l, r = frames(spark, segments, [*exact, "".join(s), ""], links)
+    jumps, given = [], X.trie_crossings
+
+    def counted(runs, crossings, depth, only):
+        jumps.append((given(runs, crossings, depth, only).count(), given(runs, crossings, depth).count()))
+        return given(runs, crossings, depth, only)
+
+    monkeypatch.setattr(X, "trie_crossings", counted)
+    found = {x["read_id"]: x for x in search(s, l, r, bound="seeds", depth=2, seed_len=6, max_cost=1, drop_tail=False, exact_first=True).collect()}
+    assert [(found[i]["status"], found[i]["cost"]) for i in range(4)] == [("found", 0), ("found", 0), ("found", 1), ("none", None)]
+    assert found[0]["pushed"] == found[1]["popped"] == 0 < found[2]["popped"]
+    assert 2 * jumps[0][0] < jumps[0][1]
+
+
 def test_bad_parameters(spark):
     s, l, r = frames(spark, {1: "ACGT"}, ["AC"], [])
     with pytest.raises(ValueError):
